@@ -164,7 +164,7 @@ _NONE = -(1 << 63)
 def repeated_windows(texts: DataFrame, window: int = WINDOW, n_rounds: int = ROUNDS) -> DataFrame:
     """COVERED: the beginnings (packed 32-bit numbers) of each row's windows whose word sequence begins anywhere else too.
 
-    doc_id is -2^63 for a null id. Rows come several times, with other places.
+    doc_id is -2^63 for a null id. A row with repeated windows comes once.
     """
     entries = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_blocks = grid(texts, entries // 20)
@@ -187,18 +187,30 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, n_rounds: int = ROU
             yield from blocks.add((mixed(x) % np.uint64(n_blocks)).astype(np.int64), x, y, ids[doc], tags[doc], starts - at[:-1][doc])
         yield from blocks.flush()
 
+    n_groups = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def verify(keys: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
         x, y, ids, tags, start = Blocks.unpack(tab, _TYPES)
         order = np.lexsort((y, x))
         same = (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])
         twice = order[np.append(same, False) | np.append(False, same)] if len(order) else order
-        twice = twice[np.lexsort((tags[twice], ids[twice]))]
-        ids, tags, start = ids[twice], tags[twice], start[twice]
+        # the places go on packed by groups of documents, not a row for each document and block
+        with np.errstate(over="ignore"):
+            group = (mixed(ids[twice].view(np.uint64) * _M) % np.uint64(n_groups)).astype(np.int64)
+        out = Blocks(n_groups, _TYPES[2:])
+        rows = [*out.add(group, ids[twice], tags[twice], start[twice]), *out.flush()]
+        return pa.Table.from_batches(rows) if rows else pa.table({"block": pa.array([], pa.int64()), **{f"c{i}": pa.array([], pa.binary()) for i in range(3)}})
+
+    def gather(keys: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
+        ids, tags, start = Blocks.unpack(tab, _TYPES[2:])
+        order = np.lexsort((tags, ids))
+        ids, tags, start = ids[order], tags[order], start[order]
         edge = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))) if len(ids) else np.zeros(0, np.int64)
         ends = np.append(edge[1:], len(ids))
         return pa.table({"doc_id": pa.array(ids[edge], pa.int64()), "tag": pa.array(tags[edge], pa.int32()), "places": pa.array([start[s:e].astype("<i4").tobytes() for s, e in zip(edge.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
-    return texts.mapInArrow(emit, Blocks.schema(5)).groupBy("block").applyInArrow(verify, COVERED)
+    found = texts.mapInArrow(emit, Blocks.schema(5)).groupBy("block").applyInArrow(verify, Blocks.schema(3))
+    return found.groupBy("block").applyInArrow(gather, COVERED)
 
 
 def remove_repeats(df: DataFrame, window: int = WINDOW, n_rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, keep_layout: bool = False) -> DataFrame:
@@ -209,7 +221,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, n_rounds: int = ROUNDS,
     repeated windows meet their text, in one join by id; the text travels compressed. keep_layout: texts that lose no
     word stay as they are.
     """
-    places = saved(repeated_windows(two_columns(df, id_col, text_col), window, n_rounds)).groupBy("doc_id", "tag").agg(F.collect_list("places").alias("places"))
+    places = saved(repeated_windows(two_columns(df, id_col, text_col), window, n_rounds))
     texts, rest = carried(df, id_col, text_col, carry or [])
     schema = f"doc_id long, tag int, known boolean, z binary, rest {rest}"
     packed = arrow_schema(schema)
@@ -228,13 +240,13 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, n_rounds: int = ROUNDS,
         back = zstandard.ZstdDecompressor()
         for b in slices(batches):
             rows = []
-            for doc, known, z, parts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, known, z, starts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 text = back.decompress(z).decode()
                 words = words_of(text)
                 n = len(words)
-                if parts:
+                if starts:
                     edge = np.zeros(n + 1, np.int64)
-                    start = np.unique(np.frombuffer(b"".join(parts), "<i4"))
+                    start = np.unique(np.frombuffer(starts, "<i4"))
                     edge[start] += 1
                     edge[start + window] -= 1
                     covered = np.cumsum(edge)[:-1] > 0
