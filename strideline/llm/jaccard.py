@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,9 +190,9 @@ def candidate_pairs(texts: DataFrame, n_blocks: int, run: int) -> DataFrame:
 FILTER = 1 << 23
 
 
-def gathered_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, s: the sorted hashes of the sets in wanted (column cid), each once. A filter of fixed size goes to the scan,
-    so other sets (but few) aren't shuffled."""
+def gathered_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, s: a text, compressed, for each set in wanted (column cid). It takes a third of the room of its shingles' hashes.
+    A filter of fixed size goes to the scan, so other texts (but few) aren't shuffled."""
 
     def mark(c: np.ndarray, b: pa.RecordBatch) -> None:
         c[b.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER // 8)] = 1
@@ -202,7 +203,7 @@ def gathered_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there, seen = np.unpackbits(sent.value), set()
+        there, seen, press = np.unpackbits(sent.value), set(), zstandard.ZstdCompressor(level=3)
         for b in slices(batches):
             ids, sets = [], []
             for t in b.column(1).to_pylist():
@@ -211,7 +212,7 @@ def gathered_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     cid = int.from_bytes(set_key(s)[:8], "little", signed=True)
                     if there[(cid & 0xFFFFFFFFFFFFFFFF) % (FILTER // 8)] and _fresh(seen, cid):
                         ids.append(cid)
-                        sets.append(s.tobytes())
+                        sets.append(press.compress(t.encode()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], schema=out)
 
     return texts.mapInArrow(run, schema).join(wanted.select("cid"), "cid").groupBy("cid").agg(F.first("s").alias("s"))
@@ -223,10 +224,20 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     out = arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = zstandard.ZstdDecompressor()
+        seen: dict[int, np.ndarray] = {}
+
+        def whole(cid: int, z: bytes) -> np.ndarray:
+            if cid not in seen:
+                if len(seen) >= 64:
+                    seen.clear()
+                seen[cid] = shingles(back.decompress(z).decode())
+            return seen[cid]
+
         for b in slices(batches):
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i, j, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, y = whole(i, x), whole(j, y)
                 n = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * n >= 75 * (len(x) + len(y) - n))
             mask = pa.array(keep, pa.bool_())
@@ -245,7 +256,7 @@ def linked_documents(df: DataFrame, run: int = 32, id_col: str = "doc_id", text_
     sets = saved(document_sets(df, id_col, text_col))
     sizes = sets.where("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.first("cid").alias("cid"))
     entries = sizes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * 0.75) + 1).alias("t")).first()["t"] or 0
-    found = saved(candidate_pairs(texts, grid(df, entries), run))
+    found = saved(candidate_pairs(texts, grid(df, entries, 800_000) // 2 + 1, run))
     sums = found.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     bound = F.col("n") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
     pairs = saved(sums.where(7 * bound >= 3 * (F.col("na") + F.col("nb"))).select("a", "b", "n"))
@@ -254,7 +265,7 @@ def linked_documents(df: DataFrame, run: int = 32, id_col: str = "doc_id", text_
     best = lambda x, y: pairs.groupBy(x).agg(F.max_by(y, F.struct("n", y)).alias(y))
     first = saved(best("a", "b").select("a", "b").union(best("b", "a").select("a", "b")).union(found.where("kind = 2").select("a", "b")).distinct())
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(long_columns.select("cid")).distinct()
-    whole = saved(gathered_sets(texts, ends))
+    whole = saved(gathered_texts(texts, ends))
     links = saved(alike(first, whole))
     label = components(links)
 
