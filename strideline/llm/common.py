@@ -114,7 +114,7 @@ def summed_counts(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], Non
     step = size // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, any_rows = np.zeros(size, np.int64), False
+        c, any_rows = np.zeros(size, np.int32), False
         for b in slices(batches):
             any_rows = True
             add(c, b)
@@ -125,7 +125,7 @@ def summed_counts(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], Non
     def add_up(keys: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
         total = None
         for x in tab.column("c").to_pylist():
-            a = np.frombuffer(x, np.int64)
+            a = np.frombuffer(x, np.int32 if len(x) == 4 * step else np.int64).astype(np.int64)
             total = a.copy() if total is None else total + a
         return pa.table({"part": pa.array([keys[0].as_py()], pa.int32()), "c": pa.array([total.tobytes()], pa.binary())})
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Blocks, arrow_schema, grid, saved, slices, summed_counts, two_columns
 from .components import components
 
-WORDS, COUNTERS = 5, 1 << 18
+WORDS, COUNTERS = 5, 1 << 22
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,7 +60,7 @@ def prefix_length(n: int) -> int:
 
 def ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Keys that sort rare shingles first: the logarithm of the count in the top byte, then the hash."""
-    seen = counts[(s >> np.uint64(46)).astype(np.int64)]
+    seen = counts[(s >> np.uint64(42)).astype(np.int64)]
     return np.sort(np.floor(np.log2(np.maximum(seen, 1))).astype(np.uint64) << np.uint64(56) | s >> np.uint64(8))
 
 
@@ -109,7 +109,7 @@ def product(tab: pa.Table, run: int) -> pa.Table:
         luck = mixed(c.astype(np.uint64))
         for x in np.unique(band).tolist():
             inside = np.flatnonzero(band == x)
-            for p in inside[np.argsort(luck[inside])[:2]].tolist():
+            for p in inside[np.argsort(luck[inside])[:4]].tolist():
                 q = np.flatnonzero((np.abs(band - x) <= 1) & (4 * np.minimum(size, size[p]) >= 3 * np.maximum(size, size[p])) & (c != c[p]))
                 z = np.zeros(len(q), np.int64)
                 a, b = np.minimum(c[q], c[p]), np.maximum(c[q], c[p])
@@ -158,9 +158,9 @@ def candidate_pairs(texts: DataFrame, n_blocks: int, run: int) -> DataFrame:
 
     def count(c: np.ndarray, b: pa.RecordBatch) -> None:
         got = np.concatenate([shingles(t) for t in b.column(1).to_pylist()] or [np.zeros(0, np.uint64)])
-        c += np.bincount((got >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
+        c += np.bincount((got >> np.uint64(42)).astype(np.int64), minlength=COUNTERS)
 
-    sent = texts.sparkSession.sparkContext.broadcast(summed_counts(texts, count, COUNTERS))  # 2 MB, whatever the input
+    sent = texts.sparkSession.sparkContext.broadcast(summed_counts(texts, count, COUNTERS).astype(np.uint32))  # 16 MB, whatever the input
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, blocks = sent.value, set(), Blocks(n_blocks, _TYPES)
@@ -267,20 +267,38 @@ def linked_documents(df: DataFrame, run: int = 32, id_col: str = "doc_id", text_
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(long_columns.select("cid")).distinct()
     whole = saved(gathered_texts(texts, ends))
     links = saved(alike(first, whole))
-    label = components(links)
+    label, tried = components(links), first
+    fits = 4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")
+
+    def open_columns() -> DataFrame:
+        """Members of the long columns in which not all are joined yet, with their components."""
+        members = long_columns.join(label.withColumnRenamed("v", "cid"), "cid", "left").select("key", "cid", "n", F.coalesce("c", "cid").alias("c"))
+        apart = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        return saved(members.join(apart, "key"))
+
+    def verified(some: DataFrame) -> DataFrame:
+        """The labels after the pairs that haven't been tried are held against the whole texts."""
+        nonlocal links, tried
+        new = saved(some.distinct().join(tried, ["a", "b"], "left_anti"))
+        more = saved(alike(new, whole))
+        links, tried = links.union(more), tried.union(new)
+        return components(links) if more.limit(1).count() else label
+
+    for turn in range(2):  # a few other pivots join most of what a long column has left, at a cost linear in it
+        left = open_columns()
+        if not left.limit(1).count():
+            break
+        lucky = lambda k: F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid", "n", "c")).alias(f"p{k}")  # noqa: E731, B023
+        pivots = left.groupBy("key").agg(*(lucky(4 * turn + k) for k in range(4)))
+        pivots = pivots.select("key", F.explode(F.array(*(f"p{4 * turn + k}" for k in range(4)))).alias("p")).select("key", F.col("p.cid").alias("y"), F.col("p.n").alias("nb"), F.col("p.c").alias("cb"))
+        near = left.withColumnRenamed("n", "na").join(pivots, "key").where((F.col("c") != F.col("cb")) & fits)
+        label = verified(near.select(F.least("cid", "y").alias("a"), F.greatest("cid", "y").alias("b")))
 
     of = lambda side: label.withColumnsRenamed({"v": side, "c": f"c{side}"})
-    apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-    rest = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b")
-    members = long_columns.join(label.withColumnRenamed("v", "cid"), "cid", "left").select("key", "cid", "n", F.coalesce("c", "cid").alias("c"))
-    open_keys = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = saved(members.join(open_keys, "key"))
+    rest = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    left = open_columns()
     x, y = left.withColumnsRenamed({"cid": "a", "n": "na", "c": "ca"}), left.withColumnsRenamed({"cid": "b", "n": "nb", "c": "cb"})
-    fits = 4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")
-    rest = rest.union(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")).distinct()
-    more = saved(alike(rest.join(first, ["a", "b"], "left_anti"), whole))
-    if more.limit(1).count():
-        label = components(links.union(more))
+    label = verified(rest.union(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")))
 
     docs = sets.join(label.withColumnRenamed("v", "cid"), "cid", "left").select("doc_id", "n", F.coalesce("c", "cid").alias("c"))
     least = docs.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
