@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,10 +106,20 @@ def arrow_schema(schema: str) -> pa.Schema:
 PARTS = 64
 
 
+def _narrow(c: np.ndarray) -> bytes:
+    """Counters as the smallest unsigned numbers that hold them, compressed: most are small."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(c.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + zstandard.compress(c.astype(f"<u{width}").tobytes(), 1)
+
+
+def _wide(x: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(x[1:]), f"<u{x[0]}").astype(np.int64)
+
+
 def summed_counts(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], size: int) -> np.ndarray:
     """A table of `size` counters summed over all rows of df.
 
-    Each task keeps one table and sends it in PARTS pieces; pieces meet in two rounds (64 salts, then one), so no
+    Each task keeps one table and sends it in PARTS packed pieces; pieces meet in two rounds (64 salts, then one), so no
     task gets more than a 64th of a piece's senders. The result has a fixed size whatever the input's.
     """
     step = size // PARTS
@@ -120,21 +131,20 @@ def summed_counts(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], Non
             add(c, b)
         if any_rows:
             salt = TaskContext.get().partitionId() % 64  # the same when the task runs again
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([salt] * PARTS, pa.int32()), pa.array([c[i * step : (i + 1) * step].tobytes() for i in range(PARTS)], pa.binary())], ["part", "salt", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([salt] * PARTS, pa.int32()), pa.array([_narrow(c[i * step : (i + 1) * step]) for i in range(PARTS)], pa.binary())], ["part", "salt", "c"])
 
     def add_up(keys: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
-        total = None
-        for x in tab.column("c").to_pylist():
-            a = np.frombuffer(x, np.int32 if len(x) == 4 * step else np.int64).astype(np.int64)
-            total = a.copy() if total is None else total + a
-        return pa.table({"part": pa.array([keys[0].as_py()], pa.int32()), "c": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(step, np.int64)
+        for x in tab.column("c"):
+            total += _wide(x.as_py())
+        return pa.table({"part": pa.array([keys[0].as_py()], pa.int32()), "c": pa.array([_narrow(total)], pa.binary())})
 
     parts = df.mapInArrow(count, "part int, salt int, c binary")
     once = parts.groupBy("part", "salt").applyInArrow(add_up, "part int, c binary")
     rows = once.groupBy("part").applyInArrow(add_up, "part int, c binary").collect()  # PARTS rows of a fixed size
     out = np.zeros(size, np.int64)
     for r in rows:
-        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["c"], np.int64)
+        out[r["part"] * step : (r["part"] + 1) * step] = _wide(r["c"])
     return out
 
 

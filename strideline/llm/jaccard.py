@@ -8,6 +8,8 @@
    classes give no pairs; a few pivots of theirs are paired with the others instead.
 4. Pairs whose bound falls short go. Of the rest, each class's best partner and the pivots are held against the whole
    sets first; then, from what is left, only pairs (and pairs within long columns) whose classes aren't joined yet.
+   Within a long column the places bound what two sets can share if this column is the first that they share; sets whose
+   first one is short, but which share long ones too, are kept by their number of long columns (`beside`).
 """
 
 from __future__ import annotations
@@ -53,6 +55,16 @@ def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+#: 64-bit numbers of a set's signature.
+SIGNATURE = 4
+
+
+def signature(s: np.ndarray) -> list[int]:
+    """Whether an even or odd number of shingles falls on each of 64 * SIGNATURE bits; two sets' signatures differ in no
+    more bits than the sets do in shingles."""
+    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * SIGNATURE), minlength=64 * SIGNATURE) & 1 > 0).view("<i8").tolist()
+
+
 def prefix_length(n: int) -> int:
     """The first so many of n shingles, in any one order, meet those of every set that is 3/4 alike."""
     return n - -(-3 * n // 4) + 1
@@ -75,12 +87,15 @@ def run_pairs(at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(left), np.concatenate(right)
 
 
-PAIR = "kind int, a long, b long, na int, nb int, n int, pa int, pb int, key long"
+PAIR = "kind int, a long, b long, na int, nb int, n int, pa int, pb int, qa int, qb int, key long"
+PIVOTS = 2
 _TYPES = ["<i8", "<i4", "<u8", "<i4"]
 
 
 def product(tab: pa.Table, run: int) -> pa.Table:
-    """One block of the product: kind 0, pairs with counts and last places; 1, members of long columns; 2, pairs with pivots."""
+    """One block of the product: kind 0, pairs with counts and last places; 1, members of long columns with their places; 2, pairs with pivots.
+
+    pa, pb: the last places of the columns that a pair shares; qa, qb: the first."""
     cid, n, key, place = Blocks.unpack(tab, _TYPES)
     order = np.lexsort((cid, key))
     cid, n, key, place = cid[order], n[order], key[order], place[order]
@@ -98,23 +113,23 @@ def product(tab: pa.Table, run: int) -> pa.Table:
         i, j = i[order], j[order]
         first = np.flatnonzero(np.append(True, (cid[i][1:] != cid[i][:-1]) | (cid[j][1:] != cid[j][:-1])))
         count = np.diff(np.append(first, len(i)))
-        last = [np.maximum.reduceat(place[x], first) for x in (i, j)]
+        ends = [f.reduceat(place[x], first) for f in (np.maximum, np.minimum) for x in (i, j)]
         i, j = i[first], j[first]
-        out.append((np.zeros(len(i), np.int64), cid[i], cid[j], n[i], n[j], count, *last, np.zeros(len(i), np.int64)))
+        out.append((np.zeros(len(i), np.int64), cid[i], cid[j], n[i], n[j], count, *ends, np.zeros(len(i), np.int64)))
     for s, m in zip(at[length > run].tolist(), length[length > run].tolist(), strict=True):
-        c, size = cid[s : s + m], n[s : s + m]
+        c, size, at_c = cid[s : s + m], n[s : s + m], place[s : s + m].astype(np.int64)
         zero = np.zeros(m, np.int64)
-        out.append((zero + 1, c, c, size, size, zero, zero, zero, np.full(m, key[s : s + 1].view(np.int64)[0])))
+        out.append((zero + 1, c, c, size, size, zero, at_c, at_c, at_c, at_c, np.full(m, key[s : s + 1].view(np.int64)[0])))
         band = np.floor(np.log(size) / np.log(4 / 3)).astype(np.int64)
         luck = mixed(c.astype(np.uint64))
         for x in np.unique(band).tolist():
             inside = np.flatnonzero(band == x)
-            for p in inside[np.argsort(luck[inside])[:4]].tolist():
-                q = np.flatnonzero((np.abs(band - x) <= 1) & (4 * np.minimum(size, size[p]) >= 3 * np.maximum(size, size[p])) & (c != c[p]))
+            for p in inside[np.argsort(luck[inside])[:PIVOTS]].tolist():
+                q = np.flatnonzero((np.abs(band - x) <= 1) & (7 * np.minimum(size - at_c, size[p] - at_c[p]) >= 3 * (size + size[p])) & (c != c[p]))
                 z = np.zeros(len(q), np.int64)
                 a, b = np.minimum(c[q], c[p]), np.maximum(c[q], c[p])
                 na, nb = np.where(c[q] < c[p], size[q], size[p]), np.where(c[q] < c[p], size[p], size[q])
-                out.append((z + 2, a, b, na, nb, z, z, z, z))
+                out.append((z + 2, a, b, na, nb, z, z, z, z, z, z))
     schema = arrow_types(PAIR)
     cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * len(schema)
     got = pa.Table.from_arrays([pa.array(c, pa.int64()).cast(schema.field(i).type) for i, c in enumerate(cols)], schema=schema)
@@ -129,8 +144,9 @@ def arrow_types(ddl: str) -> pa.Schema:
 
 
 def document_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (size of the set), cid (a number for the set), k (16 bytes for it; null for an empty set)."""
-    schema = "doc_id long, n int, cid long, k binary"
+    """doc_id, n (size of the set), cid (a number for the set), k (16 bytes for it; null for an empty set), its signature."""
+    marks = [f"s{i}" for i in range(SIGNATURE)]
+    schema = "doc_id long, n int, cid long, k binary, " + ", ".join(f"{m} long" for m in marks)
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +154,8 @@ def document_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             keys = [set_key(s) if len(s) else None for s in sets]
             cids = [None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int32()), pa.array(cids, pa.int64()), pa.array(keys, pa.binary())], schema=out)
+            signs = [pa.array(x, pa.int64()) for x in zip(*map(signature, sets), strict=True)] or [pa.array([], pa.int64())] * SIGNATURE
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int32()), pa.array(cids, pa.int64()), pa.array(keys, pa.binary()), *signs], schema=out)
 
     return two_columns(df, id_col, text_col).mapInArrow(run, schema)
 
@@ -254,13 +271,21 @@ def linked_documents(df: DataFrame, run: int = 32, id_col: str = "doc_id", text_
     """
     texts = two_columns(df, id_col, text_col)
     sets = saved(document_sets(df, id_col, text_col))
-    sizes = sets.where("n > 0").groupBy("k").agg(F.first("n").alias("n"), F.first("cid").alias("cid"))
+    marks = [f"s{i}" for i in range(SIGNATURE)]
+    sizes = sets.where("n > 0").groupBy("k").agg(F.first("n").alias("n"))
+    signs = sets.where("n > 0").groupBy("cid").agg(*(F.first(m).alias(m) for m in marks))
     entries = sizes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * 0.75) + 1).alias("t")).first()["t"] or 0
     found = saved(candidate_pairs(texts, grid(df, entries, 800_000) // 2 + 1, run))
-    sums = found.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    sums = found.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.min("qa").alias("qa"), F.min("qb").alias("qb"))
+    enough = lambda overlap: 7 * overlap >= 3 * (F.col("na") + F.col("nb"))
     bound = F.col("n") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    pairs = saved(sums.where(7 * bound >= 3 * (F.col("na") + F.col("nb"))).select("a", "b", "n"))
-    long_columns = found.where("kind = 1").select("key", F.col("a").alias("cid"), F.col("na").alias("n"))
+    from_first = F.least(F.col("na") - F.col("qa"), F.col("nb") - F.col("qb"))  # nothing is shared before the first
+    possible = saved(sums.where(enough(from_first)).withColumn("sure", enough(bound)).withColumn("bound", bound).select("a", "b", "na", "nb", "n", "bound", "sure"))
+    pairs = possible.where("sure").select("a", "b", "n")
+    long_columns = found.where("kind = 1").select("key", F.col("a").alias("cid"), F.col("na").alias("n"), F.col("qa").alias("q"))
+    of_long = long_columns.groupBy("cid").agg(F.count("*").alias("m"))
+    held = lambda side: of_long.withColumnsRenamed({"cid": side, "m": f"m{side}"})
+    beside = possible.where("not sure").join(held("a"), "a").join(held("b"), "b").where(enough(F.col("bound") + F.least("ma", "mb"))).select("a", "b")
 
     best = lambda x, y: pairs.groupBy(x).agg(F.max_by(y, F.struct("n", y)).alias(y))
     first = saved(best("a", "b").select("a", "b").union(best("b", "a").select("a", "b")).union(found.where("kind = 2").select("a", "b")).distinct())
@@ -268,13 +293,15 @@ def linked_documents(df: DataFrame, run: int = 32, id_col: str = "doc_id", text_
     whole = saved(gathered_texts(texts, ends))
     links = saved(alike(first, whole))
     label, tried = components(links), first
-    fits = 4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")
+    apart = sum((F.bit_count(F.col(f"{m}a").bitwiseXOR(F.col(f"{m}b"))) for m in marks), F.lit(0))  # no more than the shingles of one of the two
+    fits = enough(F.least(F.col("na") - F.col("qa"), F.col("nb") - F.col("qb"))) & (7 * apart <= F.col("na") + F.col("nb"))
+    named = lambda df, side: df.withColumnsRenamed({"n": f"n{side}", "q": f"q{side}", "c": f"c{side}"} | {m: f"{m}{side}" for m in marks})
 
     def open_columns() -> DataFrame:
         """Members of the long columns in which not all are joined yet, with their components."""
-        members = long_columns.join(label.withColumnRenamed("v", "cid"), "cid", "left").select("key", "cid", "n", F.coalesce("c", "cid").alias("c"))
-        apart = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        return saved(members.join(apart, "key"))
+        members = long_columns.join(label.withColumnRenamed("v", "cid"), "cid", "left").select("key", "cid", "n", "q", F.coalesce("c", "cid").alias("c"))
+        split = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        return saved(members.join(split, "key").join(signs, "cid"))
 
     def verified(some: DataFrame) -> DataFrame:
         """The labels after the pairs that haven't been tried are held against the whole texts."""
@@ -288,16 +315,16 @@ def linked_documents(df: DataFrame, run: int = 32, id_col: str = "doc_id", text_
         left = open_columns()
         if not left.limit(1).count():
             break
-        lucky = lambda k: F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid", "n", "c")).alias(f"p{k}")  # noqa: E731, B023
+        lucky = lambda k: F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid", "n", "q", "c", *marks)).alias(f"p{k}")  # noqa: E731, B023
         pivots = left.groupBy("key").agg(*(lucky(4 * turn + k) for k in range(4)))
-        pivots = pivots.select("key", F.explode(F.array(*(f"p{4 * turn + k}" for k in range(4)))).alias("p")).select("key", F.col("p.cid").alias("y"), F.col("p.n").alias("nb"), F.col("p.c").alias("cb"))
-        near = left.withColumnRenamed("n", "na").join(pivots, "key").where((F.col("c") != F.col("cb")) & fits)
+        pivots = pivots.select("key", F.explode(F.array(*(f"p{4 * turn + k}" for k in range(4)))).alias("p")).select("key", F.col("p.cid").alias("y"), *(F.col(f"p.{x}").alias(x) for x in ("n", "q", "c", *marks)))
+        near = named(left, "a").join(named(pivots, "b"), "key").where((F.col("ca") != F.col("cb")) & fits)
         label = verified(near.select(F.least("cid", "y").alias("a"), F.greatest("cid", "y").alias("b")))
 
     of = lambda side: label.withColumnsRenamed({"v": side, "c": f"c{side}"})
-    rest = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = pairs.select("a", "b").union(beside).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     left = open_columns()
-    x, y = left.withColumnsRenamed({"cid": "a", "n": "na", "c": "ca"}), left.withColumnsRenamed({"cid": "b", "n": "nb", "c": "cb"})
+    x, y = named(left, "a").withColumnRenamed("cid", "a"), named(left, "b").withColumnRenamed("cid", "b")
     label = verified(rest.union(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")))
 
     docs = sets.join(label.withColumnRenamed("v", "cid"), "cid", "left").select("doc_id", "n", F.coalesce("c", "cid").alias("c"))
