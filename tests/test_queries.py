@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from strideline.plans import catalog
+from strideline.plans import catalog, places  # noqa: F401  places adds to the catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
