@@ -14,10 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices, summed_counts, two_columns
+from .common import arrow_schema, saved, slices, summed_counts, two_columns
+from .jaccard import mixed
 
 SIZES, BITS = (3, 4, 5, 6), 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -147,11 +149,48 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
+#: Bits of the filter of labelled ids: 512 KB.
+FILTER = 1 << 22
+
+
+def _slot(ids: pa.Array) -> np.ndarray:
+    return (mixed(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(FILTER)).astype(np.int64)
+
+
+def labelled_texts(docs: DataFrame, y: DataFrame) -> DataFrame:
+    """doc_id, text, y of each row of docs that has a label in y (doc_id, not null, and y).
+
+    Texts meet their labels compressed, in one shuffle. A filter of fixed size goes to the scan, so that texts without a
+    label mostly stay where they are; with very many labels it lets more texts through, and the join drops them.
+    """
+
+    def mark(c: np.ndarray, b: pa.RecordBatch) -> None:
+        c[_slot(b.column(0))] = 1
+
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(summed_counts(y.select("doc_id"), mark, FILTER) > 0))
+    packed, plain = arrow_schema("doc_id long, z binary"), arrow_schema("doc_id long, text string, y int")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, press = np.unpackbits(sent.value) > 0, zstandard.ZstdCompressor(level=3)
+        for b in slices(batches):
+            b = b.filter(b.column(0).is_valid())
+            b = b.filter(pa.array(there[_slot(b.column(0))], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([press.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], schema=packed)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = zstandard.ZstdDecompressor()
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([back.decompress(z).decode() for z in b.column(1).to_pylist()], pa.string()), b.column(2)], schema=plain)
+
+    some = two_columns(docs, "doc_id", "text").mapInArrow(pack, "doc_id long, z binary")
+    return saved(some.join(y.select("doc_id", F.col("y").cast("int").alias("y")), "doc_id").select("doc_id", "z", "y")).mapInArrow(unpack, "doc_id long, text string, y int")
+
+
 def train_on(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """A model from the labels outside the held-out third, each joined with its text."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("y")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     y = y.dropDuplicates(["doc_id", "y"])
-    return train(two_columns(docs, "doc_id", "text").join(y, "doc_id").select("doc_id", "text", "y"), **options)
+    return train(labelled_texts(docs, y), **options)
 
 
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
