@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .common import arrow_schema, slices, two_columns
 
 #: Words of a paragraph's part, about; cells of a fingerprint.
 PART, CELLS = 4, 24
+#: Cells of the sketches that are peeled together.
+MOST_CELLS = 1 << 18
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -32,93 +35,123 @@ def _mixed(x: np.ndarray, salt: np.uint64) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def digests(data: bytes) -> np.ndarray:
-    """The distinct digests of a text's paragraph parts; a part that comes again gets a digest of its own each time."""
-    if not data:
-        return np.zeros(0, np.uint64)
-    words = data.split(b" ")
-    n = len(words)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    line_end = np.fromiter((b"\n" in w for w in words), np.bool_, n)
+def digests(texts: list[bytes]) -> list[np.ndarray]:
+    """Each text's distinct digests of paragraph parts; a part that comes again gets a digest of its own each time."""
+    words = [t.split(b" ") if t else [] for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    n, doc = int(sizes.sum()), np.repeat(np.arange(len(texts)), sizes)
+    if not n:
+        return [np.zeros(0, np.uint64)] * len(texts)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, n)
+    line_end = np.concatenate([np.fromiter((b"\n" in w for w in ws), np.bool_, len(ws)) if b"\n" in t else np.zeros(len(ws), np.bool_) for t, ws in zip(texts, words, strict=True)])
     with np.errstate(over="ignore"):
-        ends = np.flatnonzero((h % np.uint64(PART) == 0) | line_end if n > 3 * PART else np.ones(n, np.bool_))
-        starts = np.concatenate([[0], ends + 1])
-        starts = starts[starts < n]
+        ends = (h % np.uint64(PART) == 0) | line_end | (sizes <= 3 * PART)[doc]
+        starts = np.flatnonzero(np.append(True, ends[:-1] | (doc[1:] != doc[:-1])))
         place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
         starts = np.flatnonzero(place % (2 * PART) == 0)  # long parts are cut again, counted from their beginnings
         place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-        d = np.add.reduceat(_mixed(h, _C) * (_mixed(place.astype(np.uint64), _B) | np.uint64(1)), starts)
-        d = np.sort(_mixed(d, _A))
-        first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+        d = _mixed(np.add.reduceat(_mixed(h, _C) * (_mixed(place.astype(np.uint64), _B) | np.uint64(1)), starts), _A)
+        doc = doc[starts]
+        order = np.lexsort((d, doc))
+        d, doc = d[order], doc[order]
+        first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (doc[1:] != doc[:-1])))
         again = np.arange(len(d)) - np.repeat(first, np.diff(np.append(first, len(d))))
-        return np.where(again > 0, _mixed(d + again.astype(np.uint64), _C), d)
+        d = np.where(again > 0, _mixed(d + again.astype(np.uint64), _C), d)
+    return np.split(d, np.searchsorted(doc, np.arange(1, len(texts))))
 
 
-class Sketch:
-    def __init__(self, cells: int):
-        self.third = max(1, cells // 3)
-        m = 3 * self.third
-        self.count, self.keys, self.checks = np.zeros(m, np.int64), np.zeros(m, np.uint64), np.zeros(m, np.uint64)
+class Sketches:
+    """As many tables of `cells` cells as there are lists of digests; all are built, subtracted and peeled together."""
 
-    def add(self, d: np.ndarray, signs: np.ndarray | int = 1) -> Sketch:
-        """Add digests, or take out those whose sign is -1."""
+    def __init__(self, n: int, cells: int):
+        self.n, self.third = n, max(1, cells // 3)
+        self.m = 3 * self.third
+        self.count, self.keys, self.checks = np.zeros(n * self.m, np.int64), np.zeros(n * self.m, np.uint64), np.zeros(n * self.m, np.uint64)
+
+    @staticmethod
+    def of(lists: list[np.ndarray], cells: int) -> Sketches:
+        owner = np.repeat(np.arange(len(lists)), [len(d) for d in lists])
+        return Sketches(len(lists), cells).add(owner, np.concatenate([np.zeros(0, np.uint64), *lists]), np.ones(len(owner), np.int64))
+
+    def add(self, owner: np.ndarray, d: np.ndarray, sign: np.ndarray) -> Sketches:
+        """Add each digest to its owner's table, or take out those whose sign is -1."""
         with np.errstate(over="ignore"):
-            sign = np.broadcast_to(np.asarray(signs, np.int64), d.shape)
-            unsigned, check = sign.astype(np.uint64), _mixed(d, _C)
+            unsigned = sign.astype(np.uint64)
+            key, check = d * unsigned, _mixed(d, _C) * unsigned
             for j, salt in enumerate((_A, _B, _A ^ _B)):
-                at = (_mixed(d, salt) >> np.uint64(20)) % np.uint64(self.third) + np.uint64(j * self.third)
-                at = at.astype(np.int64)
+                at = ((_mixed(d, salt) >> np.uint64(20)) % np.uint64(self.third)).astype(np.int64) + (owner * self.m + j * self.third)
                 np.add.at(self.count, at, sign)
-                np.add.at(self.keys, at, d * unsigned)
-                np.add.at(self.checks, at, check * unsigned)
+                np.add.at(self.keys, at, key)
+                np.add.at(self.checks, at, check)
         return self
 
-    def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(3 * self.third)
+    def minus(self, other: Sketches) -> Sketches:
+        out = Sketches(self.n, self.m)
         with np.errstate(over="ignore"):
             out.count, out.keys, out.checks = self.count - other.count, self.keys - other.keys, self.checks - other.checks
         return out
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """The digests left over and their signs; None if peeling gets stuck. Uses the sketch up."""
-        found, signs = [], []
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Owners, digests left over and signs, and for each table whether peeling emptied it. Uses the sketches up."""
+        owners, found, signs, times = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros(self.n, np.int64)
         with np.errstate(over="ignore"):
             while True:
                 one = np.flatnonzero(np.abs(self.count) == 1)
+                one = one[times[one // self.m] <= 4 * self.m]  # past that, a false digest set it going round
                 sign = self.count[one]
                 key = self.keys[one] * sign.astype(np.uint64)
                 pure = _mixed(key, _C) * sign.astype(np.uint64) == self.checks[one]
                 if not pure.any():
                     break
-                key, at = np.unique(key[pure], return_index=True)
-                sign = sign[pure][at]
+                owner, key, sign = one[pure] // self.m, key[pure], sign[pure]
+                order = np.lexsort((key, owner))
+                owner, key, sign = owner[order], key[order], sign[order]
+                new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
+                owner, key, sign = owner[new], key[new], sign[new]
+                owners.append(owner)
                 found.append(key)
                 signs.append(sign)
-                if sum(map(len, found)) > 4 * len(self.count):
-                    return None  # a false digest set it going round
-                self.add(key, -sign)
-        if self.count.any() or self.keys.any() or self.checks.any():
-            return None
-        return (np.concatenate(found), np.concatenate(signs)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-    def text(self) -> str:
-        return base64.b64encode(self.count.astype("<i2").tobytes() + self.keys.astype("<u8").tobytes() + self.checks.astype("<u4").tobytes()).decode()
-
-
-def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
-    """The digests that only a (sign 1) or only b (sign -1) has, recovered from sketches alone."""
-    while 1.3 * abs(len(a) - len(b)) > cells:
-        cells *= 4  # this many can't be recovered
-    while (got := Sketch(cells).add(a).minus(Sketch(cells).add(b)).peel()) is None:
-        cells *= 4
-    return got
-
-
-def likeness(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> float:
+                times += np.bincount(owner, minlength=self.n)
+                self.add(owner, key, -sign)
+        left = (self.count != 0) | (self.keys != 0) | (self.checks != 0)
+        return np.concatenate(owners), np.concatenate(found), np.concatenate(signs), ~left.reshape(self.n, self.m).any(axis=1)
+
+    def texts(self) -> list[str]:
+        c, k, x = (v.astype(t).reshape(self.n, self.m) for v, t in ((self.count, "<i2"), (self.keys, "<u8"), (self.checks, "<u4")))
+        return [base64.b64encode(c[i].tobytes() + k[i].tobytes() + x[i].tobytes()).decode() for i in range(self.n)]
+
+
+def differences(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair the digests that only its first (sign 1) or only its second (sign -1) has, recovered from sketches alone."""
+    out: list = [None] * len(pairs)
+    size = np.full(len(pairs), cells)
+    apart = np.array([abs(len(a) - len(b)) for a, b in pairs])
+    while (low := 1.3 * apart > size).any():
+        size[low] *= 4  # this many can't be recovered
+    while (todo := [i for i, got in enumerate(out) if got is None]):
+        now = min(size[i] for i in todo)
+        todo = [i for i in todo if size[i] == now]
+        for k in range(0, len(todo), step := max(1, MOST_CELLS // int(now))):
+            some = todo[k : k + step]
+            owner, key, sign, done = Sketches.of([pairs[i][0] for i in some], now).minus(Sketches.of([pairs[i][1] for i in some], now)).peel()
+            order = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[order], np.arange(1, len(some)))
+            for i, keys, signs, ok in zip(some, np.split(key[order], cuts), np.split(sign[order], cuts), done.tolist(), strict=True):
+                if ok:
+                    out[i] = keys, signs
+                else:
+                    size[i] *= 4
+    return out
+
+
+def likeness(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -> list[float]:
     """Shared digests over all digests, with the number of differing ones from the sketches; 1 for two empty texts."""
-    apart = len(difference(a, b, cells)[0])
-    shared = (len(a) + len(b) - apart) / 2
-    return shared / (shared + apart) if shared + apart else 1.0
+    out = []
+    for (a, b), (keys, _) in zip(pairs, differences(pairs, cells), strict=True):
+        apart = len(keys)
+        shared = (len(a) + len(b) - apart) / 2
+        out.append(shared / (shared + apart) if shared + apart else 1.0)
+    return out
 
 
 FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -133,7 +166,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
     """
     docs = two_columns(df, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(_LEAST)))
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-total // range_bytes))
+    n = max(1, -(-total // range_bytes), min(4 * df.sparkSession.sparkContext.defaultParallelism, total >> 20))  # all cores share smaller tables too
     bounds = np.array(sorted(set(docs.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 100_000).alias("q")).first()["q"] or [])) if n > 1 else [], np.int64)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,25 +207,26 @@ def fingerprint(df: DataFrame, cells: int = CELLS, id_col: str = "doc_id", text_
     """
     out = arrow_schema(FINGERPRINTS)
 
-    def made(now: tuple, after: tuple) -> tuple:
-        (doc, text, d), (_, other, e) = now, after
-        m = len(text) // 3
-        edited = (text[: len(text) - m] + other[:m]).encode()
-        f = digests(edited)
-        return doc, len(text), hashlib.sha256(edited).hexdigest(), Sketch(cells).add(d).text(), Sketch(cells).add(f).text(), likeness(d, f, cells), likeness(d, e, cells)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = zstandard.ZstdDecompressor()
-        last, bucket = None, None
+        last = None
         for b in slices(batches):
-            rows = []
-            for k, halo, doc, z in zip(*(b.column(i).to_pylist() for i in (0, 2, 4, 5)), strict=True):
-                data = back.decompress(z)
-                now = (doc, data.decode(), digests(data))
-                if last is not None and k == bucket:
-                    rows.append(made(last, now))
-                last, bucket = None if halo else now, k
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, out.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=out)
+            data = [back.decompress(z) for z in b.column(5).to_pylist()]
+            docs = [*([last] if last else []), *zip(*(b.column(i).to_pylist() for i in (0, 2, 4)), data, digests(data), strict=True)]
+            last = docs[-1]
+            pairs = [(now, after) for now, after in zip(docs, docs[1:], strict=False) if now[0] == after[0] and not now[1]]
+            if not pairs:
+                continue
+            texts, edited = [now[3].decode() for now, _ in pairs], []
+            for text, (_, after) in zip(texts, pairs, strict=True):
+                m = len(text) // 3
+                edited.append((text[: len(text) - m] + after[3][: 4 * m].decode(errors="ignore")[:m]).encode())
+            d, e, f = [now[4] for now, _ in pairs], [after[4] for _, after in pairs], digests(edited)
+            near = likeness([*zip(d, f, strict=True), *zip(d, e, strict=True)], cells)
+            cols = (
+                [now[2] for now, _ in pairs], list(map(len, texts)), [hashlib.sha256(x).hexdigest() for x in edited],
+                Sketches.of(d, cells).texts(), Sketches.of(f, cells).texts(), near[: len(pairs)], near[len(pairs) :],
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, out.field(i).type) for i, c in enumerate(cols)], schema=out)
 
     return with_next(df, id_col, text_col).mapInArrow(run, FINGERPRINTS)

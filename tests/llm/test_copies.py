@@ -101,7 +101,7 @@ def test_peeling_recovers_the_difference_and_grows_when_stuck():
     rng = np.random.default_rng(3)
     for n, m, k in ((0, 0, 0), (5, 0, 0), (30, 2, 3), (500, 40, 60), (10, 900, 800)):
         common, a, b = (rng.integers(0, 2**63, x).astype(np.uint64) for x in (n, m, k))
-        got, sign = fingerprints.difference(np.append(common, a), np.append(common, b))
+        ((got, sign),) = fingerprints.differences([(np.append(common, a), np.append(common, b))])
         assert set(got[sign > 0].tolist()) == set(a.tolist()) and set(got[sign < 0].tolist()) == set(b.tolist())
 
 
