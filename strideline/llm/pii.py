@@ -1,9 +1,10 @@
 """Operator 5: personal data, by pattern and by information-theoretic disclosure.
 
 Patterns give the protected entities: e-mail addresses, IP addresses, card and phone numbers. The corpus then says which
-terms near them reveal them: a term t discloses an entity e if PMI(e; t) is at least `disclosure` times the entity's
-information content IC(e), which is the share log p(e|t) can't hide. Such terms, where they stand near the entity, become
-spans of kind `term`: removed if they determine the entity wholly (PMI >= IC), else generalised to a placeholder.
+terms in the same documents reveal them: a term t discloses an entity e if PMI(e; t) is at least `disclosure` times the
+entity's information content IC(e), which is the share log p(e|t) can't hide. Such terms, wherever they stand in a document
+that holds the entity, become spans of kind `term`: removed if they determine the entity wholly (PMI >= IC), else
+generalised to a placeholder.
 """
 
 from __future__ import annotations
@@ -68,33 +69,26 @@ def entity(kind: str, found: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value}") - (1 << 63)
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]], reach: int) -> Iterator[tuple[int, int, int, int]]:
-    """(entity, term, start, end) for up to `reach` words on either side of each span, words in spans left out."""
-    taken = sorted((s, e) for _, s, e in spans)
-    for kind, s, e in spans:
-        who, room = entity(kind, text[s:e]), 40 * reach
-        left = list(_word.finditer(text, max(0, s - room), s))
-        if left and left[0].start() == max(0, s - room) > 0:
-            left = left[1:]  # cut by the reach
-        for m in [*left[-reach:], *_first(_word.finditer(text, e, min(len(text), e + room)), reach)]:
-            a, b = m.span()
-            if not any(x < b and a < y for x, y in taken if x < b) and m[0].isalpha() and not (b == min(len(text), e + room) < len(text)):
-                yield who, term(m[0]), a, b
-
-
-def _first(it, n):
-    return [m for _, m in zip(range(n), it, strict=False)]
+def outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(term, start, end) of each alphabetic word that touches no span, wherever it stands in the text."""
+    taken, i = sorted((s, e) for _, s, e in spans), 0
+    for m in _word.finditer(text):
+        a, b = m.span()
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if not (i < len(taken) and taken[i][0] < b) and m[0].isalpha():
+            yield term(m[0]), a, b
 
 
 def term(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.lower()) - (1 << 63)
 
 
-FOUND = "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<e:bigint,t:bigint,s:int,x:int>>"
+FOUND = "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<bigint>, text string"
 
 
-def find_base(df: DataFrame, reach: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's base spans, and the terms near them. row_key tells rows with equal ids and different texts apart."""
+def find_base(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row's base spans and distinct entities, with the text where there are any. row_key tells rows with equal ids and different texts apart."""
     out = arrow_schema(FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,69 +97,134 @@ def find_base(df: DataFrame, reach: int = 4, id_col: str = "doc_id", text_col: s
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 spans = base_spans(text)
                 n = Counter(k for k, *_ in spans)
-                near = [dict(zip("etsx", x, strict=True)) for x in near_terms(text, spans, reach)]
-                rows.append((doc, row_key(doc, text), n["email"], n["ip"], n["card"], n["phone"], ",".join(f"{k}:{s}:{e}" for k, s, e in spans), near))
+                who = sorted({entity(k, text[s:e]) for k, s, e in spans})
+                rows.append((doc, row_key(doc, text), n["email"], n["ip"], n["card"], n["phone"], ",".join(f"{k}:{s}:{e}" for k, s, e in spans), who, text if spans else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, out.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=out)
 
     return two_columns(df, id_col, text_col).mapInArrow(run, FOUND)
 
 
+def _spans(base: str) -> list[tuple[str, int, int]]:
+    return [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in base.split(",") if x)]
+
+
 def row_key(doc: int | None, text: str) -> str:
     return f"{doc}:{xxhash.xxh3_128_hexdigest(text)}"
 
 
 def term_counts(df: DataFrame, most: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """t, n: how often each term stands in all texts. Tasks add up locally, at most `most` terms at a time, before the shuffle."""
+    """t, n_t: how many rows hold each term outside their spans. Tasks add up locally, about `most` terms at a time, before the shuffle."""
     out = arrow_schema("t long, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter[str] = Counter()
+        c: Counter[int] = Counter()
+        known: dict[str, tuple[int, ...]] = {}  # terms of what stands between spaces
 
         def flush() -> pa.RecordBatch:
-            terms: Counter[int] = Counter()
-            for w, n in c.items():
-                for m in _word.findall(w):
-                    if m.isalpha():
-                        terms[term(m)] += n
+            done = pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], schema=out)
             c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(terms.keys(), pa.int64()), pa.array(terms.values(), pa.int64())], schema=out)
+            known.clear()
+            return done
+
+        def terms(text: str) -> set[int]:
+            if spans := base_spans(text):
+                return {t for t, *_ in outside(text, spans)}
+            got: set[int] = set()
+            for w in set(text.split()):
+                if (ts := known.get(w)) is None:
+                    ts = known[w] = tuple(term(m) for m in _word.findall(w) if m.isalpha())
+                got.update(ts)
+            return got
 
         for b in slices(batches):
             for text in b.column(1).to_pylist():
-                c.update(text.split())
-            if len(c) > most:
+                c.update(terms(text))
+            if max(len(c), len(known)) > most:
                 yield flush()
         yield flush()
 
-    return two_columns(df, id_col, text_col).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    return two_columns(df, id_col, text_col).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
+
+
+SALTS = 8
+
+
+def _salted(many: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """many joined to few; the rows of one key are dealt by their text over SALTS tasks, each with its copy of few."""
+    salt = F.pmod(F.xxhash64("h"), F.lit(SALTS))
+    return many.withColumn("salt", salt).join(few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "salt"]).drop("salt")
+
+
+def _terms_of(texts: DataFrame) -> DataFrame:
+    """h, t: the distinct terms of each text outside its spans."""
+    out = arrow_schema("h string, t long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for h, base, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ts = {t for t, *_ in outside(text, _spans(base))}
+                yield pa.RecordBatch.from_arrays([pa.array([h] * len(ts), pa.string()), pa.array(list(ts), pa.int64())], schema=out)
 
+    return texts.select("h", "base", "text").mapInArrow(run, "h string, t long")
 
-def disclosing(found: DataFrame, counts: DataFrame, disclosure: float = 0.9, min_support: int = 3) -> DataFrame:
-    """e, t, whole: the terms that disclose an entity. Probabilities are shares of all words of the corpus."""
-    near = found.select("row_key", F.explode("near").alias("p")).select("row_key", "p.*").distinct()
-    pairs = near.groupBy("e", "t").agg(F.count("*").alias("n_et"))
-    # an entity is mentioned as often as its mentions have neighbours, over the neighbours of one mention
-    n_e = found.select(F.explode(F.array_distinct(F.transform("near", lambda p: p["e"]))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    total = counts.agg(F.sum("n").alias("n_all"))
-    got = pairs.where(F.col("n_et") >= min_support).join(n_e, "e").join(counts.withColumnRenamed("n", "n_t"), "t").join(F.broadcast(total))
-    share = F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))  # p(e|t): of the term's places, those near the entity
-    ic = -F.log2(F.least(F.lit(1.0), F.col("n_e") / F.col("n_all")))
+
+def disclosing(found: DataFrame, counts: DataFrame, n_all: int, disclosure: float = 0.9, min_support: int = 3) -> DataFrame:
+    """h, marks: the terms (t, whole) of each text that disclose an entity it holds.
+
+    Probabilities are shares of all n_all rows: n_e of them hold the entity, n_t the term, n_et both. Equal texts are
+    looked at once, for all their rows; min_support counts rows that differ in id or text. Only pairs that can't reach
+    the threshold are left out before they are counted: n_et is n_e at most, so n_t must not exceed `room`.
+    """
+    held = found.where("base <> ''").withColumn("h", F.substring_index("row_key", ":", -1))
+    rows = held.groupBy("h", "row_key").agg(F.count("*").alias("m"), F.first("entities").alias("entities"))
+    mentions = saved(rows.groupBy("h").agg(F.sum("m").alias("m"), F.count("*").alias("k"), F.first("entities").alias("entities"))).select("h", "m", "k", F.explode("entities").alias("e"))
+    room = F.col("n_e") * F.pow(n_all / F.col("n_e"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    known = saved(mentions.groupBy("e").agg(F.sum("m").alias("n_e"), F.sum("k").alias("support")).where(F.col("support") >= min_support).select("e", "n_e", room.alias("room")))
+    holders = _salted(mentions, known, ["e"])
+    texts = held.select("h", "base", "text").dropDuplicates(["h"]).join(holders.select("h").distinct(), "h", "left_semi")
+    rare = counts.join(F.broadcast(known.agg(F.max("room").alias("most"))), F.col("n_t") <= F.col("most")).select("t", "n_t")
+    pairs = saved(_salted(_terms_of(texts), rare, ["t"]).join(holders, "h").where("n_t <= room").select("h", "m", "k", "e", "t", "n_e", "n_t"))
+    got = pairs.groupBy("e", "t", "n_e", "n_t").agg(F.sum("m").alias("n_et"), F.sum("k").alias("support")).where(F.col("support") >= min_support)
+    share = F.col("n_et") / F.col("n_t")  # p(e|t): of the term's rows, those that hold the entity
+    ic = -F.log2(F.col("n_e") / n_all)
     pmi = F.log2(share) + ic
-    return got.where(pmi >= disclosure * ic).select("e", "t", (share >= 1).alias("whole"))
+    flagged = got.where((pmi >= disclosure * ic) & (pmi > 0)).select("e", "t", (share >= 1).alias("whole"))
+    # max whole: a term of two entities is removed if either is wholly determined by it
+    marks = _salted(pairs.select("h", "e", "t"), flagged, ["e", "t"]).groupBy("h", "t").agg(F.max("whole").alias("whole"))
+    return marks.groupBy("h").agg(F.collect_list(F.struct("t", "whole")).alias("marks"))
+
+
+PLACED = "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base string, terms array<struct<s:int,x:int,whole:boolean>>"
+
+
+def _places(marked: DataFrame) -> DataFrame:
+    """The marked terms at all their places in the text outside its spans."""
+    out = arrow_schema(PLACED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = []
+            for base, text, marks in zip(*(b.column(i).to_pylist() for i in (6, 7, 8)), strict=True):
+                whole = {p["t"]: p["whole"] for p in marks or []}
+                rows.append([{"s": s, "x": x, "whole": whole[t]} for t, s, x in outside(text, _spans(base)) if t in whole] if whole else [])
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(rows, out.field(7).type)], schema=out)
+
+    return marked.mapInArrow(run, PLACED)
 
 
-def find_personal_data(df: DataFrame, reach: int = 4, disclosure: float = 0.9, min_support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(df: DataFrame, disclosure: float = 0.9, min_support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row_key, n_email, n_ip, n_card, n_phone, base (the pattern spans), terms (array of s, x, whole).
 
-    A null text is empty and has no spans. Equal rows have equal spans, and count once as evidence. All counts cover all rows.
+    A null text is empty and has no spans. Equal rows have equal spans, and count once as support. All counts cover all
+    rows, and words anywhere outside the spans.
     """
-    found = saved(find_base(df, reach, id_col, text_col))
-    flagged = saved(disclosing(found, term_counts(df, id_col=id_col, text_col=text_col), disclosure, min_support))
-    near = found.select("row_key", F.explode("near").alias("p")).select("row_key", "p.*").distinct()
-    # min_by whole: a term near two entities is removed if either is wholly determined by it
-    spans = near.join(flagged, ["e", "t"]).groupBy("row_key", "s", "x").agg(F.max("whole").alias("whole"))
-    spans = spans.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("s", "x", "whole"))).alias("terms"))
-    return found.drop("near").join(spans, "row_key", "left").withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<s:int,x:int,whole:boolean>>)")))
+    found = saved(find_base(df, id_col, text_col))
+    counts = saved(term_counts(df, id_col=id_col, text_col=text_col).where(F.col("n_t") >= min_support))  # rarer terms have no support
+    marks = saved(disclosing(found, counts, max(found.count(), 1), disclosure, min_support))
+    plain = ["doc_id", "row_key", "n_email", "n_ip", "n_card", "n_phone", "base"]
+    placed = _places(found.where("base <> ''").withColumn("h", F.substring_index("row_key", ":", -1)).join(marks, "h", "left").select(*plain, "text", "marks"))
+    none = F.expr("cast(array() as array<struct<s:int,x:int,whole:boolean>>)")
+    return found.where("base = ''").select(*plain, none.alias("terms")).unionByName(placed)
 
 
 def span_digests(found: DataFrame) -> DataFrame:
@@ -177,7 +236,7 @@ def span_digests(found: DataFrame) -> DataFrame:
 
 def redact(text: str, base: str, terms: list) -> str:
     """The text with each base span as [KIND]; disclosing terms as [TERM], or taken out if they determine the entity. Of overlapping spans the first, then the longest, counts."""
-    marks = [(int(s), -int(e), f"[{k.upper()}]") for k, s, e in (x.split(":") for x in base.split(",") if x)]
+    marks = [(s, -e, f"[{k.upper()}]") for k, s, e in _spans(base)]
     marks += [(p["s"], -p["x"], "" if p["whole"] else "[TERM]") for p in terms]
     out, at = [], 0
     for s, e, put in sorted(marks):

@@ -40,6 +40,40 @@ def test_a_term_that_stands_only_by_an_address_is_found(spark):
     assert "corp.org" not in clean[0] and "zorgon" not in clean[0] and clean[100] == rows[6][1]
 
 
+def test_terms_anywhere_in_the_documents_are_found_and_removed_everywhere(spark):
+    far = " ".join(f"pad{i} of the text" for i in range(60))
+    rows = [(i, f"write to me@corp.org {far} zorgon {far} Zorgon, not zorgonia{i} the text") for i in range(5)] + [(100 + i, f"of the text {far} not write to other {i}") for i in range(50)]
+    rows += [(200, "zorgons of the text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact_documents(df).collect()}
+    assert all("zorgon " not in clean[i].lower() and "zorgon," not in clean[i].lower() and f"not zorgonia{i} the text" in clean[i] for i in range(5))
+    assert all(clean[i] == t for i, t in rows if i >= 100)
+
+
+def test_disclosing_terms_equal_plain_counting(spark):
+    rng = np.random.default_rng(3)
+    who = [f"u{i}@x.org" for i in range(6)]
+    rows = []
+    for i in range(120):
+        mine = [int(x) for x in rng.choice(6, rng.integers(0, 3), replace=False)]
+        words = [f"w{chr(97 + int(x))}" for x in rng.integers(0, 20, 8)] + [f"name{chr(97 + j)}" for j in mine if rng.random() < 0.9] + [who[j] for j in mine]
+        words += [f"name{chr(97 + int(rng.integers(0, 6)))}"] * (rng.random() < 0.03)
+        rows.append((i, " ".join(str(w) for w in rng.permutation(words))))
+    held = {i: {w for w in t.split() if "@" in w} for i, t in rows}
+    terms = {i: {w for w in t.split() if "@" not in w} for i, t in rows}
+    want = {i: set() for i, _ in rows}
+    for e in who:
+        n_e = sum(e in h for h in held.values())
+        for t in set().union(*terms.values()):
+            n_t, n_et = sum(t in x for x in terms.values()), sum(t in terms[i] and e in held[i] for i in held)
+            if n_et >= 3 and np.log2(n_et / n_t) >= -0.1 * np.log2(len(rows) / n_e):
+                for i, _ in rows:
+                    want[i] |= {t} if e in held[i] and t in terms[i] else set()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {rows[r.doc_id][1][p.s : p.x] for p in r.terms} for r in pii.find_personal_data(df).collect()}
+    assert got == want and any(want.values())
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
