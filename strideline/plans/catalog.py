@@ -396,20 +396,31 @@ def duplicate_band_join(spark, sf):
 VERTEX = f"{PAIRS}, edge AS (SELECT la * 100000 + li AS a, ra * 100000 + ri AS b FROM pair UNION ALL SELECT ra * 100000 + ri, la * 100000 + li FROM pair), reach(v, c) AS (SELECT a, a FROM edge UNION SELECT e.b, reach.c FROM reach JOIN edge e ON e.a = reach.v), comp AS (SELECT v, min(c) AS c FROM reach GROUP BY 1)"
 
 
+def _vertex(athlete: str, i: str):
+    return F.struct(F.col(athlete).cast("long").alias("athlete_id"), F.col(i).cast("long").alias("i"))
+
+
+def _number(v: str):
+    """A vertex's number, never shared: the SQL's up to 99,999 events of an athlete, a negative one from there (athletes below 2^31; others overflow with an error)."""
+    athlete, i = F.col(f"{v}.athlete_id"), F.col(f"{v}.i")
+    return F.when(i < 100000, athlete * 100000 + i).otherwise(-(athlete * (1 << 32) + i))
+
+
 def _components(spark, sf):
     p = duplicate_band_join(spark, sf)
-    return graph.components(p.select((F.col("la") * 100000 + F.col("li")).alias("a"), (F.col("ra") * 100000 + F.col("ri")).alias("b")), "a", "b")
+    return graph.components(p.select(_vertex("la", "li").alias("a"), _vertex("ra", "ri").alias("b")), "a", "b")
 
 
 @query(f"{VERTEX} SELECT v, c FROM comp")
 def duplicate_components(spark, sf):
-    return _components(spark, sf)
+    return _components(spark, sf).select(_number("v").alias("v"), _number("c").alias("c"))
 
 
 @query(f"{VERTEX} SELECT c, min_by(v, (-hr, -step_m, v)) AS winner, count(*) AS n FROM comp JOIN record ON v = athlete_id * 100000 + i GROUP BY 1")
 def duplicate_winner(spark, sf):
-    e = records(spark, sf).select((F.col("athlete_id") * 100000 + F.col("i")).alias("v"), "hr", "step_m")
-    return _components(spark, sf).join(e, "v").groupBy("c").agg(F.min_by("v", F.struct(-F.col("hr"), -F.col("step_m"), F.col("v"))).alias("winner"), F.count("*").alias("n"))
+    e = records(spark, sf).select(_vertex("athlete_id", "i").alias("v"), "hr", "step_m")
+    best = _components(spark, sf).join(e, "v").groupBy("c").agg(F.min_by("v", F.struct(-F.col("hr"), -F.col("step_m"), F.col("v"))).alias("winner"), F.count("*").alias("n"))
+    return best.select(_number("c").alias("c"), _number("winner").alias("winner"), "n")
 
 
 @query("SELECT o_orderkey AS activity_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")

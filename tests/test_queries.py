@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from strideline.plans import catalog, places  # noqa: F401  places adds to the catalog
 
@@ -37,3 +38,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_vertices_of_athletes_with_many_events_stay_apart(spark, monkeypatch):
+    rows = [(1, 100001, 0, 5.0, 100), (3, 1, 1, 5.0, 100), (2, 1, 9000, 5.0, 120), (4, 1, 9001, 5.0, 120)]
+    df = spark.createDataFrame(rows, "athlete_id long, i int, epoch long, step_m double, hr long").withColumn("step_m", F.col("step_m").cast("decimal(18,2)"))
+    monkeypatch.setattr(catalog, "records", lambda *_: df)
+    got = catalog.duplicate_components(spark, "").collect()
+    assert len({r.v for r in got}) == 4 and len({r.c for r in got}) == 2
+    assert sorted(r.n for r in catalog.duplicate_winner(spark, "").collect()) == [2, 2]
