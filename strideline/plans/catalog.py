@@ -385,7 +385,7 @@ PAIRS = f"""{REC}, pair AS (SELECT l.i AS li, l.athlete_id AS la, r.i AS ri, r.a
 def _pairs(spark, sf):
     e = records(spark, sf).select(F.col("athlete_id").alias("id"), "i", "epoch", F.col("step_m").cast("double").alias("m"), F.col("step_m").alias("step_m"), "hr")
     close = lambda x, y: (F.abs(F.col(f"{x}.step_m") - F.col(f"{y}.step_m")) <= F.lit(0.10).cast("decimal(3,2)") * F.greatest(f"{x}.step_m", f"{y}.step_m")) & (F.col(f"{x}.hr") == F.col(f"{y}.hr"))
-    return ordered.band_join(e, "epoch", 300, close).where("l.id <> r.id or l.epoch <> r.epoch")
+    return ordered.band_join(e, "epoch", 300, close, row=("id", "i"))
 
 
 @query(f"{PAIRS} SELECT la, li, ra, ri FROM pair")

@@ -47,3 +47,9 @@ def test_vertices_of_athletes_with_many_events_stay_apart(spark, monkeypatch):
     got = catalog.duplicate_components(spark, "").collect()
     assert len({r.v for r in got}) == 4 and len({r.c for r in got}) == 2
     assert sorted(r.n for r in catalog.duplicate_winner(spark, "").collect()) == [2, 2]
+
+
+def test_rows_of_one_athlete_in_one_second_pair_once(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 1, 50, 5.0, 100), (1, 2, 50, 5.0, 100), (2, 1, 50, 5.0, 100)], "athlete_id long, i int, epoch long, step_m double, hr long")
+    monkeypatch.setattr(catalog, "records", lambda *_: df.withColumn("step_m", F.col("step_m").cast("decimal(18,2)")))
+    assert sorted((r.la, r.li, r.ra, r.ri) for r in catalog.duplicate_band_join(spark, "").collect()) == [(1, 1, 1, 2), (1, 1, 2, 1), (1, 2, 2, 1)]
