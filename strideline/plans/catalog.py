@@ -275,6 +275,20 @@ def contemporaneous_threshold(spark, sf):
     return rounded(a.select("activity_id", (F.col("v") / F.max("v").over(w)).alias("ratio")), "ratio")
 
 
+@query(f"""{ACT}, s AS (SELECT *, dist_m / CAST(nullif(moving_s, 0) AS DOUBLE) AS v FROM activity), e AS (SELECT squad, day, max(v) AS b FROM s WHERE dist_m >= 5000 GROUP BY 1, 2),
+n AS (SELECT activity_id, v, b, abs(date_diff('day', s.day, e.day)) AS gap FROM s LEFT JOIN e USING (squad)),
+w AS (SELECT activity_id, v, max(b) AS peak, max(b) FILTER (gap <= 60) AS b1, max(b) FILTER (gap <= 120) AS b2, max(b) FILTER (gap <= 240) AS b4, max(b) FILTER (gap <= 480) AS b8 FROM n GROUP BY 1, 2)
+SELECT activity_id, {r('coalesce(coalesce(b1, b2, b4, b8) / peak, 1)')} AS era, {r('v / coalesce(b1, b2, b4, b8, peak)')} AS ratio FROM w""")
+def threshold_of_every_run(spark, sf):
+    a = activities(spark, sf).withColumn("v", F.expr("try_divide(dist_m, moving_s)")).withColumn("n", F.unix_date("day"))
+    days = a.groupBy(K, "n").agg(F.max(F.when(F.col("dist_m") >= 5000, F.col("v"))).alias("b"))  # a row a day goes through the windows
+    w = W.partitionBy(K)
+    spans = [F.max("b").over(w.orderBy("n").rangeBetween(-d, d)) for d in (60, 120, 240, 480)]
+    days = days.select(K, "n", F.coalesce(*spans).alias("best"), F.max("b").over(w).alias("peak"))
+    ratio = F.col("v") / F.coalesce("best", "peak")
+    return rounded(a.join(days, [K, "n"]).select("activity_id", F.coalesce(F.col("best") / F.col("peak"), F.lit(1.0)).alias("era"), ratio.alias("ratio")), "era", "ratio")
+
+
 @query(f"""{POINTS}, p AS (SELECT * FROM points WHERE band_m >= 1200) SELECT h.squad, h.label, {r('regr_slope(p.band_m, p.best_s)')} AS cs FROM p h JOIN p ON p.squad = h.squad AND p.label <> h.label GROUP BY 1, 2 HAVING count(*) >= 2""")
 def leave_one_out_fit(spark, sf):
     p = _points(spark, sf).where("band_m >= 1200")

@@ -53,3 +53,12 @@ def test_rows_of_one_athlete_in_one_second_pair_once(spark, monkeypatch):
     df = spark.createDataFrame([(1, 1, 50, 5.0, 100), (1, 2, 50, 5.0, 100), (2, 1, 50, 5.0, 100)], "athlete_id long, i int, epoch long, step_m double, hr long")
     monkeypatch.setattr(catalog, "records", lambda *_: df.withColumn("step_m", F.col("step_m").cast("decimal(18,2)")))
     assert sorted((r.la, r.li, r.ra, r.ri) for r in catalog.duplicate_band_join(spark, "").collect()) == [(1, 1, 1, 2), (1, 1, 2, 1), (1, 2, 2, 1)]
+
+
+def test_every_run_has_a_threshold_of_its_era(spark, monkeypatch):
+    runs = [(1, 1, 0, 5000, 1000), (2, 1, 10, 2000, 500), (3, 1, 61, 2000, 500), (4, 1, 200, 2000, 500), (5, 1, 480, 2000, 500), (6, 1, 3000, 2000, 500), (7, 1, 2000, 6000, 1000), (8, 2, 0, 2000, 500)]
+    df = spark.createDataFrame(runs, "activity_id long, squad long, n int, dist_m long, moving_s long").withColumn("day", F.expr("date_add(date'2000-01-01', n)")).drop("n")
+    monkeypatch.setattr(catalog, "activities", lambda *_: df)
+    got = {r.activity_id: (r.era, r.ratio) for r in catalog.threshold_of_every_run(spark, "").collect()}
+    near, far = (round(5 / 6, 4), 0.8), (1.0, round(4 / 6, 4))
+    assert got == {1: (near[0], 1.0), 2: near, 3: near, 4: near, 5: near, 6: far, 7: (1.0, 1.0), 8: (1.0, None)}
