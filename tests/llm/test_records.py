@@ -74,6 +74,16 @@ def test_disclosing_terms_equal_plain_counting(spark):
     assert got == want and any(want.values())
 
 
+def test_repeated_rows_and_words_in_spans_count_alike(spark):
+    rows = [(None if i < 2 else i, f"zorgon has zorgon@corp.org as the thing {i}") for i in range(6)] * 4 + [(100 + i, "has as the thing") for i in range(50)]
+    rows += [(200, "zorgon@other.org has the thing")]
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("size(terms) > 0").collect()
+    assert len(got) == 24 and all([(p.s, p.x) for p in r.terms] == [(0, 6)] for r in got)
+    assert all(p.whole for r in got for p in r.terms)
+    once = [(i, f"zorgon has me@corp.org as the thing {i % 2}") for i in range(2)] * 4 + rows[24:]
+    assert pii.find_personal_data(spark.createDataFrame(once, "doc_id long, text string")).where("size(terms) > 0").count() == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
