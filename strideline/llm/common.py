@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,7 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and characters that a Python task holds at once.
-BATCH_ROWS, BATCH_CHARS = 1024, 4_000_000
+BATCH_ROWS, BATCH_CHARS = 512, 1_500_000
+
+try:  # large arrays come from the system and go back to it, so that a worker that is used again doesn't keep them
+    _libc = ctypes.CDLL(None)
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    _trim = _libc.malloc_trim
+except (OSError, AttributeError):
+    _trim = None
+
+
+def give_back() -> None:
+    """Return free memory to the system, at the end of a task or group: Spark keeps Python workers for the next tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Bound Arrow batches, and make this package importable on executors that don't have it on their path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Make this package importable on executors that don't have it on their path, and lower the session's Arrow batches to
+    BATCH_ROWS rows where they are larger: texts and packed blocks are long rows."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = str(Path(__file__).resolve().parents[2])
     sc = spark.sparkContext
     on_path = root in os.environ.get("PYTHONPATH", "").split(":") or os.path.realpath(os.getcwd()) == os.path.realpath(root)
@@ -42,10 +59,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset, one of our own."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset and all run on this
+    machine, one of our own."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(sc, "_strideline_scratch", None) or "file://" + tempfile.mkdtemp(prefix="strideline-")
         sc._strideline_scratch = base
     return f"{base.rstrip('/')}/strideline-{uuid.uuid4().hex}"
@@ -56,7 +76,22 @@ def saved(df: DataFrame, where: str | None = None) -> DataFrame:
     spark = df.sparkSession
     where = where or shared_dir(spark)
     df.write.mode("overwrite").parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out._strideline_at = where
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what saved() wrote for these tables; only for tables that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._strideline_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def destroyed(*sent) -> None:
+    """Take broadcast values from the executors, their Python workers included, once no job needs them any more."""
+    for b in sent:
+        b.destroy()
 
 
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -64,6 +99,12 @@ def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: where fewer partitions hold rows (a file of one row group), its rows are dealt out anew."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.select(F.spark_partition_id().alias("p")).distinct().count() >= cores else df.repartition(cores)
+
+
 def carried(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, str]:
     """two_columns, and a struct `rest` of the columns in carry with its type; the struct is null if there are none."""
     rest = F.struct(*(F.col(f"`{c}`").alias(c) for c in carry)) if carry else F.lit(None).cast("struct<none:int>")
@@ -78,6 +119,7 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = n if b.nbytes <= BATCH_CHARS else max(1, n * BATCH_CHARS // b.nbytes)
         for i in range(0, n, max(step, 1)):
             yield b.slice(i, step)
+    give_back()
 
 
 def map_docs(df: DataFrame, fn: Callable[[list, list], dict[str, list]], schema: str) -> DataFrame:
@@ -155,7 +197,7 @@ class Blocks:
     entries are held, flush() the rest.
     """
 
-    def __init__(self, n_blocks: int, types: list[str], most: int = 1_500_000):
+    def __init__(self, n_blocks: int, types: list[str], most: int = 600_000):
         self.n, self.types, self.most, self.held, self.size = n_blocks, types, most, [], 0
 
     @staticmethod
@@ -173,15 +215,22 @@ class Blocks:
             return
         block, *columns = (np.concatenate(c) for c in zip(*self.held, strict=True))
         self.held, self.size = [], 0
-        order = np.argsort(block, kind="stable")
-        block = block[order]
-        edges = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
-        spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-        packed = [c[order].astype(t) for c, t in zip(columns, self.types, strict=True)]
-        for i in range(0, len(spans), 64):
-            some = spans[i : i + 64]
-            cols = [pa.array([c[s:e].tobytes() for s, e in some], pa.binary()) for c in packed]
-            yield pa.RecordBatch.from_arrays([pa.array([int(block[s]) for s, _ in some], pa.int64()), *cols], ["block", *(f"c{k}" for k in range(len(cols)))])
+        yield from self.pack((block, list(zip(columns, self.types, strict=True))))
+
+    @staticmethod
+    def pack(*groups: tuple[np.ndarray, list[tuple[np.ndarray, str]]]) -> Iterator[pa.RecordBatch]:
+        """A row for each block: the bytes of its entries, in their order. Each group has its blocks and columns; a block
+        may miss in a group, but the first has all."""
+        sets = []
+        for block, columns in groups:
+            order = np.argsort(block, kind="stable")
+            sets.append((block[order], [c[order].astype(t) for c, t in columns]))
+        blocks = np.unique(sets[0][0])
+        edges = [(np.searchsorted(b, blocks, "left").tolist(), np.searchsorted(b, blocks, "right").tolist()) for b, _ in sets]
+        names = ["block", *(f"c{k}" for k in range(sum(len(c) for _, c in sets)))]
+        for i in range(0, len(blocks), 16):
+            cols = [pa.array([c[s:e].tobytes() for s, e in zip(lo[i : i + 16], hi[i : i + 16], strict=True)], pa.binary()) for (_, columns), (lo, hi) in zip(sets, edges, strict=True) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[i : i + 16], pa.int64()), *cols], names)
 
     @staticmethod
     def unpack(tab: pa.Table, types: list[str]) -> list[np.ndarray]:

@@ -73,17 +73,11 @@ def test_repeats_equal_counting_all_windows(spark):
     for k in range(120):
         v = random.choice([["a"], ["a", "b"], ["a", "b", "c"], list("abcdefghij")])
         rows.append((100 + k, " ".join(random.choices(v, k=random.randint(0, 90)))))
-    w, seen = 9, Counter()
-    words = [re.findall(SPACE, t or "") for _, t in rows]
-    for x in words:
-        seen.update(tuple(x[i : i + w]) for i in range(len(x) - w + 1))
-    want = []
-    for (d, _), x in zip(rows, words):
-        gone = {j for i in range(len(x) - w + 1) if seen[tuple(x[i : i + w])] > 1 for j in range(i, i + w)}
-        want.append((str(d), len(x), len(gone), " ".join(a for j, a in enumerate(x) if j not in gone)))
+    w = 9
+    want = repeats_by_counting(rows, w)
     df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, places int")
     got = substrings.remove_repeats(df, window=w, carry=["places"])
-    assert sorted((str(r[0]), *r[1:4]) for r in got.collect()) == sorted(want)
+    assert sorted((str(r[0]), *r[1:4]) for r in got.collect()) == want
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
@@ -93,10 +87,46 @@ def test_equal_windows_get_equal_symbols():
     names = []
     for n in (40, 77):
         h = np.concatenate([rng.integers(0, 2**63, n).astype(np.uint64), passage, rng.integers(0, 2**63, 50).astype(np.uint64)])
-        names.append(substrings.representatives(h, np.array([n]))[0][0])
+        starts, _, name = substrings.candidates(h, np.array([0, len(h) + 1]), {})
+        names.append(name[starts == n][0])
     assert names[0] == names[1]
 
 
+def test_windows_with_a_unique_symbol_are_no_candidates():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 2**63, 60).astype(np.uint64)
+    bits = np.zeros(substrings.FILTER // 8, np.uint8)
+    for w in h[np.arange(60) != 20]:
+        i = int(substrings.slot(np.array([w]))[0])
+        bits[i >> 3] |= 128 >> (i & 7)
+    starts, _, _ = substrings.candidates(h, np.array([0, 61]), {-1: bits}, window=10)
+    assert starts.tolist() == [*range(0, 11), *range(21, 51)]
+
+
+def repeats_by_counting(rows, w):
+    seen, words = Counter(), [re.findall(SPACE, t or "") for _, t in rows]
+    for x in words:
+        seen.update(tuple(x[i : i + w]) for i in range(len(x) - w + 1))
+    out = []
+    for (d, _), x in zip(rows, words):
+        gone = {j for i in range(len(x) - w + 1) if seen[tuple(x[i : i + w])] > 1 for j in range(i, i + w)}
+        out.append((str(d), len(x), len(gone), " ".join(a for j, a in enumerate(x) if j not in gone)))
+    return sorted(out)
+
+
+def test_rows_with_one_id_keep_their_own_places(spark, monkeypatch):
+    """Many rows without an id, some equal, some long, some whose 32-bit hashes would meet; small flushes, so that windows
+    are settled in tasks, across tasks and in both."""
+    random.seed(16)
+    words = [f"v{i}" for i in range(3000)]
+    shared = " ".join(random.choices(words, k=60))
+    rows = [(None, " ".join(random.choices(words, k=random.randint(0, 120))) + (" " + shared if i % 3 == 0 else "")) for i in range(300)]
+    rows += [(None, "short text"), (None, " ".join(random.choices(words, k=9000)) + " " + shared), (7, None)] + [(None, "eq " + shared)] * 40
+    monkeypatch.setattr(substrings.Windows.__init__, "__defaults__", (500,))
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == repeats_by_counting(rows, 35)
+
+
 def test_peeling_recovers_the_difference_and_grows_when_stuck():
     rng = np.random.default_rng(3)
     for n, m, k in ((0, 0, 0), (5, 0, 0), (30, 2, 3), (500, 40, 60), (10, 900, 800)):
