@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Blocks, arrow_schema, grid, saved, slices, summed_counts, two_columns
-from .components import components
+from .common import Blocks, arrow_schema, destroyed, dropped, give_back, grid, saved, slices, spread, summed_counts, two_columns
+from .components import components, salted
 
 WORDS, COUNTERS = 5, 1 << 22
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -55,6 +55,12 @@ def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def number_of(key: bytes, clash: frozenset[int] = frozenset()) -> int:
+    """A class's number: the first half of its key; the second half where two keys have one first half."""
+    cid = int.from_bytes(key[:8], "little", signed=True)
+    return int.from_bytes(key[8:], "little", signed=True) if cid in clash else cid
+
+
 #: 64-bit numbers of a set's signature.
 SIGNATURE = 4
 
@@ -92,6 +98,20 @@ PIVOTS = 2
 _TYPES = ["<i8", "<i4", "<u8", "<i4"]
 
 
+#: Pairs of one block that are looked at together.
+MOST_PAIRS = 1_000_000
+
+
+def added_up(c: list[np.ndarray]) -> list[np.ndarray]:
+    """One row for each pair (columns 0 and 1): sizes, the sum of the counts, the last and the first places."""
+    order = np.lexsort((c[1], c[0]))
+    c = [v[order] for v in c]
+    if not len(order):
+        return c
+    first = np.flatnonzero(np.append(True, (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])))
+    return [*(v[first] for v in c[:4]), np.add.reduceat(c[4], first), *(np.maximum.reduceat(v, first) for v in c[5:7]), *(np.minimum.reduceat(v, first) for v in c[7:])]
+
+
 def product(tab: pa.Table, run: int) -> pa.Table:
     """One block of the product: kind 0, pairs with counts and last places; 1, members of long columns with their places; 2, pairs with pivots.
 
@@ -104,18 +124,17 @@ def product(tab: pa.Table, run: int) -> pa.Table:
     at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     length = np.diff(np.append(at, len(key)))
     out = []
-    short = (length > 1) & (length <= run)
-    i, j = run_pairs(at[short], length[short])
-    fits = 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
-    i, j = i[fits], j[fits]
-    if len(i):
-        order = np.lexsort((cid[j], cid[i]))
-        i, j = i[order], j[order]
-        first = np.flatnonzero(np.append(True, (cid[i][1:] != cid[i][:-1]) | (cid[j][1:] != cid[j][:-1])))
-        count = np.diff(np.append(first, len(i)))
-        ends = [f.reduceat(place[x], first) for f in (np.maximum, np.minimum) for x in (i, j)]
-        i, j = i[first], j[first]
-        out.append((np.zeros(len(i), np.int64), cid[i], cid[j], n[i], n[j], count, *ends, np.zeros(len(i), np.int64)))
+    short = np.flatnonzero((length > 1) & (length <= run))
+    sums: list[np.ndarray] = []
+    part = np.cumsum(length[short] * (length[short] - 1) // 2) // MOST_PAIRS  # so many pairs are looked at together
+    for k in np.unique(part).tolist():
+        i, j = run_pairs(at[short[part == k]], length[short[part == k]])
+        fits = 4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])
+        i, j = i[fits], j[fits]
+        new = [cid[i], cid[j], n[i], n[j], np.ones(len(i), np.int64), *(place[x].astype(np.int64) for x in (i, j, i, j))]
+        sums = added_up([np.concatenate(c) for c in zip(sums, new, strict=True)] if sums else new)
+    if sums and len(sums[0]):
+        out.append((np.zeros(len(sums[0]), np.int64), *sums, np.zeros(len(sums[0]), np.int64)))
     for s, m in zip(at[length > run].tolist(), length[length > run].tolist(), strict=True):
         c, size, at_c = cid[s : s + m], n[s : s + m], place[s : s + m].astype(np.int64)
         zero = np.zeros(m, np.int64)
@@ -143,24 +162,25 @@ def arrow_types(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[t]) for name, t in (x.split() for x in ddl.split(", "))])
 
 
-def document_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (size of the set), cid (a number for the set), k (16 bytes for it; null for an empty set), its signature."""
+def document_sets(texts: DataFrame) -> DataFrame:
+    """doc_id, n (size of the set), cid and other (numbers for the set), k (16 bytes for it; null for an empty set), its signature."""
     marks = [f"s{i}" for i in range(SIGNATURE)]
-    schema = "doc_id long, n int, cid long, k binary, " + ", ".join(f"{m} long" for m in marks)
+    schema = "doc_id long, n int, cid long, other long, k binary, " + ", ".join(f"{m} long" for m in marks)
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             keys = [set_key(s) if len(s) else None for s in sets]
-            cids = [None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys]
+            other = [None if k is None else int.from_bytes(k[8:], "little", signed=True) for k in keys]
+            cids = [None if k is None else number_of(k) for k in keys]
             signs = [pa.array(x, pa.int64()) for x in zip(*map(signature, sets), strict=True)] or [pa.array([], pa.int64())] * SIGNATURE
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int32()), pa.array(cids, pa.int64()), pa.array(keys, pa.binary()), *signs], schema=out)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int32()), pa.array(cids, pa.int64()), pa.array(other, pa.int64()), pa.array(keys, pa.binary()), *signs], schema=out)
 
-    return two_columns(df, id_col, text_col).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
-def _fresh(seen: set, cid: int, most: int = 500_000) -> bool:
+def _fresh(seen: set, cid: int, most: int = 100_000) -> bool:
     """Whether a task meets this set for the first time, as far as it remembers."""
     if cid in seen:
         return False
@@ -170,8 +190,8 @@ def _fresh(seen: set, cid: int, most: int = 500_000) -> bool:
     return True
 
 
-def candidate_pairs(texts: DataFrame, n_blocks: int, run: int) -> DataFrame:
-    """PAIR rows of all blocks."""
+def candidate_pairs(texts: DataFrame, n_blocks: int, run: int, clash: frozenset[int]) -> DataFrame:
+    """PAIR rows of all blocks, saved."""
 
     def count(c: np.ndarray, b: pa.RecordBatch) -> None:
         got = np.concatenate([shingles(t) for t in b.column(1).to_pylist()] or [np.zeros(0, np.uint64)])
@@ -187,7 +207,7 @@ def candidate_pairs(texts: DataFrame, n_blocks: int, run: int) -> DataFrame:
                 s = shingles(t)
                 if not len(s):
                     continue
-                cid = int.from_bytes(set_key(s)[:8], "little", signed=True)
+                cid = number_of(set_key(s), clash)
                 if _fresh(seen, cid):
                     keys = ordered(s, counts)[: prefix_length(len(s))]
                     got.append((np.full(len(keys), cid, np.int64), np.full(len(keys), len(s), np.int32), keys, np.arange(len(keys), dtype=np.int32)))
@@ -198,17 +218,21 @@ def candidate_pairs(texts: DataFrame, n_blocks: int, run: int) -> DataFrame:
         yield from blocks.flush()
 
     def multiply(keys: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
-        return product(tab, run)
+        out = product(tab, run)
+        give_back()
+        return out
 
-    return texts.mapInArrow(emit, Blocks.schema(4)).groupBy("block").applyInArrow(multiply, PAIR)
+    out = saved(texts.mapInArrow(emit, Blocks.schema(4)).groupBy("block").applyInArrow(multiply, PAIR))
+    destroyed(sent)
+    return out
 
 
 #: Bits of the filter that tells which sets to gather: 1 MB.
 FILTER = 1 << 23
 
 
-def gathered_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, s: a text, compressed, for each set in wanted (column cid). It takes a third of the room of its shingles' hashes.
+def gathered_texts(texts: DataFrame, wanted: DataFrame, clash: frozenset[int]) -> DataFrame:
+    """cid, s, saved: a text, compressed, for each set in wanted (column cid). It takes a third of the room of its shingles' hashes.
     A filter of fixed size goes to the scan, so other texts (but few) aren't shuffled."""
 
     def mark(c: np.ndarray, b: pa.RecordBatch) -> None:
@@ -226,13 +250,15 @@ def gathered_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for t in b.column(1).to_pylist():
                 s = shingles(t)
                 if len(s):
-                    cid = int.from_bytes(set_key(s)[:8], "little", signed=True)
+                    cid = number_of(set_key(s), clash)
                     if there[(cid & 0xFFFFFFFFFFFFFFFF) % (FILTER // 8)] and _fresh(seen, cid):
                         ids.append(cid)
                         sets.append(press.compress(t.encode()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], schema=out)
 
-    return texts.mapInArrow(run, schema).join(wanted.select("cid"), "cid").groupBy("cid").agg(F.first("s").alias("s"))
+    out = saved(texts.mapInArrow(run, schema).join(wanted.select("cid"), "cid").groupBy("cid").agg(F.first("s").alias("s")))
+    destroyed(sent)
+    return out
 
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -269,13 +295,18 @@ def linked_documents(df: DataFrame, run: int = 32, id_col: str = "doc_id", text_
     Null or empty texts have no shingles, no links and their own id. Equal rows are linked like any equal texts. Rows
     with a null id take part, and have a null component only if no row of theirs has an id.
     """
-    texts = two_columns(df, id_col, text_col)
-    sets = saved(document_sets(df, id_col, text_col))
+    texts = spread(two_columns(df, id_col, text_col))
+    sets = saved(document_sets(texts))
     marks = [f"s{i}" for i in range(SIGNATURE)]
-    sizes = sets.where("n > 0").groupBy("k").agg(F.first("n").alias("n"))
+    full = sets.where("n > 0")
+    per = full.groupBy("cid").agg(F.first("n").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    # two of n sets share a 64-bit number with odds of n^2 / 2^65, so the list of such numbers is empty or very short
+    said = per.agg(F.sum(F.col("n") - F.ceil(F.col("n") * 0.75) + 1).alias("t"), F.collect_list(F.when(F.col("lo") != F.col("hi"), F.col("cid"))).alias("clash")).first()
+    entries, clash = said["t"] or 0, frozenset(said["clash"])
+    number = F.when(F.col("cid").isin(*clash), F.col("other")).otherwise(F.col("cid")) if clash else F.col("cid")
+    sets_at, sets = sets, sets.withColumn("cid", number)
     signs = sets.where("n > 0").groupBy("cid").agg(*(F.first(m).alias(m) for m in marks))
-    entries = sizes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * 0.75) + 1).alias("t")).first()["t"] or 0
-    found = saved(candidate_pairs(texts, grid(df, entries, 800_000) // 2 + 1, run))
+    found = candidate_pairs(texts, grid(df, entries, 600_000) // 2 + 1, run, clash)
     sums = found.where("kind = 0").groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("n").alias("n"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.min("qa").alias("qa"), F.min("qb").alias("qb"))
     enough = lambda overlap: 7 * overlap >= 3 * (F.col("na") + F.col("nb"))
     bound = F.col("n") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
@@ -290,7 +321,7 @@ def linked_documents(df: DataFrame, run: int = 32, id_col: str = "doc_id", text_
     best = lambda x, y: pairs.groupBy(x).agg(F.max_by(y, F.struct("n", y)).alias(y))
     first = saved(best("a", "b").select("a", "b").union(best("b", "a").select("a", "b")).union(found.where("kind = 2").select("a", "b")).distinct())
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(long_columns.select("cid")).distinct()
-    whole = saved(gathered_texts(texts, ends))
+    whole = gathered_texts(texts, ends, clash)
     links = saved(alike(first, whole))
     label, tried = components(links), first
     apart = sum((F.bit_count(F.col(f"{m}a").bitwiseXOR(F.col(f"{m}b"))) for m in marks), F.lit(0))  # no more than the shingles of one of the two
@@ -324,9 +355,22 @@ def linked_documents(df: DataFrame, run: int = 32, id_col: str = "doc_id", text_
     of = lambda side: label.withColumnsRenamed({"v": side, "c": f"c{side}"})
     rest = pairs.select("a", "b").union(beside).join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     left = open_columns()
-    x, y = named(left, "a").withColumnRenamed("cid", "a"), named(left, "b").withColumnRenamed("cid", "b")
-    label = verified(rest.union(x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")))
+    label = verified(rest.union(column_pairs(left, named).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")))
 
-    docs = sets.join(label.withColumnRenamed("v", "cid"), "cid", "left").select("doc_id", "n", F.coalesce("c", "cid").alias("c"))
+    docs = salted(sets.withColumn("row", F.monotonically_increasing_id()), label.withColumnRenamed("v", "cid"), "cid", "row", "left").select("doc_id", "n", F.coalesce("c", "cid").alias("c"))
+    docs = saved(docs.withColumn("row", F.monotonically_increasing_id()))
     least = docs.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
-    return docs.join(least, "c", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    dropped(sets_at, found, possible, first, whole)
+    return salted(docs, least, "c", "row", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def column_pairs(left: DataFrame, named: Callable[[DataFrame, str], DataFrame], part: int = 2048) -> DataFrame:
+    """Pairs within long columns whose sizes are close enough (a band of sizes and its neighbours), each way round. A
+    column's band of more than `part` members is cut in parts, and each pair of parts is a task's key of its own."""
+    band = left.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(4 / 3))))
+    size = band.groupBy("key").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    band = band.join(size, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = named(band.withColumn("pb_", every).withColumnRenamed("own", "pa_").drop("parts"), "a").withColumnRenamed("cid", "a")
+    y = named(band.withColumn("pa_", every).withColumnRenamed("own", "pb_").drop("parts").withColumn("band", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1))))), "b").withColumnRenamed("cid", "b")
+    return x.join(y, ["key", "band", "pa_", "pb_"])

@@ -1,26 +1,32 @@
 """Operator 5: personal data, by pattern and by information-theoretic disclosure.
 
-Patterns give the protected entities: e-mail addresses, IP addresses, card and phone numbers. The corpus then says which
-terms in the same documents reveal them: a term t discloses an entity e if PMI(e; t) is at least `disclosure` times the
-entity's information content IC(e), which is the share log p(e|t) can't hide. Such terms, wherever they stand in a document
-that holds the entity, become spans of kind `term`: removed if they determine the entity wholly (PMI >= IC), else
-generalised to a placeholder.
+Patterns give the protected entities: e-mail addresses, IP addresses, card and phone numbers, and secrets (long strings of
+letters and digits with the entropy of random ones). The corpus then says which terms in the same texts reveal them: a
+term t discloses an entity e if PMI(e; t) is at least `disclosure` times the entity's information content IC(e), that is
+if p(e|t) is at least p(e)^(1 - disclosure). For p(e|t) stands a lower bound of what has been counted, so a word that was
+seen once with an entity seen once says nothing. Such terms, wherever they stand in a text that holds the entity, become
+spans of kind `term`: removed if the entity stands in every text of theirs, else generalised to a placeholder.
+
+All counts are numbers of distinct texts, so that copies of a text add no evidence.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, carried, saved, slices, two_columns
+from .common import arrow_schema, carried, destroyed, dropped, saved, slices, spread, summed_counts, two_columns
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local_end = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -28,6 +34,7 @@ _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_long = re.compile(r"[A-Za-z0-9]{20,}")
 _word = re.compile(r"[^\W_]+")
 _digits = re.compile(r"[^0-9]+")
 
@@ -63,6 +70,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def secrets(text: str, base: list[tuple[str, int, int]], least_bits: float = 3.0) -> list[tuple[str, int, int]]:
+    """Strings of 20 or more letters and digits, at least 4 of each, with `least_bits` of entropy a character, outside base spans."""
+    out = []
+    for m in _long.finditer(text):
+        c, n = Counter(m[0]), m.end() - m.start()
+        digits = sum(v for k, v in c.items() if k <= "9")
+        if 4 <= digits <= n - 4 and -sum(v / n * math.log2(v / n) for v in c.values()) >= least_bits and not any(s < m.end() and m.start() < e for _, s, e in base):
+            out.append(("secret", *m.span()))
+    return out
+
+
+def all_spans(text: str) -> list[tuple[str, int, int]]:
+    base = base_spans(text)
+    return base + secrets(text, base)
+
+
 def entity(kind: str, found: str) -> int:
     """A number for the protected value, whatever its writing."""
     value = found.lower() if kind == "email" else _digits.sub("", found) if kind in ("card", "phone") else found
@@ -70,13 +93,13 @@ def entity(kind: str, found: str) -> int:
 
 
 def outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """(term, start, end) of each alphabetic word that touches no span, wherever it stands in the text."""
+    """(term, start, end) of each word, of letters or digits, that touches no span, wherever it stands in the text."""
     taken, i = sorted((s, e) for _, s, e in spans), 0
     for m in _word.finditer(text):
         a, b = m.span()
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if not (i < len(taken) and taken[i][0] < b) and m[0].isalpha():
+        if not (i < len(taken) and taken[i][0] < b):
             yield term(m[0]), a, b
 
 
@@ -84,39 +107,66 @@ def term(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.lower()) - (1 << 63)
 
 
-FOUND = "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<bigint>, text string"
+FOUND = "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base string, more string, entities array<bigint>, text string"
+
+
+def _told(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
 def find_base(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's base spans and distinct entities, with the text where there are any. row_key tells rows with equal ids and different texts apart."""
+    """Each row's base spans, its secrets (more) and distinct entities, with the text where there are any. row_key tells rows with equal ids and different texts apart."""
     out = arrow_schema(FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                spans = base_spans(text)
-                n = Counter(k for k, *_ in spans)
-                who = sorted({entity(k, text[s:e]) for k, s, e in spans})
-                rows.append((doc, row_key(doc, text), n["email"], n["ip"], n["card"], n["phone"], ",".join(f"{k}:{s}:{e}" for k, s, e in spans), who, text if spans else None))
+                base = base_spans(text)
+                more = secrets(text, base)
+                n = Counter(k for k, *_ in base)
+                who = sorted({entity(k, text[s:e]) for k, s, e in base + more})
+                rows.append((doc, row_key(doc, text), n["email"], n["ip"], n["card"], n["phone"], _told(base), _told(more), who, text if who else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, out.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=out)
 
     return two_columns(df, id_col, text_col).mapInArrow(run, FOUND)
 
 
-def _spans(base: str) -> list[tuple[str, int, int]]:
-    return [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in base.split(",") if x)]
+def _spans(told: str) -> list[tuple[str, int, int]]:
+    return [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in told.split(",") if x)]
 
 
 def row_key(doc: int | None, text: str) -> str:
     return f"{doc}:{xxhash.xxh3_128_hexdigest(text)}"
 
 
-def term_counts(df: DataFrame, most: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """t, n_t: how many rows hold each term outside their spans. Tasks add up locally, about `most` terms at a time, before the shuffle."""
-    out = arrow_schema("t long, n long")
+#: Bits of the filter of texts that stand in several rows: 1 MB.
+COPIES = 1 << 23
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _slot(h: pa.Array) -> np.ndarray:
+    return np.array([int(x[:12], 16) % COPIES for x in h.to_pylist()], np.int64)
+
+
+def term_counts(texts: DataFrame, copied: DataFrame, least: int, most: int = 100_000) -> DataFrame:
+    """t, n_t: how many distinct texts hold each term outside their spans, where that is `least` or more.
+
+    copied: h of the texts that stand in several rows. A filter of fixed size tells them from the others at the scan;
+    they meet by h, compressed, one a task at most, and count once. Tasks add up locally, about `most` terms at a time.
+    """
+    out, packed = arrow_schema("t long, n long"), arrow_schema("h string, z binary")
+
+    def mark(c: np.ndarray, b: pa.RecordBatch) -> None:
+        c[_slot(b.column(0))] = 1
+
+    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(summed_counts(copied, mark, COPIES) > 0))
+
+    def several(text: str, there: np.ndarray) -> str | None:
+        h = xxhash.xxh3_128_hexdigest(text)
+        at = int(h[:12], 16) % COPIES
+        return h if there[at >> 3] >> (7 - (at & 7)) & 1 else None
+
+    def counted(texts: Iterator[list[str]]) -> Iterator[pa.RecordBatch]:
         c: Counter[int] = Counter()
         known: dict[str, tuple[int, ...]] = {}  # terms of what stands between spaces
 
@@ -127,23 +177,47 @@ def term_counts(df: DataFrame, most: int = 200_000, id_col: str = "doc_id", text
             return done
 
         def terms(text: str) -> set[int]:
-            if spans := base_spans(text):
+            if spans := all_spans(text):
                 return {t for t, *_ in outside(text, spans)}
             got: set[int] = set()
             for w in set(text.split()):
                 if (ts := known.get(w)) is None:
-                    ts = known[w] = tuple(term(m) for m in _word.findall(w) if m.isalpha())
+                    ts = known[w] = tuple(map(term, _word.findall(w)))
                 got.update(ts)
             return got
 
-        for b in slices(batches):
-            for text in b.column(1).to_pylist():
+        for some in texts:
+            for text in some:
                 c.update(terms(text))
-            if max(len(c), len(known)) > most:
-                yield flush()
+                if max(len(c), len(known)) > most:
+                    yield flush()
         yield flush()
 
-    return two_columns(df, id_col, text_col).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from counted([t for t in b.column(1).to_pylist() if several(t, sent.value) is None] for b in slices(batches))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, seen = zstandard.ZstdCompressor(level=3), set()
+        for b in slices(batches):
+            rows = []
+            for t in b.column(1).to_pylist():
+                h = several(t, sent.value)
+                if h and h not in seen:
+                    if len(seen) > most:
+                        seen.clear()
+                    seen.add(h)
+                    rows.append((h, press.compress(t.encode())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, packed.field(i).type) for i, c in enumerate(zip(*rows, strict=True) if rows else ([], []))], schema=packed)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = zstandard.ZstdDecompressor()
+        yield from counted([back.decompress(z).decode() for z in b.column(0).to_pylist()] for b in slices(batches))
+
+    groups = texts.mapInArrow(pack, "h string, z binary").groupBy("h").agg(F.first("z").alias("z")).select("z")
+    both = texts.mapInArrow(alone, "t long, n long").union(groups.mapInArrow(once, "t long, n long"))
+    done = saved(both.groupBy("t").agg(F.sum("n").alias("n_t")).where(F.col("n_t") >= least))
+    destroyed(sent)
+    return done
 
 
 SALTS = 8
@@ -168,33 +242,29 @@ def _terms_of(texts: DataFrame) -> DataFrame:
     return texts.select("h", "base", "text").mapInArrow(run, "h string, t long")
 
 
-def disclosing(found: DataFrame, counts: DataFrame, n_all: int, disclosure: float = 0.9, min_support: int = 3) -> DataFrame:
-    """h, marks: the terms (t, whole) of each text that disclose an entity it holds.
+def disclosing(held: DataFrame, counts: DataFrame, n_all: int, disclosure: float, certainty: float, doubt: float) -> DataFrame:
+    """h, marks: the terms (t, whole) of each text that disclose an entity it holds. held: h, base (all spans), entities,
+    text of each distinct text with entities.
 
-    Probabilities are shares of all n_all rows: n_e of them hold the entity, n_t the term, n_et both. Equal texts are
-    looked at once, for all their rows; min_support counts rows that differ in id or text. Only pairs that can't reach
-    the threshold are left out before they are counted: n_et is n_e at most, so n_t must not exceed `room`.
+    Probabilities are shares of all n_all distinct texts: n_e of them hold the entity, n_t the term, n_et both. The
+    lower bound of p(e|t) is n_et / (n_t + doubt^2); it must reach p(e)^(1 - disclosure), and `certainty`. Only pairs
+    that can't reach that are left out before they are counted: n_et is n_e at most, so n_t must not exceed `room`.
     """
-    held = found.where("base <> ''").withColumn("h", F.substring_index("row_key", ":", -1))
-    rows = held.groupBy("h", "row_key").agg(F.count("*").alias("m"), F.first("entities").alias("entities"))
-    mentions = saved(rows.groupBy("h").agg(F.sum("m").alias("m"), F.count("*").alias("k"), F.first("entities").alias("entities"))).select("h", "m", "k", F.explode("entities").alias("e"))
-    room = F.col("n_e") * F.pow(n_all / F.col("n_e"), F.lit(1 - disclosure)) * (1 + 1e-9)
-    known = saved(mentions.groupBy("e").agg(F.sum("m").alias("n_e"), F.sum("k").alias("support")).where(F.col("support") >= min_support).select("e", "n_e", room.alias("room")))
+    mentions = held.select("h", F.explode("entities").alias("e"))
+    least = F.greatest(F.pow(F.col("n_e") / n_all, F.lit(1 - disclosure)), F.lit(certainty))
+    known = saved(mentions.groupBy("e").agg(F.count("*").alias("n_e")).withColumn("least", least).withColumn("room", F.col("n_e") / F.col("least") * (1 + 1e-9) - doubt**2).where("room >= 1"))
     holders = _salted(mentions, known, ["e"])
-    texts = held.select("h", "base", "text").dropDuplicates(["h"]).join(holders.select("h").distinct(), "h", "left_semi")
+    texts = held.select("h", "base", "text").join(holders.select("h").distinct(), "h", "left_semi")
     rare = counts.join(F.broadcast(known.agg(F.max("room").alias("most"))), F.col("n_t") <= F.col("most")).select("t", "n_t")
-    pairs = saved(_salted(_terms_of(texts), rare, ["t"]).join(holders, "h").where("n_t <= room").select("h", "m", "k", "e", "t", "n_e", "n_t"))
-    got = pairs.groupBy("e", "t", "n_e", "n_t").agg(F.sum("m").alias("n_et"), F.sum("k").alias("support")).where(F.col("support") >= min_support)
-    share = F.col("n_et") / F.col("n_t")  # p(e|t): of the term's rows, those that hold the entity
-    ic = -F.log2(F.col("n_e") / n_all)
-    pmi = F.log2(share) + ic
-    flagged = got.where((pmi >= disclosure * ic) & (pmi > 0)).select("e", "t", (share >= 1).alias("whole"))
+    pairs = saved(_salted(_terms_of(texts), rare, ["t"]).join(holders, "h").where("n_t <= room").select("h", "e", "t", "n_t", "least"))
+    got = pairs.groupBy("e", "t", "n_t", "least").agg(F.count("*").alias("n_et"))
+    flagged = got.where(F.col("n_et") / (F.col("n_t") + doubt**2) >= F.col("least") * (1 - 1e-9)).select("e", "t", (F.col("n_et") >= F.col("n_t")).alias("whole"))
     # max whole: a term of two entities is removed if either is wholly determined by it
     marks = _salted(pairs.select("h", "e", "t"), flagged, ["e", "t"]).groupBy("h", "t").agg(F.max("whole").alias("whole"))
     return marks.groupBy("h").agg(F.collect_list(F.struct("t", "whole")).alias("marks"))
 
 
-PLACED = "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base string, terms array<struct<s:int,x:int,whole:boolean>>"
+PLACED = "doc_id long, row_key string, n_email long, n_ip long, n_card long, n_phone long, base string, more string, terms array<struct<s:int,x:int,whole:boolean>>"
 
 
 def _places(marked: DataFrame) -> DataFrame:
@@ -204,39 +274,46 @@ def _places(marked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
-            for base, text, marks in zip(*(b.column(i).to_pylist() for i in (6, 7, 8)), strict=True):
+            for base, more, text, marks in zip(*(b.column(i).to_pylist() for i in (6, 7, 8, 9)), strict=True):
                 whole = {p["t"]: p["whole"] for p in marks or []}
-                rows.append([{"s": s, "x": x, "whole": whole[t]} for t, s, x in outside(text, _spans(base)) if t in whole] if whole else [])
-            yield pa.RecordBatch.from_arrays([*b.columns[:7], pa.array(rows, out.field(7).type)], schema=out)
+                rows.append([{"s": s, "x": x, "whole": whole[t]} for t, s, x in outside(text, _spans(base) + _spans(more)) if t in whole] if whole else [])
+            yield pa.RecordBatch.from_arrays([*b.columns[:8], pa.array(rows, out.field(8).type)], schema=out)
 
     return marked.mapInArrow(run, PLACED)
 
 
-def find_personal_data(df: DataFrame, disclosure: float = 0.9, min_support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row_key, n_email, n_ip, n_card, n_phone, base (the pattern spans), terms (array of s, x, whole).
+def find_personal_data(df: DataFrame, disclosure: float = 0.9, certainty: float = 0.25, doubt: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row_key, n_email, n_ip, n_card, n_phone, base (the pattern spans), more (secrets), terms (array of s, x, whole).
 
-    A null text is empty and has no spans. Equal rows have equal spans, and count once as support. All counts cover all
-    rows, and words anywhere outside the spans.
+    A null text is empty and has no spans. Rows with equal texts have equal spans, whatever their ids, and repeating
+    rows changes nothing: all counts are of distinct texts, over all rows, and of words anywhere outside the spans.
     """
-    found = saved(find_base(df, id_col, text_col))
-    counts = saved(term_counts(df, id_col=id_col, text_col=text_col).where(F.col("n_t") >= min_support))  # rarer terms have no support
-    marks = saved(disclosing(found, counts, max(found.count(), 1), disclosure, min_support))
-    plain = ["doc_id", "row_key", "n_email", "n_ip", "n_card", "n_phone", "base"]
-    placed = _places(found.where("base <> ''").withColumn("h", F.substring_index("row_key", ":", -1)).join(marks, "h", "left").select(*plain, "text", "marks"))
+    texts = spread(two_columns(df, id_col, text_col))
+    found = saved(find_base(texts)).withColumn("h", F.substring_index("row_key", ":", -1))
+    groups = saved(found.groupBy("h").agg(F.count("*").alias("n")))
+    least = max(1, math.ceil(certainty * doubt**2 / (1 - certainty)))  # rarer terms can't reach certainty
+    counts = term_counts(texts, groups.where("n > 1").select("h"), least)
+    some = found.where("size(entities) > 0")
+    held = some.dropDuplicates(["h"]).select("h", F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("more") != "", F.col("more"))).alias("base"), "entities", "text")
+    marks = saved(disclosing(held, counts, max(groups.count(), 1), disclosure, certainty, doubt))
+    dropped(groups, counts)
+    plain = ["doc_id", "row_key", "n_email", "n_ip", "n_card", "n_phone", "base", "more"]
+    placed = _places(some.join(marks, "h", "left").select(*plain, "text", "marks"))
     none = F.expr("cast(array() as array<struct<s:int,x:int,whole:boolean>>)")
-    return found.where("base = ''").select(*plain, none.alias("terms")).unionByName(placed)
+    return found.where("size(entities) = 0").select(*plain, none.alias("terms")).unionByName(placed)
 
 
 def span_digests(found: DataFrame) -> DataFrame:
-    """doc_id, counts, base_sha256 and spans: kind:start:end by kind as listed, then start."""
+    """doc_id, counts, base_sha256, spans (kind:start:end by kind as listed, then start) and n_spans, how many these are."""
     terms = F.array_join(F.transform("terms", lambda p: F.concat(F.lit("term:"), p["s"].cast("string"), F.lit(":"), p["x"].cast("string"))), ",")
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, terms))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), spans.alias("spans"))
+    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("more") != "", F.col("more")), F.when(F.size("terms") > 0, terms))
+    n_spans = F.when(spans == "", F.lit(0)).otherwise(F.size(F.split(spans, ","))).cast("long")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base"), 256).alias("base_sha256"), spans.alias("spans"), n_spans.alias("n_spans"))
 
 
-def redact(text: str, base: str, terms: list) -> str:
-    """The text with each base span as [KIND]; disclosing terms as [TERM], or taken out if they determine the entity. Of overlapping spans the first, then the longest, counts."""
-    marks = [(s, -e, f"[{k.upper()}]") for k, s, e in _spans(base)]
+def redact(text: str, told: str, terms: list) -> str:
+    """The text with each span that is told as [KIND]; disclosing terms as [TERM], or taken out if they determine the entity. Of overlapping spans the first, then the longest, counts."""
+    marks = [(s, -e, f"[{k.upper()}]") for k, s, e in _spans(told)]
     marks += [(p["s"], -p["x"], "" if p["whole"] else "[TERM]") for p in terms]
     out, at = [], 0
     for s, e, put in sorted(marks):
@@ -250,7 +327,7 @@ def redact(text: str, base: str, terms: list) -> str:
 
 def redact_documents(df: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, text without its personal data, and the columns in carry, for each row of df; null texts become empty."""
-    found = find_personal_data(df, id_col=id_col, text_col=text_col, **options).where("base <> '' or size(terms) > 0").select("row_key", "base", "terms").dropDuplicates(["row_key"])
+    found = find_personal_data(df, id_col=id_col, text_col=text_col, **options).where("base <> '' or more <> ''").select("row_key", F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.col("more") != "", F.col("more"))).alias("base"), "terms").dropDuplicates(["row_key"])
     texts, rest = carried(df, id_col, text_col, carry or [])
     keyed = arrow_schema(schema := f"doc_id long, text string, rest {rest}, row_key string")
 

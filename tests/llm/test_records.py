@@ -32,21 +32,21 @@ def test_base_spans_equal_the_plain_patterns(spark):
 
 
 def test_a_term_that_stands_only_by_an_address_is_found(spark):
-    rows = [(i, f"the zorgon wrote me@corp.org about the thing {i}") for i in range(6)] + [(100 + i, "the thing about wrote") for i in range(50)] + [(None, None), (7, "")]
+    rows = [(i, f"the zorgon wrote me@corp.org about the thing x{i}") for i in range(12)] + [(100 + i, f"the thing about wrote y{i}") for i in range(500)] + [(None, None), (70, "")]
     df = spark.createDataFrame([(d, t, "q") for d, t in rows], "doc_id long, text string, terms string")
     got = {r.doc_id: r for r in pii.span_digests(pii.find_personal_data(df)).collect()}
     assert "term:4:10" in got[0].spans and got[0].n_email == 1 and "term" not in got[100].spans and len(got) == len({d for d, _ in rows})
     clean = {r.doc_id: r.text for r in pii.redact_documents(df).collect()}
-    assert "corp.org" not in clean[0] and "zorgon" not in clean[0] and clean[100] == rows[6][1]
+    assert "corp.org" not in clean[0] and "zorgon" not in clean[0] and clean[100] == rows[12][1]
 
 
 def test_terms_anywhere_in_the_documents_are_found_and_removed_everywhere(spark):
     far = " ".join(f"pad{i} of the text" for i in range(60))
-    rows = [(i, f"write to me@corp.org {far} zorgon {far} Zorgon, not zorgonia{i} the text") for i in range(5)] + [(100 + i, f"of the text {far} not write to other {i}") for i in range(50)]
-    rows += [(200, "zorgons of the text")]
+    rows = [(i, f"write to me@corp.org {far} zorgon {far} Zorgon, not zorgonia{i} the text") for i in range(12)] + [(100 + i, f"of the text {far} not write to other o{i}") for i in range(500)]
+    rows += [(9000, "zorgons of the text")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     clean = {r.doc_id: r.text for r in pii.redact_documents(df).collect()}
-    assert all("zorgon " not in clean[i].lower() and "zorgon," not in clean[i].lower() and f"not zorgonia{i} the text" in clean[i] for i in range(5))
+    assert all("zorgon " not in clean[i].lower() and "zorgon," not in clean[i].lower() and f"not zorgonia{i} the text" in clean[i] for i in range(12))
     assert all(clean[i] == t for i, t in rows if i >= 100)
 
 
@@ -59,6 +59,7 @@ def test_disclosing_terms_equal_plain_counting(spark):
         words = [f"w{chr(97 + int(x))}" for x in rng.integers(0, 20, 8)] + [f"name{chr(97 + j)}" for j in mine if rng.random() < 0.9] + [who[j] for j in mine]
         words += [f"name{chr(97 + int(rng.integers(0, 6)))}"] * (rng.random() < 0.03)
         rows.append((i, " ".join(str(w) for w in rng.permutation(words))))
+    rows += [(120 + i, f"other text z{i}") for i in range(3000)]
     held = {i: {w for w in t.split() if "@" in w} for i, t in rows}
     terms = {i: {w for w in t.split() if "@" not in w} for i, t in rows}
     want = {i: set() for i, _ in rows}
@@ -66,7 +67,7 @@ def test_disclosing_terms_equal_plain_counting(spark):
         n_e = sum(e in h for h in held.values())
         for t in set().union(*terms.values()):
             n_t, n_et = sum(t in x for x in terms.values()), sum(t in terms[i] and e in held[i] for i in held)
-            if n_et >= 3 and np.log2(n_et / n_t) >= -0.1 * np.log2(len(rows) / n_e):
+            if n_et / (n_t + 4) >= max((n_e / len(rows)) ** 0.1, 0.25):
                 for i, _ in rows:
                     want[i] |= {t} if e in held[i] and t in terms[i] else set()
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -74,14 +75,28 @@ def test_disclosing_terms_equal_plain_counting(spark):
     assert got == want and any(want.values())
 
 
-def test_repeated_rows_and_words_in_spans_count_alike(spark):
-    rows = [(None if i < 2 else i, f"zorgon has zorgon@corp.org as the thing {i}") for i in range(6)] * 4 + [(100 + i, "has as the thing") for i in range(50)]
-    rows += [(200, "zorgon@other.org has the thing")]
-    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("size(terms) > 0").collect()
-    assert len(got) == 24 and all([(p.s, p.x) for p in r.terms] == [(0, 6)] for r in got)
-    assert all(p.whole for r in got for p in r.terms)
-    once = [(i, f"zorgon has me@corp.org as the thing {i % 2}") for i in range(2)] * 4 + rows[24:]
-    assert pii.find_personal_data(spark.createDataFrame(once, "doc_id long, text string")).where("size(terms) > 0").count() == 0
+def test_repeating_rows_changes_nothing(spark):
+    rows = [(None if i < 2 else i, f"zorgon has zorgon@corp.org as the thing x{i}") for i in range(12)] + [(100 + i, f"has as the thing y{i}") for i in range(500)]
+    rows += [(9000, "zorgon@other.org has the thing")]
+    seen = []
+    for times, ids in ((1, 0), (3, 0), (2, 50_000)):
+        more = [(d if d is None else d + k * ids, t) for k in range(times) for d, t in rows]
+        got = pii.find_personal_data(spark.createDataFrame(more, "doc_id long, text string").repartition(3)).where("size(terms) > 0").collect()
+        assert len(got) == 12 * times and all(p.whole for r in got for p in r.terms)
+        seen.append({(r.row_key.split(":")[1], tuple((p.s, p.x) for p in r.terms)) for r in got})
+    assert seen[0] == seen[1] == seen[2] and {t for _, t in seen[0]} == {((0, 6),)}
+    few = [(i, f"zorgon has me@corp.org as the thing x{i}") for i in range(1)] * 40 + rows[12:]
+    assert pii.find_personal_data(spark.createDataFrame(few, "doc_id long, text string")).where("size(terms) > 0").count() == 0
+
+
+def test_texts_with_any_personal_data_or_secret_are_found(spark):
+    kinds = ["mail a{}@b.org", "call +1 (555) 010-{:04d}", "at 10.0.{}.1", "card 4111111111111111 {}", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b9{:04d}"', "key AKx{:04d}aZ9qW8eR7tY6uI5oP"]
+    bad = [(i, "words before " + kinds[i % 6].format(i) + " and after") for i in range(120)]
+    clean = [(1000 + i, t) for i, t in enumerate(["", "plain words only", "2024-01-02 at 12.5", "a" * 60, "1" * 60, "Donaudampfschifffahrtsgesellschaft12", "words before and after"] * 5)]
+    got = {r.doc_id: r for r in pii.span_digests(pii.find_personal_data(spark.createDataFrame(bad + clean, "doc_id long, text string"))).collect()}
+    assert all(got[i].n_spans > 0 for i, _ in bad) and all(got[i].n_spans == 0 and got[i].spans == "" for i, _ in clean)
+    assert "secret:" in got[4].spans and got[4].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_toxicity_on_held_out_rows(spark):
