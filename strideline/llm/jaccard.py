@@ -20,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Blocks, arrow_schema, destroyed, dropped, give_back, grid, saved, slices, spread, summed_counts, two_columns
+from .common import Blocks, arrow_schema, carried, destroyed, dropped, give_back, grid, saved, slices, spread, summed_counts, two_columns
 from .components import components, salted
 
 WORDS, COUNTERS = 5, 1 << 22
@@ -55,6 +56,11 @@ def set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def row_key(doc: int | None, text: str) -> bytes:
+    """16 bytes that stand for a row: rows with one id and different texts have different ones."""
+    return xxhash.xxh3_128_digest(f"{doc}:".encode() + text.encode())
+
+
 def number_of(key: bytes, clash: frozenset[int] = frozenset()) -> int:
     """A class's number: the first half of its key; the second half where two keys have one first half."""
     cid = int.from_bytes(key[:8], "little", signed=True)
@@ -163,9 +169,9 @@ def arrow_types(ddl: str) -> pa.Schema:
 
 
 def document_sets(texts: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), cid and other (numbers for the set), k (16 bytes for it; null for an empty set), its signature."""
+    """doc_id, row_key, n (size of the set), cid and other (numbers for the set), k (16 bytes for it; null for an empty set), its signature."""
     marks = [f"s{i}" for i in range(SIGNATURE)]
-    schema = "doc_id long, n int, cid long, other long, k binary, " + ", ".join(f"{m} long" for m in marks)
+    schema = "doc_id long, row_key binary, n int, cid long, other long, k binary, " + ", ".join(f"{m} long" for m in marks)
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +181,8 @@ def document_sets(texts: DataFrame) -> DataFrame:
             other = [None if k is None else int.from_bytes(k[8:], "little", signed=True) for k in keys]
             cids = [None if k is None else number_of(k) for k in keys]
             signs = [pa.array(x, pa.int64()) for x in zip(*map(signature, sets), strict=True)] or [pa.array([], pa.int64())] * SIGNATURE
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int32()), pa.array(cids, pa.int64()), pa.array(other, pa.int64()), pa.array(keys, pa.binary()), *signs], schema=out)
+            rows = pa.array(map(row_key, b.column(0).to_pylist(), b.column(1).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), rows, pa.array(map(len, sets), pa.int32()), pa.array(cids, pa.int64()), pa.array(other, pa.int64()), pa.array(keys, pa.binary()), *signs], schema=out)
 
     return texts.mapInArrow(run, schema)
 
@@ -295,6 +302,43 @@ def linked_documents(df: DataFrame, run: int = 32, id_col: str = "doc_id", text_
     Null or empty texts have no shingles, no links and their own id. Equal rows are linked like any equal texts. Rows
     with a null id take part, and have a null component only if no row of theirs has an id.
     """
+    docs = document_classes(df, run, id_col, text_col)
+    least = docs.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
+    return salted(docs, least, "c", "row", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, carry: list[str], run: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and the columns in carry: of each group of linked documents the row with the smallest doc_id (without
+    ids, or of rows with one id, that with the smallest row key; of equal ones the smallest in the other columns). Rows
+    without words are linked with nothing and all stay. Texts move once, compressed.
+    """
+    docs = document_classes(df, run, id_col, text_col)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    kept = docs.where("c is not null").groupBy("c").agg(F.min_by("row_key", first).alias("row_key")).select("row_key", F.lit(True).alias("kept"))
+    texts, rest = carried(df, id_col, text_col, carry)
+    out, back_to = arrow_schema(schema := f"doc_id long, row_key binary, empty boolean, z binary, rest {rest}"), arrow_schema(plain := f"doc_id long, text string, rest {rest}")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, part, n = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        for b in slices(batches):
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            empty = [not t.encode().split(None, 1) for t in texts]
+            keys = [f"{part}:{n + i}".encode() if e else row_key(d, t) for i, (d, t, e) in enumerate(zip(ids, texts, empty, strict=True))]  # empty rows have keys of their own
+            n += len(ids)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(empty, pa.bool_()), pa.array([press.compress(t.encode()) for t in texts], pa.binary()), b.column(2)], schema=out)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = zstandard.ZstdDecompressor()
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([back.decompress(z).decode() for z in b.column(1).to_pylist()], pa.string()), b.column(2)], schema=back_to)
+
+    packed = texts.mapInArrow(pack, schema).join(kept, "row_key", "left").where("empty or kept")
+    one = packed.groupBy("row_key").agg(F.min(F.struct("rest", "doc_id", "z")).alias("r")).select("r.doc_id", "r.z", "r.rest")
+    return one.mapInArrow(unpack, plain).select("doc_id", "text", *(F.col("rest")[c].alias(c) for c in carry))
+
+
+def document_classes(df: DataFrame, run: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row_key, n, c (a number for the component; null for an empty set), row, saved."""
     texts = spread(two_columns(df, id_col, text_col))
     sets = saved(document_sets(texts))
     marks = [f"s{i}" for i in range(SIGNATURE)]
@@ -357,11 +401,10 @@ def linked_documents(df: DataFrame, run: int = 32, id_col: str = "doc_id", text_
     left = open_columns()
     label = verified(rest.union(column_pairs(left, named).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b")))
 
-    docs = salted(sets.withColumn("row", F.monotonically_increasing_id()), label.withColumnRenamed("v", "cid"), "cid", "row", "left").select("doc_id", "n", F.coalesce("c", "cid").alias("c"))
-    docs = saved(docs.withColumn("row", F.monotonically_increasing_id()))
-    least = docs.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
+    docs = salted(sets.withColumn("row", F.monotonically_increasing_id()), label.withColumnRenamed("v", "cid"), "cid", "row", "left")
+    docs = saved(docs.select("doc_id", "row_key", "n", F.coalesce("c", "cid").alias("c"), "row"))
     dropped(sets_at, found, possible, first, whole)
-    return salted(docs, least, "c", "row", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return docs
 
 
 def column_pairs(left: DataFrame, named: Callable[[DataFrame, str], DataFrame], part: int = 2048) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Blocks, arrow_schema, carried, destroyed, dropped, give_back, grid, saved, slices, spread, two_columns
-from .jaccard import mixed
+from .jaccard import mixed, row_key
 
 WINDOW, ROUNDS = 35, 6
 #: The steps after which a Spark round counts the symbols; -1 are the words.
@@ -151,11 +151,6 @@ def window_hashes(h: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.nd
     return out[0], out[1]
 
 
-def row_key(doc: int | None, data: bytes) -> bytes:
-    """16 bytes for a row: equal rows have equal keys, and equal places."""
-    return xxhash.xxh3_128_digest(b"%s:%b" % (str(doc).encode(), data))
-
-
 def repeated_symbols(texts: DataFrame, step: int, sent, n_rounds: int) -> np.ndarray:
     """One Spark round: a filter, FILTER bits, of the symbols of this step that stand in two places or more, by the rounds
     before (sent: a broadcast of their filters). Each task sends a symbol once, with a mark if it met it twice."""
@@ -326,7 +321,7 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, n_rounds: int = ROU
             if len(starts):
                 x, y = window_hashes(h, starts, window)
                 ids = b.column(0).to_pylist()
-                keys = {i: row_key(ids[i], data[i]) for i in np.unique(doc).tolist()}
+                keys = {i: row_key(ids[i], data[i].decode()) for i in np.unique(doc).tolist()}
                 yield from held.add([keys.get(i, b"") for i in range(len(data))], doc, starts - at[:-1][doc], name, x, y)
         yield from held.flush()
 
@@ -366,7 +361,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, n_rounds: int = ROUNDS,
         press = zstandard.ZstdCompressor(level=3)
         for b in slices(batches):
             data = [t.encode() for t in b.column(1).to_pylist()]
-            keys = [row_key(i, d) for i, d in zip(b.column(0).to_pylist(), data, strict=True)]
+            keys = [row_key(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array([press.compress(d) for d in data], pa.binary()), b.column(2)], schema=packed)
 
     result = f"doc_id long, n_words long, n_removed long, kept string, rest {rest}"

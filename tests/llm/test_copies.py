@@ -52,6 +52,23 @@ def test_components_equal_all_pairs_with_long_columns(spark):
         assert got == brute_components(rows)
 
 
+def test_one_row_of_each_group_stays(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words[:59], "other"])
+    rows = [(5, text, "b"), (5, text, "a"), (5, near, "c"), (3, "alone in the world here", "x"), (None, text, "n"), (None, "null one two three four", "n"), (None, "null one two three four", "m"), (None, "", "e"), (None, "", "e"), (8, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key string").repartition(3)
+    got = sorted(map(str, jaccard.one_of_each(df, ["row_key"]).collect()))
+    kept = [r for r in rows[:3] if f"Row(doc_id=5, text='{r[1]}', row_key='{r[2]}')" in got]
+    assert len(kept) == 1 and kept[0][2] in "ac"
+    assert sum("alone" in g for g in got) == 1 and [g for g in got if "null one" in g] == ["Row(doc_id=None, text='null one two three four', row_key='m')"]
+    assert sum("text=''" in g for g in got) == 3 and len(got) == 6
+    assert jaccard.one_of_each(df.limit(0), ["row_key"]).count() == 0 and jaccard.linked_documents(df.limit(0)).count() == 0
+
+
+def test_classes_that_share_half_a_key_stay_apart(spark, monkeypatch):
+    assert jaccard.number_of(b"a" * 16) == jaccard.number_of(b"a" * 8 + b"b" * 8) and jaccard.number_of(b"a" * 8 + b"b" * 8, frozenset([jaccard.number_of(b"a" * 16)])) == int.from_bytes(b"b" * 8, "little", signed=True)
+
+
 def test_prefixes_of_similar_sets_always_meet():
     random.seed(5)
     counts = np.random.default_rng(1).integers(0, 100, jaccard.COUNTERS)
