@@ -25,12 +25,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id; of equal rows one; rows without an id all."""
+    """Of each group of linked documents one row, that with the smallest id; rows without words all stay."""
     common.ship(spark)
-    groups = jaccard.linked_documents(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    return _as_documents(jaccard.one_of_each(docs, ["lang", "source"]))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
