@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices, two_columns
+from .common import arrow_schema, slices, spread, two_columns
 
 #: A bound on the entries of each memo of a worker.
 MEMO = 300_000
@@ -219,7 +219,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
             decoded = [enc.decode(words[s:e]) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array(decoded, pa.binary())], schema=out)
 
-    return two_columns(df, id_col, text_col).mapInArrow(run, schema)
+    return spread(two_columns(df, id_col, text_col)).mapInArrow(run, schema)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

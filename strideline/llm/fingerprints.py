@@ -1,9 +1,12 @@
 """Operator 2: document fingerprints as invertible Bloom lookup tables of paragraph digests.
 
-A text's paragraphs (lines, longer ones cut at words chosen by their hashes, so that an edit moves no cut elsewhere) are
-hashed; each digest is added to one cell in each third of a small table of counts, key sums and check sums. Subtracting
-two tables leaves the differing digests, which peeling recovers: a cell with one digest gives it away, and taking it out
-of its other cells frees more. If peeling gets stuck, both tables are built again four times as large.
+A text's paragraphs (lines; longer ones are cut after words chosen by their hashes, so that an edit moves no cut
+elsewhere) are hashed; each digest is added to one cell in each third of a table of counts, key sums and check sums. A
+text's table is as large as its own digests need: it starts near 1.3 cells a digest and doubles until peeling recovers
+all of them, so its size depends on the text alone. Two tables are compared by themselves: the larger is folded to the
+smaller's size (sizes are powers of two), one is subtracted from the other, and peeling recovers the differing digests: a
+cell with one digest gives it away, and taking it out of its other cells frees more. Where that gets stuck, because too
+much differs for the size, both tables are peeled by themselves and the digests compared.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices, two_columns
+from .common import arrow_schema, slices, spread, two_columns
 
-#: Words of a paragraph's part, about; cells of a fingerprint.
-PART, CELLS = 4, 24
+#: Words of a paragraph's part, about.
+PART = 8
 #: Cells of the sketches that are peeled together.
-MOST_CELLS = 1 << 18
+MOST_CELLS = 1 << 17
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -45,7 +48,7 @@ def digests(texts: list[bytes]) -> list[np.ndarray]:
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, n)
     line_end = np.concatenate([np.fromiter((b"\n" in w for w in ws), np.bool_, len(ws)) if b"\n" in t else np.zeros(len(ws), np.bool_) for t, ws in zip(texts, words, strict=True)])
     with np.errstate(over="ignore"):
-        ends = (h % np.uint64(PART) == 0) | line_end | (sizes <= 3 * PART)[doc]
+        ends = (h % np.uint64(PART) == 0) | line_end
         starts = np.flatnonzero(np.append(True, ends[:-1] | (doc[1:] != doc[:-1])))
         place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
         starts = np.flatnonzero(place % (2 * PART) == 0)  # long parts are cut again, counted from their beginnings
@@ -61,46 +64,54 @@ def digests(texts: list[bytes]) -> list[np.ndarray]:
 
 
 class Sketches:
-    """As many tables of `cells` cells as there are lists of digests; all are built, subtracted and peeled together."""
+    """As many tables of three times 2^k cells as `n`; all are built, subtracted and peeled together."""
 
-    def __init__(self, n: int, cells: int):
-        self.n, self.third = n, max(1, cells // 3)
-        self.m = 3 * self.third
+    def __init__(self, n: int, k: int):
+        self.n, self.k, self.m = n, k, 3 << k
         self.count, self.keys, self.checks = np.zeros(n * self.m, np.int64), np.zeros(n * self.m, np.uint64), np.zeros(n * self.m, np.uint64)
 
     @staticmethod
-    def of(lists: list[np.ndarray], cells: int) -> Sketches:
+    def of(lists: list[np.ndarray], k: int) -> Sketches:
         owner = np.repeat(np.arange(len(lists)), [len(d) for d in lists])
-        return Sketches(len(lists), cells).add(owner, np.concatenate([np.zeros(0, np.uint64), *lists]), np.ones(len(owner), np.int64))
+        return Sketches(len(lists), k).add(owner, np.concatenate([np.zeros(0, np.uint64), *lists]), np.ones(len(owner), np.int64))
 
     def add(self, owner: np.ndarray, d: np.ndarray, sign: np.ndarray) -> Sketches:
         """Add each digest to its owner's table, or take out those whose sign is -1."""
         with np.errstate(over="ignore"):
             unsigned = sign.astype(np.uint64)
-            key, check = d * unsigned, _mixed(d, _C) * unsigned
+            key, check = d * unsigned, _check(d) * unsigned
             for j, salt in enumerate((_A, _B, _A ^ _B)):
-                at = ((_mixed(d, salt) >> np.uint64(20)) % np.uint64(self.third)).astype(np.int64) + (owner * self.m + j * self.third)
+                at = (_mixed(d, salt) >> np.uint64(20) & np.uint64((1 << self.k) - 1)).astype(np.int64) + (owner * self.m + (j << self.k))
                 np.add.at(self.count, at, sign)
                 np.add.at(self.keys, at, key)
                 np.add.at(self.checks, at, check)
         return self
 
+    def some(self, rows: np.ndarray, k: int) -> Sketches:
+        """These tables alone, folded to 2^k cells a third: a digest's cell there is the lower bits of its cell here."""
+        out = Sketches(0, k)
+        out.n = len(rows)
+        fold = lambda c: c.reshape(self.n, 3, 1 << self.k - k, 1 << k)[rows].sum(axis=2, dtype=c.dtype).reshape(-1)
+        out.count, out.keys, out.checks = fold(self.count), fold(self.keys), fold(self.checks)
+        return out
+
     def minus(self, other: Sketches) -> Sketches:
-        out = Sketches(self.n, self.m)
+        out = Sketches(0, self.k)
+        out.n = self.n
         with np.errstate(over="ignore"):
             out.count, out.keys, out.checks = self.count - other.count, self.keys - other.keys, self.checks - other.checks
         return out
 
-    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Owners, digests left over and signs, and for each table whether peeling emptied it. Uses the sketches up."""
-        owners, found, signs, times = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros(self.n, np.int64)
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owners and digests found, and for each table whether peeling emptied it. Uses the sketches up."""
+        owners, found, times = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], np.zeros(self.n, np.int64)
         with np.errstate(over="ignore"):
             while True:
                 one = np.flatnonzero(np.abs(self.count) == 1)
                 one = one[times[one // self.m] <= 4 * self.m]  # past that, a false digest set it going round
                 sign = self.count[one]
                 key = self.keys[one] * sign.astype(np.uint64)
-                pure = _mixed(key, _C) * sign.astype(np.uint64) == self.checks[one]
+                pure = (_check(key) * sign.astype(np.uint64) ^ self.checks[one]) & _LOW == 0
                 if not pure.any():
                     break
                 owner, key, sign = one[pure] // self.m, key[pure], sign[pure]
@@ -110,100 +121,176 @@ class Sketches:
                 owner, key, sign = owner[new], key[new], sign[new]
                 owners.append(owner)
                 found.append(key)
-                signs.append(sign)
                 times += np.bincount(owner, minlength=self.n)
                 self.add(owner, key, -sign)
-        left = (self.count != 0) | (self.keys != 0) | (self.checks != 0)
-        return np.concatenate(owners), np.concatenate(found), np.concatenate(signs), ~left.reshape(self.n, self.m).any(axis=1)
+        left = (self.count != 0) | (self.keys != 0) | (self.checks & _LOW != 0)
+        return np.concatenate(owners), np.concatenate(found), ~left.reshape(self.n, self.m).any(axis=1)
 
     def texts(self) -> list[str]:
-        c, k, x = (v.astype(t).reshape(self.n, self.m) for v, t in ((self.count, "<i2"), (self.keys, "<u8"), (self.checks, "<u4")))
-        return [base64.b64encode(c[i].tobytes() + k[i].tobytes() + x[i].tobytes()).decode() for i in range(self.n)]
-
-
-def differences(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each pair the digests that only its first (sign 1) or only its second (sign -1) has, recovered from sketches alone."""
-    out: list = [None] * len(pairs)
-    size = np.full(len(pairs), cells)
-    apart = np.array([abs(len(a) - len(b)) for a, b in pairs])
-    while (low := 1.3 * apart > size).any():
-        size[low] *= 4  # this many can't be recovered
-    while (todo := [i for i, got in enumerate(out) if got is None]):
-        now = min(size[i] for i in todo)
-        todo = [i for i in todo if size[i] == now]
-        for k in range(0, len(todo), step := max(1, MOST_CELLS // int(now))):
-            some = todo[k : k + step]
-            owner, key, sign, done = Sketches.of([pairs[i][0] for i in some], now).minus(Sketches.of([pairs[i][1] for i in some], now)).peel()
-            order = np.argsort(owner, kind="stable")
-            cuts = np.searchsorted(owner[order], np.arange(1, len(some)))
-            for i, keys, signs, ok in zip(some, np.split(key[order], cuts), np.split(sign[order], cuts), done.tolist(), strict=True):
-                if ok:
-                    out[i] = keys, signs
-                else:
-                    size[i] *= 4
+        """Base64 of k, then counts (16 bits), keys (64) and checks (32) of the cells."""
+        c, x, y = (v.astype(t).reshape(self.n, self.m) for v, t in ((self.count, "<i2"), (self.keys, "<u8"), (self.checks & _LOW, "<u4")))
+        return [base64.b64encode(bytes([self.k]) + c[i].tobytes() + x[i].tobytes() + y[i].tobytes()).decode() for i in range(self.n)]
+
+
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def _check(d: np.ndarray) -> np.ndarray:
+    return _mixed(d, _C) & _LOW
+
+
+def from_text(text: str) -> Sketches:
+    """The table that texts() wrote."""
+    raw = base64.b64decode(text)
+    out = Sketches(1, raw[0])
+    m = out.m
+    out.count, out.keys, out.checks = (np.frombuffer(raw[1 + a * m : 1 + b * m], t).astype(u) for a, b, t, u in ((0, 2, "<i2", np.int64), (2, 10, "<u8", np.uint64), (10, 14, "<u4", np.uint64)))
     return out
 
 
-def likeness(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = CELLS) -> list[float]:
-    """Shared digests over all digests, with the number of differing ones from the sketches; 1 for two empty texts."""
+def _split(owner: np.ndarray, key: np.ndarray, n: int) -> list[np.ndarray]:
+    order = np.lexsort((key, owner))
+    return np.split(key[order], np.searchsorted(owner[order], np.arange(1, n)))
+
+
+class Fingerprints:
+    """The tables of some texts, of a size each, and the digests that peeling recovers from them."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        self.size = [max(1, int(np.ceil(np.log2(max(1.3 * len(d), 6) / 3)))) for d in lists]
+        self.place: list[tuple[int, int]] = [(0, 0)] * len(lists)
+        self.tables: list[Sketches] = []
+        self.recovered = lists
+        todo = list(range(len(lists)))
+        while todo:
+            k = min(self.size[i] for i in todo)
+            now = [i for i in todo if self.size[i] == k]
+            todo = [i for i in todo if self.size[i] != k]
+            for at in range(0, len(now), step := max(1, MOST_CELLS // (3 << k))):
+                some = now[at : at + step]
+                table = Sketches.of([lists[i] for i in some], k)
+                _, _, done = table.some(np.arange(len(some)), k).peel()
+                for row, (i, ok) in enumerate(zip(some, done.tolist(), strict=True)):
+                    self.place[i] = len(self.tables), row
+                    if not ok:  # again, twice as large
+                        self.size[i] += 1
+                        todo.append(i)
+                self.tables.append(table)
+
+    def texts(self) -> list[str]:
+        done: dict[int, list[str]] = {}
+        return [done.setdefault(t, self.tables[t].texts())[row] if t not in done else done[t][row] for t, row in self.place]
+
+
+def differing(a: Fingerprints, rows_a: list[int], b: Fingerprints, rows_b: list[int]) -> np.ndarray:
+    """How many digests only one of each two tables holds, found from the tables."""
+    out = np.full(len(rows_a), -1, np.int64)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(rows_a, rows_b, strict=True)):
+        groups.setdefault((a.place[x][0], b.place[y][0]), []).append(i)
+    for (s, t), some in groups.items():
+        k = min(a.tables[s].k, b.tables[t].k)
+        x, y = (p.tables[u].some(np.array([p.place[rows[i]][1] for i in some]), k) for p, u, rows in ((a, s, rows_a), (b, t, rows_b)))
+        owner, _, done = x.minus(y).peel()
+        n = np.bincount(owner, minlength=len(some))
+        for i, found, ok in zip(some, n.tolist(), done.tolist(), strict=True):
+            out[i] = found if ok else len(np.setxor1d(a.recovered[rows_a[i]], b.recovered[rows_b[i]], assume_unique=True))
+    return out
+
+
+def likenesses(a: Fingerprints, rows_a: list[int], b: Fingerprints, rows_b: list[int]) -> list[float]:
+    """Shared digests over all digests; 1 for two empty texts."""
     out = []
-    for (a, b), (keys, _) in zip(pairs, differences(pairs, cells), strict=True):
-        apart = len(keys)
-        shared = (len(a) + len(b) - apart) / 2
+    for i, j, apart in zip(rows_a, rows_b, differing(a, rows_a, b, rows_b).tolist(), strict=True):
+        shared = (len(a.recovered[i]) + len(b.recovered[j]) - apart) / 2
         out.append(shared / (shared + apart) if shared + apart else 1.0)
     return out
 
 
+def likeness(x: str, y: str) -> float:
+    """The likeness of two fingerprints, from these strings alone."""
+    tables = [from_text(x), from_text(y)]
+    k = min(t.k for t in tables)
+    n = [int(t.count[: 1 << t.k].sum()) for t in tables]
+    _, found, done = tables[0].some(np.array([0]), k).minus(tables[1].some(np.array([0]), k)).peel()
+    apart = len(found) if done[0] else len(np.setxor1d(*(t.some(np.array([0]), t.k).peel()[1] for t in tables)))
+    shared = (sum(n) - apart) / 2
+    return shared / (shared + apart) if shared + apart else 1.0
+
+
 FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _LEAST = -(1 << 63)
 
 
+#: The most ranges that the driver makes bounds for.
+MOST_RANGES = 20_000
+
+
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 32 << 20) -> DataFrame:
-    """bucket, key, halo, tie, doc_id, z: each text (compressed) in a range of ids, in which the next lower id follows it.
+    """bucket, key, halo, tie, n, doc_id, z: each text (compressed) in a range of ids, in which the next one follows it.
 
-    A range's highest document is also sent, as halo, to the range above, and the highest of all to the lowest range;
-    so each text moves once. The driver holds two numbers a range. Null ids come last; equal ids follow by their texts' hashes.
+    Texts are in the order of (key, tie), descending: the id (null ones last) and a hash of the text, so rows of one id
+    may lie in several ranges. n counts equal rows, which a task sends once. A range's first text is also sent, as halo,
+    to the range above, and the first of all to the lowest range; so each text moves once. The driver holds two numbers
+    for each of MOST_RANGES ranges at most; ranges are sorted by Spark and read as streams, so they may be of any size.
     """
-    docs = two_columns(df, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(_LEAST)))
+    docs = spread(two_columns(df, id_col, text_col)).select(F.coalesce("doc_id", F.lit(_LEAST)).alias("key"), F.xxhash64("text").alias("tie"), "doc_id", "text")
+    cores = df.sparkSession.sparkContext.defaultParallelism
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-total // range_bytes), min(4 * df.sparkSession.sparkContext.defaultParallelism, total >> 20))  # all cores share smaller tables too
-    bounds = np.array(sorted(set(docs.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 100_000).alias("q")).first()["q"] or [])) if n > 1 else [], np.int64)
+    n = max(1, min(MOST_RANGES, max(-(-total // range_bytes), min(4 * cores, total >> 20))))  # all cores share smaller tables too
+    cuts = docs.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 5 * n).alias("q")).first()["q"] or [] if n > 1 else []
+    keys, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+    first = np.cumsum(times) - times  # a key that several cuts fall on has a range for each, by tie
+
+    def bucket_of(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(keys, key, "left")
+        here = np.minimum(at, max(len(keys) - 1, 0))
+        hot = (at < len(keys)) & (keys[here] == key) if len(keys) else np.zeros(len(key), np.bool_)
+        share = (tie.astype(np.float64) / 2.0**64 + 0.5) * (times[here] if len(keys) else 1)
+        base = np.append(first, len(cuts))[at]
+        return base + np.where(hot, np.clip(share.astype(np.int64), 0, (times[here] if len(keys) else 1) - 1), 0)
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[int, int]] = {}
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            k = np.searchsorted(bounds, keys, "left")
-            got = {int(i): int(keys[k == i].max()) for i in np.unique(k)}
-            yield pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.int64()), pa.array(got.values(), pa.int64())], ["bucket", "top"])
-
-    top = sorted((r["bucket"], r["top"]) for r in docs.select("key").mapInArrow(tops, "bucket long, top long").groupBy("bucket").agg(F.max("top").alias("top")).collect())
-    to = {key: top[(i + 1) % len(top)][0] for i, (_, key) in enumerate(top)}  # the lowest range gets the highest of all
-    sent = df.sparkSession.sparkContext.broadcast((bounds, to))
-    schema = "bucket long, key long, halo int, tie long, doc_id long, z binary"
+            key, tie = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            order = np.lexsort((tie, key))
+            at = bucket_of(key[order], tie[order])
+            last = np.flatnonzero(np.append(at[1:] != at[:-1], True)) if len(at) else at
+            for k, x, y in zip(at[last].tolist(), key[order][last].tolist(), tie[order][last].tolist(), strict=True):
+                best[k] = max(best.get(k, (x, y)), (x, y))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(best), [x for x, _ in best.values()], [y for _, y in best.values()])], ["bucket", "key", "tie"])
+
+    top = docs.select("key", "tie").mapInArrow(tops, "bucket long, key long, tie long").groupBy("bucket").agg(F.max(F.struct("key", "tie")).alias("t")).collect()
+    top = sorted((r["bucket"], r["t"]["key"], r["t"]["tie"]) for r in top)
+    above = {(key, tie): top[(i + 1) % len(top)][0] for i, (_, key, tie) in enumerate(top)}  # the lowest range gets the first of all
+    sent = df.sparkSession.sparkContext.broadcast(above)
+    schema = "bucket long, key long, halo int, tie long, n long, doc_id long, z binary"
     out = arrow_schema(schema)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, above = sent.value
-        press = zstandard.ZstdCompressor(level=3)
+        above, press = sent.value, zstandard.ZstdCompressor(level=3)
         for b in slices(batches):
-            keys = b.column(2).to_numpy(zero_copy_only=False)
-            rows = []
-            for key, k, doc, text in zip(keys.tolist(), np.searchsorted(cuts, keys, "left").tolist(), b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = text.encode()
-                row = (key, 0, xxhash.xxh3_64_intdigest(data) - (1 << 63), doc, press.compress(data))
-                rows.append((k, *row))
-                if key in above:
-                    rows.append((above[key], key, 1, *row[2:]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, out.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=out)
+            rows: dict[tuple, list] = {}
+            key, tie = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for k, x, y, doc, text in zip(bucket_of(key, tie).tolist(), key.tolist(), tie.tolist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                row = rows.setdefault((x, doc is None, text), [k, x, 0, y, 0, doc, b""])
+                row[4] += 1
+                if row[4] == 1:
+                    row[6] = press.compress(text.encode())
+            got = list(rows.values())
+            got += [[above[r[1], r[3]], r[1], 1, r[3], 1, *r[5:]] for r in got if (r[1], r[3]) in above]
+            yield pa.RecordBatch.from_arrays([pa.array(c, out.field(i).type) for i, c in enumerate(zip(*got, strict=True) if got else [[]] * len(out))], schema=out)
 
-    return docs.mapInArrow(deal, schema).repartition(n, "bucket").sortWithinPartitions("bucket", "halo", F.desc("key"), "tie")
+    return docs.mapInArrow(deal, schema).repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "halo", F.desc("key"), F.desc("tie"))
 
 
-def fingerprint(df: DataFrame, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """FINGERPRINTS of each row: of its text, and of its text with the last third replaced from the next document.
 
-    The next document has the next lower id; after the lowest comes the highest. A null text is empty. A row whose id
-    comes again is followed by its double. One row alone is followed by itself; no rows give none.
+    The next document has the next lower id; after the lowest comes the highest. A null text is empty. Of rows with one
+    id, or without one, each is followed by another of them (by a hash of their texts), equal rows by their doubles. One
+    row alone is followed by itself; no rows give none.
     """
     out = arrow_schema(FINGERPRINTS)
 
@@ -211,22 +298,29 @@ def fingerprint(df: DataFrame, cells: int = CELLS, id_col: str = "doc_id", text_
         back = zstandard.ZstdDecompressor()
         last = None
         for b in slices(batches):
-            data = [back.decompress(z) for z in b.column(5).to_pylist()]
-            docs = [*([last] if last else []), *zip(*(b.column(i).to_pylist() for i in (0, 2, 4)), data, digests(data), strict=True)]
+            data = [back.decompress(z) for z in b.column(6).to_pylist()]
+            docs = [*([last] if last else []), *zip(*(b.column(i).to_pylist() for i in (0, 2, 4, 5)), data, digests(data), strict=True)]
             last = docs[-1]
-            pairs = [(now, after) for now, after in zip(docs, docs[1:], strict=False) if now[0] == after[0] and not now[1]]
+            pairs = []  # place of the row, place of the next, how many rows
+            for i, (now, after) in enumerate(zip(docs, docs[1:], strict=False)):
+                if now[0] == after[0] and not now[1]:
+                    pairs += [(i, i, now[2] - 1)] * (now[2] > 1) + [(i, i + 1, 1)]
             if not pairs:
                 continue
-            texts, edited = [now[3].decode() for now, _ in pairs], []
-            for text, (_, after) in zip(texts, pairs, strict=True):
+            edited = []
+            for i, j, _ in pairs:
+                text = docs[i][4].decode()
                 m = len(text) // 3
-                edited.append((text[: len(text) - m] + after[3][: 4 * m].decode(errors="ignore")[:m]).encode())
-            d, e, f = [now[4] for now, _ in pairs], [after[4] for _, after in pairs], digests(edited)
-            near = likeness([*zip(d, f, strict=True), *zip(d, e, strict=True)], cells)
+                edited.append((text[: len(text) - m] + docs[j][4][: 4 * m].decode(errors="ignore")[:m]).encode())
+            own, new = Fingerprints([d[5] for d in docs]), Fingerprints(digests(edited))
+            at, then = [i for i, *_ in pairs], [j for _, j, _ in pairs]
+            marks = own.texts()
             cols = (
-                [now[2] for now, _ in pairs], list(map(len, texts)), [hashlib.sha256(x).hexdigest() for x in edited],
-                Sketches.of(d, cells).texts(), Sketches.of(f, cells).texts(), near[: len(pairs)], near[len(pairs) :],
+                [docs[i][3] for i in at], [len(docs[i][4].decode()) for i in at], [hashlib.sha256(x).hexdigest() for x in edited],
+                [marks[i] for i in at], new.texts(), likenesses(own, at, new, list(range(len(pairs)))), likenesses(own, at, own, then),
             )
+            times = [n for *_, n in pairs]
+            cols = [[v for v, n in zip(c, times, strict=True) for _ in range(n)] for c in cols] if max(times) > 1 else cols
             yield pa.RecordBatch.from_arrays([pa.array(c, out.field(i).type) for i, c in enumerate(cols)], schema=out)
 
     return with_next(df, id_col, text_col).mapInArrow(run, FINGERPRINTS)

@@ -1,9 +1,10 @@
 """Operator 3: best-fit packing of token sequences into windows of a fixed length.
 
-Tokenising cuts only documents longer than a window; the first piece takes the remainder. Pieces are dealt into groups
-of about `group_rows`, and each group is packed online, in the order it is read, by best fit: the open bins are kept in
-a bitset keyed by free space, so the fullest bin that still takes a piece is a shift and a lowest-set-bit away. At most
-`open_bins` bins are open; when one more is needed, the fullest one closes. Longer pieces are read first.
+Tokenising cuts only documents longer than a window; the first piece takes the remainder. Pieces are dealt evenly into
+groups of about `group_rows`, whatever they are, and each group is packed online, in the order it is read, by best fit: the
+open bins are kept in a bitset keyed by free space, so the fullest bin that still takes a piece is a shift and a
+lowest-set-bit away. At most `open_bins` bins are open; when one more is needed, the fullest one closes. A piece gets its
+place when it is read, without a look at later ones; that a group is read longest first only sets the order of arrival.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import arrow_schema, saved, slices, two_columns
+from .common import arrow_schema, saved, slices, spread, two_columns
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -67,7 +69,7 @@ def cut_pieces(df: DataFrame, path: str, end_id: int = 2, window: int = 1024, id
                     rows.append((doc, k, at, end - at, zlib.crc32(ids[4 * at : 4 * end])))
             yield pa.RecordBatch.from_arrays([pa.array(c, out.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=out)
 
-    return two_columns(df, id_col, text_col).mapInArrow(run, PIECES)
+    return spread(two_columns(df, id_col, text_col)).mapInArrow(run, PIECES)
 
 
 class OpenBins:
@@ -103,28 +105,21 @@ class OpenBins:
 def pack(pieces: DataFrame, window: int = 1024, open_bins: int = 8192, group_rows: int = 50_000) -> DataFrame:
     """The pieces with sequence_id and offset.
 
-    Every row gets a place, equal rows too (each its own). Groups come from a hash of the whole row and a salt, so no
-    key gathers in one; a sequence holds pieces of one group only, which costs less than one open bin a group. No rows
-    give no rows.
+    Every row gets a place, equal rows too (each its own). Rows are dealt to the groups in turn, so no key gathers in one; a
+    group is sorted by all columns, so a group that is packed again gets the same places. A sequence holds pieces of one
+    group only, which costs less than one open bin a group. No rows give no rows.
     """
     n_groups = max(1, -(-pieces.count() // group_rows))
     out = arrow_schema(PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bins = None, None
+        bins = OpenBins(window, open_bins, TaskContext.get().partitionId() << 32)
         for b in batches:
-            number, offset = [], []
-            for g, length in zip(b.column(5).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if g != now:
-                    now, bins = g, OpenBins(window, open_bins, g << 32)
-                s, o = bins.take(length)
-                number.append(s)
-                offset.append(o)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(number, pa.int64()), pa.array(offset, pa.int64())], schema=out)
-
-    order = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
-    grouped = pieces.withColumn("grp", F.pmod(order, F.lit(n_groups)))
-    return grouped.repartition(n_groups, "grp").sortWithinPartitions("grp", F.desc("length"), "doc_id", "piece", "ids_crc32").mapInArrow(run, PACKED)
+            got = [bins.take(length) for length in b.column(3).to_pylist()]
+            number, offset = zip(*got, strict=True) if got else ((), ())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number, pa.int64()), pa.array(offset, pa.int64())], schema=out)
+
+    return pieces.repartition(n_groups).sortWithinPartitions(F.desc("length"), "ids_crc32", "doc_id", "piece", "start").mapInArrow(run, PACKED)
 
 
 def pack_documents(df: DataFrame, path: str, end_id: int = 2, window: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

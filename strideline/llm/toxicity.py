@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, saved, slices, summed_counts, two_columns
+from .common import arrow_schema, destroyed, saved, slices, spread, summed_counts, two_columns
 from .jaccard import mixed
 
 SIZES, BITS = (3, 4, 5, 6), 19
@@ -114,7 +114,7 @@ def train(labelled: DataFrame, features: int = 2048, sample_rows: int = 20_000,
 
     c = summed_counts(rows, add, 2 * size + 64)
     (n0, n1), c0, c1 = c[2 * size : 2 * size + 2], c[:size], c[size : 2 * size]
-    none = Model(np.zeros(size, np.int16), np.zeros(0), 0.0)
+    none = Model(np.zeros(size, np.int32), np.zeros(0), 0.0)
     if not n0 or not n1:
         none.bias = float(np.log((n1 + 0.5) / (n0 + 0.5)))
         return none
@@ -125,7 +125,7 @@ def train(labelled: DataFrame, features: int = 2048, sample_rows: int = 20_000,
     gain = np.abs(r) * np.maximum(p1, p0)
     kept = np.argsort(-gain, kind="stable")[:features]
     kept = kept[gain[kept] > 0]
-    place = np.zeros(size, np.int16)
+    place = np.zeros(size, np.int32)
     place[kept] = np.arange(1, len(kept) + 1)
     model = Model(place, np.zeros(len(kept)), 0.0)
 
@@ -135,10 +135,10 @@ def train(labelled: DataFrame, features: int = 2048, sample_rows: int = 20_000,
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(3), b.column(2), pa.array([model.present(t).astype("<u2").tobytes() for t in b.column(1).to_pylist()], pa.binary())], schema=sparse)
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(2), pa.array([model.present(t).astype("<u4").tobytes() for t in b.column(1).to_pylist()], pa.binary())], schema=sparse)
 
     got = few.mapInArrow(featurise, "h long, y int, f binary").orderBy("h", "y", "f").limit(sample_rows).toArrow()
-    x = [np.frombuffer(f, "<u2").astype(np.int64) for f in got.column("f").to_pylist()]
+    x = [np.frombuffer(f, "<u4").astype(np.int64) for f in got.column("f").to_pylist()]
     model.weight, model.bias = _logistic(x, r[kept], np.array(got.column("y").to_pylist(), float), l2, steps)
     model.weight = model.weight * r[kept]
     return model
@@ -182,8 +182,10 @@ def labelled_texts(docs: DataFrame, y: DataFrame) -> DataFrame:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([back.decompress(z).decode() for z in b.column(1).to_pylist()], pa.string()), b.column(2)], schema=plain)
 
-    some = two_columns(docs, "doc_id", "text").mapInArrow(pack, "doc_id long, z binary")
-    return saved(some.join(y.select("doc_id", F.col("y").cast("int").alias("y")), "doc_id").select("doc_id", "z", "y")).mapInArrow(unpack, "doc_id long, text string, y int")
+    some = spread(two_columns(docs, "doc_id", "text")).mapInArrow(pack, "doc_id long, z binary")
+    met = saved(some.join(y.select("doc_id", F.col("y").cast("int").alias("y")), "doc_id").select("doc_id", "z", "y"))
+    destroyed(sent)
+    return met.mapInArrow(unpack, "doc_id long, text string, y int")
 
 
 def train_on(docs: DataFrame, labels: DataFrame, **options) -> Model:
@@ -196,7 +198,7 @@ def train_on(docs: DataFrame, labels: DataFrame, **options) -> Model:
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for each row; null and empty texts get the score of their (few) n-grams. The score needs the text alone.
 
-    The model is sent once to each executor; its size is fixed (1 MB for the places, 8 bytes a feature).
+    The model is sent once to each executor; its size is fixed (2 MB for the places, 8 bytes a feature).
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     out = arrow_schema("doc_id long, score double")
@@ -206,7 +208,7 @@ def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_co
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in b.column(1).to_pylist()], pa.float64())], schema=out)
 
-    return two_columns(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return spread(two_columns(df, id_col, text_col)).mapInArrow(run, "doc_id long, score double")
 
 
 def without_toxic(df: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:

@@ -29,17 +29,23 @@ def sha1_base32(data: bytes) -> str:
 
 
 def classify(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, html, refers_to: of equal payloads of `least` bytes or more, all but the largest page_id refer to it.
+    """page_id, url, html, refers_to: of equal payloads of `least` bytes or more, all rows but one refer to its page_id.
 
-    Null payloads are empty, null ids refer to the largest id if there is one. Only digests with several pages reach the
-    join, after partial aggregation, and Spark splits a partition that one digest makes large.
+    That one has the largest page_id; of several rows with it, the one with the largest url, of equal ones the last in the
+    table. Null payloads are empty; null ids are below all others and refer to the largest id if there is one, else
+    they are responses. Only digests with several pages reach the join; they are written first, so that Spark knows their
+    size: a small table of them goes to the pages, which then aren't shuffled, and a large one is joined with a sort, in
+    which Spark splits a partition that one digest makes large.
     """
     p = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.when(F.octet_length("html") >= least, F.unhex(F.sha1(F.col("html").cast("binary")))))
-    kept = p.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = p.join(kept, "digest", "left")
-    refers = F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return joined.select("page_id", "url", "html", refers.alias("refers_to"))
+    p = p.withColumn("digest", F.when(F.octet_length("html") >= least, F.unhex(F.sha1(F.col("html").cast("binary"))))).withColumn("row", F.monotonically_increasing_id())
+    p = p.withColumn("name", F.coalesce("url", F.lit("")))
+    same = p.where("digest is not null").groupBy("digest", "page_id", "name").agg(F.count("*").alias("m"), F.max("row").alias("row"))
+    kept = same.groupBy("digest").agg(F.max(F.struct("page_id", "name", "m", "row")).alias("last"), F.sum("m").alias("n"))
+    kept = saved(kept.where("n > 1 and last.page_id is not null").select("digest", "last"))
+    is_last = F.expr("page_id <=> last.page_id and name = last.name and (last.m = 1 or row = last.row)")
+    refers = F.when(~is_last, F.col("last.page_id"))
+    return p.join(kept, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def _record(page_id: int | None, url: str | None, html: bytes, refers_to: int | None) -> bytes:
@@ -173,11 +179,12 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, out.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=out)
 
     files = manifest.select("archive", "n_records")
-    return files.repartition(max(1, files.count()), "archive").mapInArrow(run, RECORD)
+    return files.repartition(max(1, files.count())).mapInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0) -> DataFrame:
-    """Write a record for each row of pages, then read all archives back. No rows give no archives and no rows."""
+    """Write a record for each row of pages, then read all archives back: a row for each row, repeated ones too (see
+    classify). No rows give no archives and no rows."""
     folder = folder or shared_dir(pages.sparkSession)
     manifest = saved(write_archives(classify(pages, least), f"{folder}/warc"), f"{folder}/manifest")
     return read_archives(manifest)

@@ -146,10 +146,48 @@ def test_rows_with_one_id_keep_their_own_places(spark, monkeypatch):
 
 def test_peeling_recovers_the_difference_and_grows_when_stuck():
     rng = np.random.default_rng(3)
-    for n, m, k in ((0, 0, 0), (5, 0, 0), (30, 2, 3), (500, 40, 60), (10, 900, 800)):
+    for n, m, k in ((0, 0, 0), (5, 0, 0), (30, 2, 3), (500, 40, 60), (10, 900, 800), (3, 0, 2000)):
         common, a, b = (rng.integers(0, 2**63, x).astype(np.uint64) for x in (n, m, k))
-        ((got, sign),) = fingerprints.differences([(np.append(common, a), np.append(common, b))])
-        assert set(got[sign > 0].tolist()) == set(a.tolist()) and set(got[sign < 0].tolist()) == set(b.tolist())
+        one, two = fingerprints.Fingerprints([np.append(common, a)]), fingerprints.Fingerprints([np.append(common, b)])
+        assert fingerprints.differing(one, [0], two, [0]).tolist() == [m + k]
+
+
+def plain_likeness(x, y):
+    """Shared parts over all parts, by counting the parts' digests as a multiset."""
+    a, b = (set(fingerprints.digests([t.encode()])[0].tolist()) for t in (x, y))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_likeness_of_returned_fingerprints_equals_counting_for_all_lengths(spark):
+    random.seed(8)
+    words = "the of hentat thing ouble and ingst".split()
+    rows = [(i, " ".join(random.choices([*words, f"w{i}", "x\ny"], k=n))) for i, n in enumerate([*range(0, 30), 50, 100, 300, 301, 2000, 20000])]
+    rows += [(1000, rows[-1][1][:-200]), (1001, None), (1002, "é" * 5000)]
+    got = {r.doc_id: r for r in fingerprints.fingerprint(spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, fingerprint string")).collect()}
+    order = sorted(rows, reverse=True)
+    for (d, t), (e, u) in zip(order, order[1:] + order[:1]):
+        t, u = t or "", u or ""
+        m = len(t) // 3
+        edited = t[: len(t) - m] + u[:m]
+        assert abs(got[d].near_next - plain_likeness(t, u)) < 1e-12 and abs(got[d].near_edited - plain_likeness(t, edited)) < 1e-12
+        assert got[d].near_next == fingerprints.likeness(got[d].fingerprint, got[e].fingerprint)
+        assert got[d].near_edited == fingerprints.likeness(got[d].fingerprint, got[d].edited_fingerprint)
+    twelve = " ".join(f"v{i}" for i in range(60))
+    assert plain_likeness(twelve, twelve + " more") > 0.7
+
+
+def test_hot_ids_and_equal_rows_have_their_doubles_next(spark, monkeypatch):
+    random.seed(9)
+    rows = [(None, f"text {i} of no one " * 20) for i in range(60)] + [(5, "equal rows " * 30)] * 40 + [(5, "other")] + [(100 + i, f"t{i} " * 40) for i in range(20)]
+    whole = fingerprints.with_next
+    monkeypatch.setattr(fingerprints, "with_next", lambda d, i, t: whole(d, i, t, range_bytes=2000))
+    got = fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
+    five = [r for r in got if r.doc_id == 5]
+    assert sum(r.near_next == 1.0 for r in five) >= 39 and len({r.fingerprint for r in five}) == 2
+    assert fingerprints.fingerprint(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    (one,) = fingerprints.fingerprint(spark.createDataFrame([(3, "alone here")], "doc_id long, text string")).collect()
+    assert one.near_next == 1.0
 
 
 def test_next_documents_across_ranges(spark, monkeypatch):

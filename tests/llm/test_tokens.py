@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -79,18 +80,39 @@ def test_closing_the_fullest_bin_keeps_the_limit():
 
 
 def test_edits_give_the_counts_of_a_whole_recount(reference, monkeypatch):
-    monkeypatch.setattr(token_counts, "LEAF", 6)
     count = lambda xs: [len(reference.encode_ordinary(x)) for x in xs]
+    pieces = regex.compile(P.PATTERN)
     random.seed(3)
-    for _ in range(300):
-        text = "".join(random.choices(["the", "ing", " ", "  ", "\n", "'s", "é", "12", "!", " foo"], k=random.randint(0, 30)))
-        doc = token_counts.CountedText(text, count)
+    for k in range(900):
+        monkeypatch.setattr(token_counts, "LEAF", (2, 6, 15)[k % 3])
+        some = (["the", "ing", " ", "  ", "\n", "'s", "é", "12", "!", " foo"], ["中文", "。", "字", "\n", "\t"], [" ", "\n", "  ", "x"], ["a,b", ";", "'", "s", "\t", "\x1c", "7"])[k % 4]
+        text = "".join(random.choices(some, k=random.randint(0, 30)))
+        doc = token_counts.CountedText(text, count, pieces)
         for _ in range(5):
             a = random.randint(0, len(text))
-            b, new = random.randint(a, min(len(text), a + 8)), "".join(random.choices([" ", "a", "'s", "\n"], k=random.randint(0, 3)))
+            b, new = random.randint(a, min(len(text), a + 8)), "".join(random.choices([" ", "a", "'s", "\n", "中", "long words in here "], k=random.randint(0, 3)))
             doc.replace(a, b, new)
             text = text[:a] + new + text[b:]
             assert doc.text == text and doc.n_tokens == len(reference.encode_ordinary(text))
+            doc = token_counts.CountedText(text, count, pieces, doc.state)
+            assert doc.text == text and doc.n_tokens == len(reference.encode_ordinary(text))
+
+
+def test_texts_without_spaces_are_cut_and_leaves_that_grow_too(reference):
+    count = lambda xs: [len(reference.encode_ordinary(x)) for x in xs]
+    for unit in ("中文字句子，", "a\tbc\t", "x,y;"):
+        text = unit * 3000
+        doc = token_counts.CountedText(text, count, regex.compile(P.PATTERN))
+        doc.encoded_chars = 0
+        for at in (9000, 100, 5000):
+            doc.replace(at, at + 3, "新 new")
+            text = text[:at] + "新 new" + text[at + 3 :]
+        assert doc.encoded_chars < 15_000 and doc.n_tokens == len(reference.encode_ordinary(text))
+        doc.encoded_chars = 0
+        for _ in range(200):
+            doc.replace(6000, 6000, " more words")
+            text = text[:6000] + " more words" + text[6000:]
+        assert doc.n_tokens == len(reference.encode_ordinary(text)) and max(doc.state[0]) < 4 * token_counts.LEAF and doc.encoded_chars < 200 * 4 * token_counts.LEAF
 
 
 def test_edits_encode_only_what_they_touch(spark, reference):
@@ -98,4 +120,8 @@ def test_edits_encode_only_what_they_touch(spark, reference):
     df = spark.createDataFrame([(1, text), (2, None), (3, "ab")], "doc_id long, text string")
     got = {r.doc_id: r for r in token_counts.count_edits(df, RANKS, P.PATTERN).collect()}
     assert got[1].n_tokens == len(reference.encode_ordinary(text)) and got[1].n_chars_encoded < len(text) / 10
+    trees = token_counts.keep_trees(df, RANKS, P.PATTERN)
+    twice = token_counts.follow_edits(token_counts.follow_edits(trees, RANKS, P.PATTERN, token_counts.sample_edits), RANKS, P.PATTERN, lambda t: [(0, 3, "new start"), (len(t), len(t), " end")])
+    assert all(r.n_tokens_edited == len(reference.encode_ordinary(r.text)) and sum(r.leaf_chars) == len(r.text) for r in twice.collect())
+    assert token_counts.count_edits(df.limit(0), RANKS, P.PATTERN).count() == 0
     assert got[2].n_tokens == 0
