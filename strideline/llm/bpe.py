@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices, spread, two_columns
+from .common import arrow_schema, kept, slices, spread, two_columns
 
 #: A bound on the entries of each memo of a worker.
-MEMO = 300_000
+MEMO = 200_000
 
 
 class BytePairEncoder:
@@ -168,13 +168,10 @@ class Memo:
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
-_made: dict[str, tuple[BytePairEncoder, Memo]] = {}
-
-
 def encoder(path: str, pattern: str) -> tuple[BytePairEncoder, Memo]:
     """One encoder and memo for each worker process and vocabulary."""
-    key = f"{path}\0{pattern}"
-    if key not in _made:
+    key, made = f"{path}\0{pattern}", kept("bpe")
+    if key not in made:
         enc, split = BytePairEncoder(path), regex.compile(pattern)
 
         pieces: dict[str, bytes] = {}
@@ -195,8 +192,8 @@ def encoder(path: str, pattern: str) -> tuple[BytePairEncoder, Memo]:
                 out.append(b"".join(got))
             return out
 
-        _made[key] = enc, Memo(missing)
-    return _made[key]
+        made[key] = enc, Memo(missing)
+    return made[key]
 
 
 def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +207,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, memo = encoder(path, pattern)
-        for b in slices(batches):
+        for b in slices(batches, "bpe"):
             coded = memo.encode(b.column(1).to_pylist())
             ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
             flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)

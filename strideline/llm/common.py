@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -112,8 +113,22 @@ def carried(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> tupl
     return out, out.schema["rest"].dataType.simpleString()
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice's variable-length data stays small."""
+#: What tasks keep in their worker for the next tasks of the same kind: encoders and memos, by kind.
+_kept: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    return _kept.setdefault(kind, {})
+
+
+def slices(batches: Iterable[pa.RecordBatch], kind: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a slice's variable-length data stays small. What tasks of other kinds kept in this worker goes."""
+    others = [c for k, c in _kept.items() if k != kind and c]
+    for c in others:
+        c.clear()
+    if others:
+        gc.collect()
+        give_back()
     for b in batches:
         n = b.num_rows
         step = n if b.nbytes <= BATCH_CHARS else max(1, n * BATCH_CHARS // b.nbytes)

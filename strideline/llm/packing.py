@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import arrow_schema, saved, slices, spread, two_columns
+from .common import arrow_schema, kept, saved, slices, spread, two_columns
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-_made: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    if path not in _made:
+    made = kept("packing")
+    if path not in made:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,8 +38,8 @@ def _tokenizer(path: str):
         def encode(texts: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _made[path] = encode, Memo(encode), special
-    return _made[path]
+        made[path] = encode, Memo(encode), special
+    return made[path]
 
 
 def document_ids(texts: list[str], path: str) -> list[bytes]:
@@ -58,7 +58,7 @@ def cut_pieces(df: DataFrame, path: str, end_id: int = 2, window: int = 1024, id
     tail = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, "packing"):
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), document_ids(b.column(1).to_pylist(), path), strict=True):
                 ids += tail

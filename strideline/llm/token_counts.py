@@ -180,7 +180,7 @@ def keep_trees(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, pieces = _tools(path, pattern)
-        for b in slices(batches):
+        for b in slices(batches, "bpe"):
             state = [CountedText(t, count, pieces).state for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([s[k] for s in state], out.field(2 + k).type) for k in (0, 1))], schema=out)
 
@@ -198,7 +198,7 @@ def follow_edits(trees: DataFrame, path: str, pattern: str, edits: Callable[[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, pieces = _tools(path, pattern)
-        for b in slices(batches):
+        for b in slices(batches, "bpe"):
             rows = []
             for doc, text, chars, tokens in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 tree = CountedText(text, count, pieces, (chars, tokens))
