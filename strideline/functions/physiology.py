@@ -36,9 +36,10 @@ def riegel(seconds: Column, from_m: Column | float, to_m: Column | float, power:
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371000.0) -> Column:
+    """Metres between two places given in degrees; null where a coordinate is."""
     p, q = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((q - p) / 2), 2) + F.cos(p) * F.cos(q) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(h))))  # least() passes over nulls
 
 
 def clock(seconds: Column) -> Column:
