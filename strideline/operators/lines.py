@@ -195,3 +195,67 @@ def traversals(cells: DataFrame, chain: DataFrame, run: str, order: str, length:
     ok = seen.where(F.col("n") >= least * F.col("size"))
     best = ok.groupBy(run).agg(F.min_by(F.struct(F.col("si").alias("start_i"), F.col("ei").alias("end_i"), (F.col("ed") - F.col("sd")).alias("dist_m"), (F.col("et") - F.col("st")).alias("time_s")), F.struct(F.col("et") - F.col("st"), "si", "ei")).alias("b"))
     return best.select(run, "b.*")
+
+
+def deviation(line: DataFrame, by: DataFrame, key: str, order: str, within_m: float = 100.0) -> DataFrame:
+    """key, metres: the mean distance of each line's points from the nearest piece of the line `by` of the same key, in a flat
+    projection around the line's first point. A line's points meet the pieces of its own key only, cut by latitude."""
+    first = line.groupBy(key).agg(F.min_by(F.struct("lat", "lon"), order).alias("o"))
+    mx = DEGREE_M * F.cos(F.radians("o.lat"))
+    flat = lambda df, lat, lon, x, y: df.withColumn(x, (F.col(lon) - F.col("o.lon")) * mx).withColumn(y, (F.col(lat) - F.col("o.lat")) * DEGREE_M)
+    pieces = by.withColumns(before(key, order, "lat", "lon")).where("p_lat is not null").select(key, "p_lat", "p_lon", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
+    j = line.select(key, order, "lat", "lon").join(pieces, key).join(first, key)
+    j = flat(flat(flat(j, "lat", "lon", "x", "y"), "p_lat", "p_lon", "ax", "ay"), "q_lat", "q_lon", "bx", "by")
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    t = F.when(dx * dx + dy * dy == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / (dx * dx + dy * dy))))
+    d = F.hypot(F.col("x") - F.col("ax") - t * dx, F.col("y") - F.col("ay") - t * dy)
+    return j.groupBy(key, order).agg(F.min(d).alias("d")).groupBy(key).agg(F.avg("d").alias("metres"))
+
+
+def best_effort_span(track: DataFrame, key: str, order: str, d: str, t: str, metres: int) -> DataFrame:
+    """key, from_d, to_d, seconds: the fastest stretch of `metres` or more; of equally fast ones the earliest."""
+    end = W.partitionBy(key).orderBy(d).rangeBetween(metres, W.unboundedFollowing)
+    s = track.withColumn("_e", F.min(F.struct(F.col(t).alias("t"), F.col(d).alias("d"))).over(end)).where("_e is not null")
+    best = s.groupBy(key).agg(F.min_by(F.struct(F.col(d).alias("from_d"), F.col("_e.d").alias("to_d"), (F.col("_e.t") - F.col(t)).alias("seconds")), F.struct(F.col("_e.t") - F.col(t), F.col(order))).alias("b"))
+    return best.select(key, "b.*")
+
+
+def with_heights(track: DataFrame, cache: DataFrame, key: str, order: str, least_share: float = 0.8, width: int = 3) -> DataFrame:
+    """track with heights from a cache (place, elev) for recordings that have places and no height at all.
+
+    Anchors along the way get the cached heights of their places (four decimals); a recording is filled if enough of its
+    anchors have one. Those are smoothed over 2 * width + 1 anchors and put on all samples between them by distance.
+    """
+    bare = track.groupBy(key).agg(F.count("elev").alias("e"), F.count("lat").alias("n")).where("e = 0 and n > 1").select(key)
+    some = track.join(bare, key, "left_semi")
+    at = anchors(some, key, order).join(some.select(key, order, "d"), [key, order]).withColumn("place", F.format_string("%.4f,%.4f", F.col("lat"), F.col("lon")))
+    got = at.join(cache.select("place", F.col("elev").alias("h")), "place", "left")
+    enough = got.groupBy(key).agg((F.count("h") / F.count("*")).alias("share")).where(F.col("share") >= least_share).select(key)
+    got = got.where("h is not null").join(enough, key, "left_semi")
+    w = W.partitionBy(key)
+    smooth = F.when(F.count("*").over(w) < 3, F.col("h")).otherwise(F.avg("h").over(w.orderBy(order).rowsBetween(-width, width)))
+    fixes = got.select(key, "d", smooth.alias("h"))
+    filled = bracket(some.select(key, order, "d"), fixes, key, "d", ["h"], snap=None)
+    return track.join(filled.select(key, order, "h"), [key, order], "left").withColumn("elev", F.coalesce("elev", "h")).drop("h")
+
+
+def nearest_edges(points: DataFrame, edges: DataFrame, id_col: str, within_m: float = 35.0) -> DataFrame:
+    """id, edge, m: the nearest edge (edge, lat1, lon1, lat2, lon2) of each point within a distance, the first of equals.
+
+    Edges are copied into the grid cells of their box with a margin, points meet the edges of their own cell.
+    """
+    step = within_m / DEGREE_M
+    cell = lambda x: F.floor(x / step).cast("long")
+    wide = 3.0  # covers a degree of longitude at 70 degrees of latitude
+    e = edges.withColumn("_r", F.explode(F.sequence(cell(F.least("lat1", "lat2")) - 1, cell(F.greatest("lat1", "lat2")) + 1)))
+    col = lambda x: F.floor(x / (step * wide)).cast("long")
+    e = e.withColumn("_c", F.explode(F.sequence(col(F.least("lon1", "lon2")) - 1, col(F.greatest("lon1", "lon2")) + 1)))
+    j = points.withColumn("_r", cell(F.col("lat"))).withColumn("_c", col(F.col("lon"))).join(e, ["_r", "_c"])
+    mx = DEGREE_M * F.cos(F.radians("lat"))
+    x = lambda lon: (F.col(lon) - F.col("lon")) * mx
+    y = lambda lat: (F.col(lat) - F.col("lat")) * DEGREE_M
+    dx, dy = x("lon2") - x("lon1"), y("lat2") - y("lat1")
+    t = F.when(dx * dx + dy * dy == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(x("lon1") * dx + y("lat1") * dy) / (dx * dx + dy * dy))))
+    m = F.hypot(x("lon1") + t * dx, y("lat1") + t * dy)
+    near = j.withColumn("m", m).where(F.col("m") <= within_m)
+    return near.groupBy(id_col).agg(F.min_by(F.struct("edge", "m"), F.struct("m", "edge")).alias("b")).select(id_col, "b.*")

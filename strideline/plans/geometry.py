@@ -382,3 +382,37 @@ def zoomed_range(spark, sf):
     """A zoomed window of distance (1000 m at 0.82, from its left end); the scale leaves paused samples (each fifth) out."""
     s = track(spark, sf).where((F.col("d") >= 100) & (F.col("d") <= 100 + 1000 * 0.82) & (F.col("i") % 5 != 0))
     return rounded(s.groupBy(A).agg(F.count("*").alias("n"), F.min("elev").alias("lo"), F.max("elev").alias("hi")), "lo", "hi")
+
+
+@query(f"{TRACK}, p AS (SELECT a.athlete_id, a.i, a.d, a.t, (SELECT min((b.t, b.d)) FROM track b WHERE b.athlete_id = a.athlete_id AND b.d >= a.d + 300) AS e FROM track a), s AS (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY e[1] - t, i) AS q FROM p WHERE e IS NOT NULL) SELECT athlete_id, d AS from_d, e[2] AS to_d, e[1] - t AS seconds FROM s WHERE q = 1")
+def best_effort_spans(spark, sf):
+    return lines.best_effort_span(track(spark, sf), A, "i", "d", "t", 300)
+
+
+@query(f"{STEP}, a AS (SELECT athlete_id, i, lat, lon FROM track WHERE i <= 12 AND i % 2 = 0), b AS (SELECT athlete_id, p_lat, p_lon, lat, lon FROM (SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon FROM track WHERE i <= 12 AND i % 3 = 0 WINDOW w AS (PARTITION BY athlete_id ORDER BY i)) q WHERE p_lat IS NOT NULL), o AS (SELECT athlete_id, min_by(lat, i) AS olat, min_by(lon, i) AS olon FROM a GROUP BY 1), x AS (SELECT a.athlete_id, a.i, (a.lon - olon) * 111320.0e0 * cos(radians(olat)) AS x, (a.lat - olat) * 111320.0e0 AS y, (p_lon - olon) * 111320.0e0 * cos(radians(olat)) AS ax, (p_lat - olat) * 111320.0e0 AS ay, (b.lon - p_lon) * 111320.0e0 * cos(radians(olat)) AS dx, (b.lat - p_lat) * 111320.0e0 AS dy FROM a JOIN b USING (athlete_id) JOIN o USING (athlete_id)), t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM x), m AS (SELECT athlete_id, i, min(sqrt(pow(x - ax - t * dx, 2) + pow(y - ay - t * dy, 2))) AS d FROM t GROUP BY 1, 2) SELECT athlete_id, {r('avg(d)', 3)} AS metres FROM m GROUP BY 1")
+def line_deviation(spark, sf):
+    s = track(spark, sf).where("i <= 12").select(A, "i", "lat", "lon")
+    return rounded(lines.deviation(s.where("i % 2 = 0"), s.where("i % 3 = 0"), A, "i"), "metres", digits=3)
+
+
+def beats(spark, sf):
+    """A track with a sample each 15 s at about 3 m/s and a slow drift of the heart rate."""
+    i = F.col("i") - 1
+    return track(spark, sf).select(A, i.alias("i"), (i * 15.0).alias("t"), (i * 45.0 + F.col("hr") % 4).alias("d"), F.lit(None).cast("double").alias("elev"), F.when(i % 5 != 0, 140 + i % 20).alias("hr"))
+
+
+@query()
+def hr_uptake(spark, sf):
+    """Oxygen uptake by heart rate of each track; its windows follow from one another, so tests hold it against a plain fold."""
+    from strideline.operators import heart
+
+    return rounded(heart.run_uptake(beats(spark, sf), A, 190.0, 50.0), "vo2max")
+
+
+@query()
+def heights_filled(spark, sf):
+    """Tracks without heights, filled from a cache of places that a few other tracks left."""
+    s = track(spark, sf)
+    cache = s.where("elev is not null").groupBy(F.format_string("%.4f,%.4f", F.col("lat"), F.col("lon")).alias("place")).agg(F.avg("elev").alias("elev"))
+    bare = s.withColumn("elev", F.when(F.col(A) % 2 == 0, F.col("elev"))).select(A, "i", "d", "lat", "lon", "elev")
+    return rounded(lines.with_heights(bare, cache, A, "i").groupBy(A).agg(F.count("*").alias("n"), F.count("elev").alias("heights"), F.avg("elev").alias("mean")), "mean")

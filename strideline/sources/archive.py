@@ -207,3 +207,67 @@ def kept_or_made(spark: SparkSession, folder: str, signature: str, make, force:
     if force or not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
         make().write.mode("overwrite").parquet(where)
     return spark.read.parquet(where)
+
+
+def read_age_factors(spark: SparkSession, path: str) -> DataFrame:
+    """sex, label, age, factor, open_s of a published table in JSON ({sex: {label: {age_min, open_s, factors}}}); what isn't
+    there or isn't well-formed gives no rows."""
+    rows = []
+    try:
+        raw = json.loads(Path(path).read_text())
+        for sex, by_label in raw.items():
+            for label, e in by_label.items():
+                try:
+                    rows += [(sex, label, int(e["age_min"]) + i, float(f), float(e["open_s"])) for i, f in enumerate(e["factors"])]
+                except (KeyError, TypeError, ValueError):
+                    continue
+    except (OSError, ValueError, AttributeError):
+        rows = []
+    return spark.createDataFrame(rows, "sex string, label string, age long, factor double, open_s double")
+
+
+def read_stars(path: str) -> list[str]:
+    """The starred keys of an exported list; a missing or corrupt file has none."""
+    try:
+        raw = json.loads(Path(path).read_text())
+    except (OSError, ValueError):
+        return []
+    return [k for k in raw if isinstance(k, str)] if isinstance(raw, list) else []
+
+
+def write_stars(keys: list[str], path: str) -> None:
+    Path(path).write_text(json.dumps(sorted(set(keys))))
+
+
+def provided(missing: DataFrame, ask=None, batch: int = 100, tries: int = 3) -> DataFrame:
+    """key, value of keys that a cache lacks. ask takes a list of keys and returns their values, None where there is none;
+    without one (offline) nothing is asked and no row comes back. Keys are asked for in batches, each again after an error;
+    a batch that keeps failing gives no rows, so its keys are asked for another time."""
+    if ask is None:
+        return missing.select("key", F.lit(None).cast("double").alias("value")).limit(0)
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            keys = frame["key"].tolist()
+            for i in range(0, len(keys), batch):
+                some = keys[i : i + batch]
+                for _ in range(tries):
+                    try:
+                        yield pd.DataFrame({"key": some, "value": pd.array(ask(some), dtype="Float64")})
+                        break
+                    except OSError:
+                        continue
+
+    return missing.select("key").distinct().mapInPandas(run, "key string, value double")
+
+
+def compile_export(spark: SparkSession, source: str, out: str, recordings_table: DataFrame | None = None, sport: str = "running", workspace: str | None = None, force: bool = False) -> DataFrame:
+    """An export (zip or folder) to an enriched table at `out`: all rows with what their recordings gave, of one sport. An
+    earlier result for the same rows is taken as it is unless force."""
+    from strideline.operators.runs import with_recordings
+
+    rows = typed(read_activities(spark, f"{unpacked(source, workspace or f'{source}_files')}/activities.csv"))
+    table = recordings_table if recordings_table is not None else spark.createDataFrame([], "fit_file string, fit_sport string")
+    joined = with_recordings(rows, table, sport)
+    return kept_or_made(spark, out, input_signature(joined, f"v1 {sport}"), lambda: joined, force)

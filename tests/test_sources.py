@@ -147,3 +147,113 @@ def test_nearby_places_across_the_date_line_and_far_north(spark):
 def test_fastest_spans_that_do_not_meet(spark):
     df = spark.createDataFrame([("a", 0, 5, 10), ("a", 4, 9, 8), ("a", 10, 12, 20), ("b", 0, 1, 5)], "k string, lo int, hi int, t int")
     assert sorted(map(tuple, lines.fastest_spans(df, "k", "lo", "hi", "t").collect())) == [("a", 4, 9, 8), ("a", 10, 12, 20), ("b", 0, 1, 5)]
+
+
+def plain_uptake(rows, hr_max, hr_rest):
+    """One recording's windows and their uptake, sample by sample."""
+    cost = lambda g: ((((155.4 * g - 30.4) * g - 43.3) * g + 46.3) * g + 19.5) * g + 3.6
+
+    def speed(a, b):
+        dt, dd = b[0] - a[0], b[1] - a[1]
+        if dt <= 0 or dd <= 0:
+            return None
+        g = (b[2] - a[2]) / dd if a[2] is not None and b[2] is not None else 0.0
+        g = max(-0.45, min(0.45, g))
+        return dd / dt * cost(g) / cost(0), g
+
+    out, at = [], 0
+    while at < len(rows) and rows[at][0] < 300:
+        at += 1
+    end = at
+    while end + 1 < len(rows):
+        if rows[end + 1][0] - rows[end][0] > 20:
+            at = end = end + 1
+            continue
+        end += 1
+        if rows[end][0] - rows[at][0] < 150:
+            continue
+        hr = [x[3] for x in rows if x[3] is not None and rows[at][0] + 20 <= x[0] <= rows[end][0] + 20]
+        cuts = [at + (end - at) * q // 4 for q in range(5)]
+        whole, parts = speed(rows[at], rows[end]), [speed(rows[a], rows[b]) for a, b in zip(cuts, cuts[1:])]
+        raw = (rows[end][1] - rows[at][1]) / (rows[end][0] - rows[at][0])
+        at = end
+        if len(hr) < 3 or not whole or None in parts or not 2 <= raw <= 7 or abs(whole[1]) > 0.15 or max(p[0] for p in parts) / min(p[0] for p in parts) > 1.35:
+            continue
+        share, v = (sum(hr) / len(hr) - hr_rest) / (hr_max - hr_rest), whole[0] * 60
+        vo2 = -4.6 + 0.182258 * v + 0.000104 * v * v
+        if 0.5 <= share <= 0.95 and vo2 > 3.5 and 25 <= 3.5 + (vo2 - 3.5) / share <= 90:
+            out.append(3.5 + (vo2 - 3.5) / share)
+    return out
+
+
+def test_uptake_equals_a_plain_fold(spark):
+    import random
+
+    from strideline.operators import heart
+
+    random.seed(11)
+    rows, want = [], {}
+    for k in range(12):
+        t = d = 0.0
+        own = []
+        for i in range(300):
+            t += random.choice([5, 8, 10] if random.random() < 0.98 else [40])
+            d += random.choice([15, 24, 30, 33]) * (1 if k % 3 else random.choice([0.5, 1.5]))
+            own.append((t, d, 100 + d / 200 if k % 2 else None, random.randint(130, 170) if random.random() < 0.7 else None))
+        want[k] = plain_uptake(own, 190, 50)
+        rows += [(k, i, *x) for i, x in enumerate(own)]
+    df = spark.createDataFrame(rows, "k int, i long, t double, d double, elev double, hr int")
+    got = {}
+    for r in heart.window_uptake(df, "k", 190.0, 50.0).orderBy("k", "w").collect():
+        got.setdefault(r.k, []).append(round(r.vo2max, 6))
+    assert got == {k: [round(x, 6) for x in v] for k, v in want.items() if v} and sum(map(len, want.values())) > 20
+    runs_ = {r.k: r.windows for r in heart.run_uptake(df, "k", 190.0, 50.0).collect()}
+    assert runs_ == {k: len(v) for k, v in want.items() if len(v) >= 4}
+
+
+def test_nearest_edges_and_heights(spark):
+    p = spark.createDataFrame([(1, 40.0, 10.0), (2, 40.0002, 10.0005), (3, 41.0, 10.0)], "id int, lat double, lon double")
+    e = spark.createDataFrame([(7, 39.9999, 9.99, 39.9999, 10.01), (8, 40.0001, 9.99, 40.0001, 10.01), (9, 40.00025, 9.99, 40.00025, 10.01)], "edge int, lat1 double, lon1 double, lat2 double, lon2 double")
+    got = {r.id: (r.edge, round(r.m)) for r in lines.nearest_edges(p, e, "id").collect()}
+    assert got == {1: (7, 11), 2: (9, 6)}
+    t = spark.createDataFrame([("a", i, i * 30.0, 40 + i * 0.0003, 10.0, None) for i in range(20)] + [("b", i, i * 30.0, 40 + i * 0.0003, 10.0, 5.0 if i == 3 else None) for i in range(5)], "k string, i int, d double, lat double, lon double, elev double")
+    cache = spark.createDataFrame([(f"{40 + i * 0.0003:.4f},{10.0:.4f}", 100.0) for i in range(20)], "place string, elev double")
+    filled = lines.with_heights(t, cache, "k", "i").groupBy("k").agg(F.count("elev").alias("n"), F.min("elev").alias("lo")).collect()
+    assert {r.k: (r.n, round(r.lo)) for r in filled} == {"a": (20, 100), "b": (1, 5)}
+    few = lines.with_heights(t, cache.limit(3), "k", "i").where("k = 'a'").agg(F.count("elev").alias("n")).first()
+    assert few.n == 0
+
+
+def test_providers_stars_factors_and_arrivals(spark, tmp_path):
+    from strideline.streaming import arrivals
+
+    keys = spark.createDataFrame([("a",), ("b",), ("a",)], "key string")
+    assert archive.provided(keys).count() == 0
+    assert sorted(map(tuple, archive.provided(keys, lambda ks: [1.0 if k == "a" else None for k in ks]).collect())) == [("a", 1.0), ("b", None)]
+
+    def broken(ks):
+        raise OSError("down")
+
+    assert archive.provided(keys, broken).count() == 0
+    archive.write_stars(["y", "x", "x"], str(tmp_path / "s.json"))
+    assert archive.read_stars(str(tmp_path / "s.json")) == ["x", "y"] and archive.read_stars(str(tmp_path / "none")) == []
+    (tmp_path / "f.json").write_text(json.dumps({"male": {"5k": {"age_min": 5, "open_s": 770, "factors": [0.5, 0.6]}, "10k": {"age_min": "x"}}}))
+    assert archive.read_age_factors(spark, str(tmp_path / "f.json")).count() == 2 and archive.read_age_factors(spark, str(tmp_path / "none")).count() == 0
+    arriving, done = tmp_path / "in", str(tmp_path / "done")
+    arriving.mkdir()
+    parse = lambda df: df.where("body <> 'bad'").select("recording", F.length("body").alias("n"))
+    for k, lines_ in enumerate((['{"recording":"1","body":"xy"}', '{"recording":"2","body":"bad"}'], ['{"recording":"1","body":"again"}', '{"recording":"2","body":"ok now"}'])):
+        (arriving / f"{k}.json").write_text("\n".join(lines_))
+        arrivals.parse_new(spark, str(arriving), done, str(tmp_path / "check"), parse).awaitTermination(60)
+    assert sorted(map(tuple, spark.read.parquet(done).collect())) == [("1", 2), ("2", 6)]
+    rows = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("k", 2, "c")], "k string, at int, v string")
+    assert [tuple(r) for r in arrivals.latest(rows, "k", "at").collect()] == [("k", 2, "c")]
+
+
+def test_compiling_an_export_twice_reads_it_once(spark, folder, tmp_path):
+    out = str(tmp_path / "out")
+    fit = spark.createDataFrame([("1", "running")], "fit_file string, fit_sport string")
+    one = archive.compile_export(spark, str(folder / "export_1"), out, fit, sport="running")
+    assert [r.activity_id for r in one.collect()] == ["1"]
+    archive.compile_export(spark, str(folder / "export_1"), out, fit, sport="running")
+    assert len([p for p in os.listdir(out) if not p.startswith(".")]) == 1
