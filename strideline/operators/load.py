@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 from strideline.functions.physiology import ga_seconds
 
 
-def index_percentile(df: DataFrame, key: str, value: str, q: float, out: str) -> DataFrame:
-    """key and the value at place int(n * q) of the key's sorted values, counted from 0 (no interpolation)."""
+def index_percentile(df: DataFrame, key: str, value: str, q: float, out: str, width: float = 1.0) -> DataFrame:
+    """key and the value at place int(n * q) of the key's sorted values, counted from 0 (no interpolation).
+
+    Values are first counted in steps of `width`, before the shuffle too; the counts tell in which step the place lies, and
+    only the rows of that step are put in order. So no task sorts all rows of a key.
+    """
+    v = df.where(F.col(value).isNotNull()).select(key, value, F.floor(F.col(value) / width).alias("_s"))
     w = W.partitionBy(key)
-    ranked = df.where(F.col(value).isNotNull()).select(key, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count("*").over(w).alias("_n"))
-    return ranked.where(F.col("_r") == F.floor(F.col("_n") * q) + 1).select(key, F.col(value).alias(out))
+    steps = v.groupBy(key, "_s").agg(F.count("*").alias("_c")).withColumn("_below", F.sum("_c").over(w.orderBy("_s")) - F.col("_c"))
+    steps = steps.withColumn("_at", F.floor(F.sum("_c").over(w) * q) + 1 - F.col("_below")).where((F.col("_at") >= 1) & (F.col("_at") <= F.col("_c")))
+    ranked = v.join(steps.select(key, "_s", "_at"), [key, "_s"]).withColumn("_r", F.row_number().over(w.orderBy(value)))
+    return ranked.where("_r = _at").select(key, F.col(value).alias(out))
 
 
 def session_loads(acts: DataFrame, key: str) -> DataFrame:

@@ -90,16 +90,18 @@ def downsample(samples: DataFrame, key: str, spacing: float, d: str = "d") -> Da
     return s.where((F.col("_p").isNull()) | (F.col("_b") > F.col("_p")) | (F.col("i") == F.col("_l"))).drop("_b", "_p", "_l")
 
 
-def band_join(a: DataFrame, at: str, width: int, residual, left: str = "l", right: str = "r", row: tuple[str, ...] = ("id",)) -> DataFrame:
+def band_join(a: DataFrame, at: str, width: int, residual, left: str = "l", right: str = "r", row: tuple[str, ...] = ("id",), equal: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows of a whose `at` differ by at most width and for which residual(l, r) holds, l before r by at and row.
 
     The columns in row must tell all rows apart that have one `at`: rows that are equal in them don't pair.
 
     Rows meet in buckets of the band's width; the right side is copied into its own bucket and the one before, so the
-    join is an equi-join and each pair is made once.
+    join is an equi-join and each pair is made once. Columns in `equal` must agree too and are part of its key.
     """
     b = a.withColumn("_bucket", F.floor(F.col(at) / width))
-    x = b.select("_bucket", F.struct(*a.columns).alias(left))
-    y = b.select(F.explode(F.array(F.col("_bucket"), F.col("_bucket") - 1)).alias("_bucket"), F.struct(*a.columns).alias(right))
+    same = [F.col(c).alias(f"_e{i}") for i, c in enumerate(equal)]
+    x = b.select("_bucket", *same, F.struct(*a.columns).alias(left))
+    y = b.select(F.explode(F.array(F.col("_bucket"), F.col("_bucket") - 1)).alias("_bucket"), *same, F.struct(*a.columns).alias(right))
     key = lambda s: F.struct(F.col(f"{s}.{at}"), *(F.col(f"{s}.{c}") for c in row))
-    return x.join(y, "_bucket").where((key(left) < key(right)) & (F.col(f"{right}.{at}") - F.col(f"{left}.{at}") <= width) & residual(left, right)).drop("_bucket")
+    on = ["_bucket", *(f"_e{i}" for i in range(len(equal)))]
+    return x.join(y, on).where((key(left) < key(right)) & (F.col(f"{right}.{at}") - F.col(f"{left}.{at}") <= width) & residual(left, right)).drop(*on)

@@ -60,11 +60,21 @@ def daily_km(acts: DataFrame, key: str) -> DataFrame:
     return acts.groupBy(key, "day").agg((F.sum("dist_m") / 1000).alias("km"))
 
 
+def eddington_reached(days: DataFrame, key: str) -> DataFrame:
+    """key, n, day: when the Eddington number became n, which is the n-th day of at least n km.
+
+    Each day counts once for every whole km up to its length, and a window holds the days of one key and one n, so nothing
+    gathers all of a key's days in one place.
+    """
+    n = days.select(key, "day", "km", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor("km").cast("int")))).alias("n")).where("km >= n")
+    return n.withColumn("_q", F.row_number().over(W.partitionBy(key, "n").orderBy("day"))).where("_q = n").select(key, "n", "day")
+
+
 def eddington(days: DataFrame, key: str) -> DataFrame:
     """key, e: the most days e of at least e kilometres each; and need, how many more such days e + 1 takes."""
-    r = days.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("km"))))
-    e = r.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("km") >= F.col("_r"), F.col("_r"))), F.lit(0)).alias("e"))
-    return days.join(e, key).groupBy(key, "e").agg((F.col("e") + 1 - F.count_if(F.col("km") >= F.col("e") + 1)).alias("need"))
+    e = eddington_reached(days, key).groupBy(key).agg(F.max("n").alias("_e"))
+    both = days.join(e, key, "left").withColumn("e", F.coalesce("_e", F.lit(0)))
+    return both.groupBy(key, "e").agg((F.col("e") + 1 - F.count_if(F.col("km") >= F.col("e") + 1)).alias("need"))
 
 
 def eddington_distribution(days: DataFrame, key: str) -> DataFrame:
@@ -74,12 +84,15 @@ def eddington_distribution(days: DataFrame, key: str) -> DataFrame:
     return spine.join(per, [key, "n"], "left").select(key, "n", F.sum(F.coalesce("c", F.lit(0))).over(W.partitionBy(key).orderBy(F.desc("n"))).alias("days"))
 
 
-def eddington_progression(days: DataFrame, key: str) -> DataFrame:
-    """key, month, e at the end of each month with activity; it never falls, so months between keep the one before."""
-    months = days.groupBy(key, F.trunc("day", "month").alias("month")).agg(F.collect_list("km").alias("new"))
-    seen = months.withColumn("all", F.flatten(F.collect_list("new").over(W.partitionBy(key).orderBy("month"))))
-    ranked = F.sort_array("all", asc=False)
-    return seen.select(key, "month", F.size(F.filter(F.transform(ranked, lambda x, i: x >= i + 1), lambda x: x)).alias("e"))
+def eddington_progression(days: DataFrame, key: str, every_month: bool = False) -> DataFrame:
+    """key, month, e at the end of each month with activity, or of every month from the first to the last."""
+    month = F.trunc("day", "month").alias("month")
+    reached = eddington_reached(days, key).groupBy(key, month).agg(F.count("*").alias("new"))
+    spine = days.select(key, month).distinct()
+    if every_month:
+        spine = days.groupBy(key).agg(F.expr("sequence(trunc(min(day), 'month'), trunc(max(day), 'month'), interval 1 month)").alias("m")).select(key, F.explode("m").alias("month"))
+    e = F.coalesce(F.sum("new").over(W.partitionBy(key).orderBy("month")), F.lit(0)).cast("int")
+    return spine.join(reached, [key, "month"], "left").select(key, "month", e.alias("e"))
 
 
 def top_by_band(acts: DataFrame, key: str, k: int = 3) -> DataFrame:

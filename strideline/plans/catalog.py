@@ -272,7 +272,8 @@ SELECT a.activity_id, {r('a.v / max(b.v)')} AS ratio FROM s a JOIN s b ON a.squa
 def contemporaneous_threshold(spark, sf):
     a = activities(spark, sf).where("dist_m >= 5000").withColumn("v", F.col("dist_m") / F.col("moving_s")).withColumn("n", F.unix_date("day"))
     w = W.partitionBy(K).orderBy("n").rangeBetween(-60, 60)
-    return rounded(a.select("activity_id", (F.col("v") / F.max("v").over(w)).alias("ratio")), "ratio")
+    days = a.groupBy(K, "n").agg(F.max("v").alias("b")).select(K, "n", F.max("b").over(w).alias("best"))  # a row a day goes through the window
+    return rounded(a.join(days, [K, "n"]).select("activity_id", (F.col("v") / F.col("best")).alias("ratio")), "ratio")
 
 
 @query(f"""{ACT}, s AS (SELECT *, dist_m / CAST(nullif(moving_s, 0) AS DOUBLE) AS v FROM activity), e AS (SELECT squad, day, max(v) AS b FROM s WHERE dist_m >= 5000 GROUP BY 1, 2),
@@ -399,7 +400,7 @@ PAIRS = f"""{REC}, pair AS (SELECT l.i AS li, l.athlete_id AS la, r.i AS ri, r.a
 def _pairs(spark, sf):
     e = records(spark, sf).select(F.col("athlete_id").alias("id"), "i", "epoch", F.col("step_m").cast("double").alias("m"), F.col("step_m").alias("step_m"), "hr")
     close = lambda x, y: (F.abs(F.col(f"{x}.step_m") - F.col(f"{y}.step_m")) <= F.lit(0.10).cast("decimal(3,2)") * F.greatest(f"{x}.step_m", f"{y}.step_m")) & (F.col(f"{x}.hr") == F.col(f"{y}.hr"))
-    return ordered.band_join(e, "epoch", 300, close, row=("id", "i"))
+    return ordered.band_join(e, "epoch", 300, close, row=("id", "i"), equal=("hr",))
 
 
 @query(f"{PAIRS} SELECT la, li, ra, ri FROM pair")

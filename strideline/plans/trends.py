@@ -110,17 +110,8 @@ def totals_with_week(spark, sf):
 @query(f"""{DAYS}, spine AS (SELECT squad, CAST(unnest(generate_series(date_trunc('month', min(day)), max(day), INTERVAL 1 MONTH)) AS DATE) AS month FROM days GROUP BY squad), k AS (SELECT s.squad, month, km, row_number() OVER (PARTITION BY s.squad, month ORDER BY km DESC) q FROM spine s JOIN days d ON d.squad = s.squad AND date_trunc('month', d.day) <= month)
 SELECT squad, month, CAST(coalesce(max(CASE WHEN km >= q THEN q END), 0) AS BIGINT) AS e FROM k GROUP BY 1, 2""")
 def eddington_by_month(spark, sf):
-    """The Eddington number at each month's end, months without activity too.
-
-    It reaches n on the n-th day of at least n km, so each day is counted once for every whole km up to its length, and
-    windows hold one squad's days of one n; nothing gathers a squad's days in one place.
-    """
-    days = sm.daily_km(activities(spark, sf), K)
-    n = days.select(K, "day", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor("km").cast("int")))).alias("n"), "km").where("km >= n")
-    reached = n.withColumn("q", F.row_number().over(W.partitionBy(K, "n").orderBy("day"))).where("q = n").groupBy(K, F.trunc("day", "month").alias("month")).agg(F.count("*").alias("new"))
-    spine = days.groupBy(K).agg(F.expr("sequence(trunc(min(day), 'month'), trunc(max(day), 'month'), interval 1 month)").alias("m")).select(K, F.explode("m").alias("month"))
-    s = spine.join(reached, [K, "month"], "left")
-    return s.select(K, "month", F.coalesce(F.sum("new").over(W.partitionBy(K).orderBy("month")), F.lit(0)).cast("long").alias("e"))
+    """The Eddington number at each month's end, months without activity too."""
+    return sm.eddington_progression(sm.daily_km(activities(spark, sf), K), K, every_month=True).withColumn("e", F.col("e").cast("long"))
 
 
 @query(f"""{RATIO}, e AS (SELECT squad, day AS last, chronic, greatest(0, least(CASE WHEN tsb < -25 OR acwr > 1.5e0 THEN 0.8e0 * chronic WHEN tsb < -10 OR acwr > 1.3e0 THEN chronic WHEN tsb > 12 AND acwr < 1.1e0 THEN greatest(acute, chronic) * 1.10e0 ELSE greatest(acute, chronic) * 1.05e0 END, 1.3e0 * chronic)) AS target FROM ratio WHERE i = l AND i >= 13 AND chronic > 0),
