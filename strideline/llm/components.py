@@ -1,38 +1,15 @@
-"""Connected components of a link table, as rounds of joins."""
+"""Connected components of a link table, in saved tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import dropped, saved
-
-SALTS = 16
 
+from strideline.operators import graph
+from strideline.operators.graph import salted  # noqa: F401
 
-def salted(many: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """many joined to few on key, at most one row of few for a key; the rows of one key are dealt by `by` over SALTS tasks."""
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    return many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS))).join(few.withColumn("salt", salts), [key, "salt"], how).drop("salt")
+from .common import dropped, saved
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """v, c, saved: each linked vertex and the smallest vertex of its component.
-
-    Every round gives a vertex the smallest label among its own and its neighbours', then that label's own label, so
-    the rounds grow with the logarithm of a component's width. A round is written to the shared folder, which cuts the
-    lineage. Minima are partly taken before the shuffle, so a vertex with many links costs one row a task, and the
-    vertices of one component are dealt over several tasks.
-    """
-    both = saved(links.select(F.col(a).alias("v"), F.col(b).alias("u")).union(links.select(F.col(b), F.col(a))).where("v <> u").distinct())
-    labels = saved(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("c")))
-    while True:
-        near = both.join(labels.withColumnsRenamed({"v": "u", "c": "near"}), "u").groupBy("v").agg(F.min("near").alias("near"))
-        mid = saved(labels.join(near, "v").select("v", F.least("c", "near").alias("c"), F.col("c").alias("was")))
-        up = mid.join(mid.select(F.col("c").alias("v")).distinct(), "v", "left_semi").select(F.col("v").alias("c"), F.col("c").alias("root"))
-        new = saved(salted(mid, up, "c", "v").select("v", F.least("c", "root").alias("c"), "was"))
-        dropped(mid, labels)
-        labels = new
-        if new.where("c <> was").limit(1).count() == 0:
-            dropped(both)
-            return new.select("v", "c")
+    """v, c: each linked vertex and the smallest vertex of its component; rounds are written to the shared folder."""
+    return graph.components(links, a, b, keep=saved, drop=dropped)
