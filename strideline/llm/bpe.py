@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, kept, slices, spread, two_columns
 
 #: A bound on the entries of each memo of a worker.
-MEMO = 200_000
+MEMO = 300_000
 
 
 class BytePairEncoder:

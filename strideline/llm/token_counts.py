@@ -214,7 +214,22 @@ def follow_edits(trees: DataFrame, path: str, pattern: str, edits: Callable[[str
 def count_edits(df: DataFrame, path: str, pattern: str, edits: Callable[[str], Iterable[tuple[int, int, str]]] = sample_edits, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens before and n_tokens_edited after the edits, n_chars_encoded again for them, edited_sha256.
 
-    Null texts are empty; each row stands alone, so repeated rows and null ids need no rule. One pass, no shuffle.
+    Null texts are empty; each row stands alone, so repeated rows and null ids need no rule. One pass, no shuffle: what
+    keep_trees and follow_edits do, with the trees passed on within the task instead of as columns.
     """
-    done = follow_edits(keep_trees(df, path, pattern, id_col, text_col), path, pattern, edits)
-    return done.selectExpr("doc_id", "n_tokens", "n_tokens_edited", "n_chars_encoded", "sha2(text, 256) AS edited_sha256")
+    schema = "doc_id long, n_tokens long, n_tokens_edited long, n_chars_encoded long, edited_sha256 string"
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, pieces = _tools(path, pattern)
+        for b in slices(batches, "bpe"):
+            rows = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tree = CountedText(text, count, pieces)
+                before, tree.encoded_chars = tree.n_tokens, 0
+                for e in edits(text):
+                    tree.replace(*e)
+                rows.append((doc, before, tree.n_tokens, tree.encoded_chars, hashlib.sha256(tree.text.encode()).hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, out.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=out)
+
+    return spread(two_columns(df, id_col, text_col)).mapInArrow(run, schema)
