@@ -40,9 +40,9 @@ def _efforts(spark, sf):
     return a.select("activity_id", "athlete_id", K, "day", "b.label", "b.band_m", (ga * share).alias("ga_s"), (F.col("moving_s") * share).alias("s"), rest.alias("rest"))
 
 
-@query(f"{EFFORTS} SELECT squad, label, min_by(activity_id, (ga_s, activity_id)) AS holder, {r('min(ga_s)')} AS ga_s FROM effort GROUP BY 1, 2")
+@query(f"{EFFORTS} SELECT squad, label, min_by(activity_id, (round(ga_s, 6), activity_id)) AS holder, {r('min(ga_s)')} AS ga_s FROM effort GROUP BY 1, 2")
 def effort_holders(spark, sf):
-    return rounded(_efforts(spark, sf).groupBy(K, "label").agg(F.min_by("activity_id", F.struct("ga_s", "activity_id")).alias("holder"), F.min("ga_s").alias("ga_s")), "ga_s")
+    return rounded(_efforts(spark, sf).groupBy(K, "label").agg(F.min_by("activity_id", F.struct(F.round("ga_s", 6), "activity_id")).alias("holder"), F.min("ga_s").alias("ga_s")), "ga_s")
 
 
 VD = "((0.000104e0 * (band_m / (s / 60)) * (band_m / (s / 60)) + 0.182258e0 * (band_m / (s / 60)) - 4.60e0) / (0.8e0 + 0.1894393e0 * exp(-0.012778e0 * s / 60) + 0.2989558e0 * exp(-0.1932605e0 * s / 60)))"
@@ -302,11 +302,11 @@ def speed_status(spark, sf):
     return c.select(K, "label", F.when(cur <= lo, "exceeds").when(cur <= hi, "on target").otherwise("below target").alias("status"), F.concat(F.when(cur <= hi, "-").otherwise("+"), text, F.lit("s/km")).alias("gap"))
 
 
-@query(f"{EFFORTS}, p AS (SELECT squad, label, band_m, activity_id, s FROM effort), h AS (SELECT squad, label, min_by(activity_id, (s, activity_id)) AS holder FROM p GROUP BY 1, 2), hold AS (SELECT DISTINCT squad, holder FROM h), pts AS (SELECT h.squad, h.holder, p.label, p.band_m, min(p.s) AS s FROM hold h JOIN p ON p.squad = h.squad AND p.activity_id <> h.holder WHERE p.band_m >= 1200 GROUP BY 1, 2, 3, 4) SELECT squad, holder, {r('regr_slope(band_m, s)')} AS cs FROM pts GROUP BY 1, 2 HAVING count(*) >= 2")
+@query(f"{EFFORTS}, p AS (SELECT squad, label, band_m, activity_id, s FROM effort), h AS (SELECT squad, label, min_by(activity_id, (round(s, 6), activity_id)) AS holder FROM p GROUP BY 1, 2), hold AS (SELECT DISTINCT squad, holder FROM h), pts AS (SELECT h.squad, h.holder, p.label, p.band_m, min(p.s) AS s FROM hold h JOIN p ON p.squad = h.squad AND p.activity_id <> h.holder WHERE p.band_m >= 1200 GROUP BY 1, 2, 3, 4) SELECT squad, holder, {r('regr_slope(band_m, s)')} AS cs FROM pts GROUP BY 1, 2 HAVING count(*) >= 2")
 def leave_holder_out(spark, sf):
     """The fit without the activity that holds a best, for each that does. Two bests a band are enough: the best, and the best of others."""
     e = _efforts(spark, sf)
-    top = e.withColumn("q", F.row_number().over(W.partitionBy(K, "label").orderBy("s", "activity_id"))).where("q <= 2")  # an activity has one effort a band
+    top = e.withColumn("q", F.row_number().over(W.partitionBy(K, "label").orderBy(F.round("s", 6), "activity_id"))).where("q <= 2")  # an activity has one effort a band
     holders = top.where("q = 1").select(K, F.col("activity_id").alias("holder")).distinct()
     pts = holders.join(top.where("band_m >= 1200"), K).where("activity_id <> holder").groupBy(K, "holder", "band_m").agg(F.min("s").alias("s"))
     return rounded(pts.groupBy(K, "holder").agg(F.count("*").alias("n"), F.regr_slope("band_m", "s").alias("cs")).where("n >= 2").select(K, "holder", "cs"), "cs")

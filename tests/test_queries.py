@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from strideline.plans import catalog, geometry, places, running, trends  # noqa: F401  the others add to the catalog
+from strideline.plans import catalog, geometry, matches, places, running, trends  # noqa: F401  the others add to the catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
