@@ -231,10 +231,10 @@ def starred(spark, sf):
     return k.select("id").join(same.union(near).distinct().withColumn("s", F.lit(True)), "id", "left").select("id", F.coalesce("s", F.lit(False)).alias("starred"))
 
 
-@query(f"{TRACK}, n AS (SELECT * FROM track WHERE athlete_id % 2 = 0 AND i <= 40), m AS (SELECT * FROM track WHERE athlete_id % 2 = 1 AND i <= 40) SELECT a.athlete_id, {r('count(*) FILTER (hit) / CAST(count(*) AS DOUBLE)')} AS share FROM (SELECT a.athlete_id, EXISTS (SELECT 1 FROM m b WHERE {_NEAR} <= 25) AS hit FROM n a) a GROUP BY 1")
+@query(f"{TRACK}, n AS (SELECT * FROM track WHERE athlete_id % 8 < 4 AND i <= 40), m AS (SELECT * FROM track WHERE athlete_id % 8 >= 4 AND i <= 6) SELECT a.athlete_id, {r('count(*) FILTER (hit) / CAST(count(*) AS DOUBLE)')} AS share FROM (SELECT a.athlete_id, EXISTS (SELECT 1 FROM m b WHERE {_NEAR} <= 25) AS hit FROM n a) a GROUP BY 1")
 def line_coverage(spark, sf):
     s = track(spark, sf).where("i <= 40").select(A, "i", "lat", "lon")
-    return rounded(lines.coverage(s.where("athlete_id % 2 = 0"), s.where("athlete_id % 2 = 1"), A, 25.0), "share")
+    return rounded(lines.coverage(s.where("athlete_id % 8 < 4"), s.where("athlete_id % 8 >= 4 and i <= 6"), A, 25.0), "share")
 
 
 @query(f"{STEP}, x AS (SELECT athlete_id, i, lon - p_lon AS bx, lat - p_lat AS dy, lag(lon - p_lon) OVER w AS ax, lag(lat - p_lat) OVER w AS ay FROM step WINDOW w AS (PARTITION BY athlete_id ORDER BY i)) SELECT athlete_id, {r('count(*) FILTER (abs(degrees(atan2(CASE WHEN ax * dy - ay * bx = 0 THEN 0 ELSE ax * dy - ay * bx END, CASE WHEN ax * bx + ay * dy = 0 THEN 0 ELSE ax * bx + ay * dy END))) > 55) / CAST(count(*) AS DOUBLE)')} AS rate FROM x WHERE ax IS NOT NULL GROUP BY 1")
