@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -89,6 +90,18 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def word_lists(data: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of data, from one cut at a space after another, so that a very long text's words are not all objects at once."""
+    at = 0
+    while len(data) - at > most and (cut := _SPACE.search(data, at + most)):
+        yield data[at : cut.start()].split()  # of bytes: only space and \x09-\x0d separate
+        at = cut.end()
+    yield data[at:].split()
+
+
 def destroyed(*sent) -> None:
     """Take broadcast values from the executors, their Python workers included, once no job needs them any more."""
     for b in sent:
