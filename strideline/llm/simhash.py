@@ -6,8 +6,10 @@
 3. Variants are dealt by k parities, each over every k-th bit. A change of two bits changes at most two parities, so the
    2081 variants (r = 4) of a fingerprint lie in 1 + k + k (k - 1) / 2 blocks. It goes to each of those blocks once, and
    the block makes the variants that belong to it: some hundred bytes a fingerprint are shuffled in place of 16 KB.
-4. A block sorts its variants. All members of a run link to its first, checked bit by bit, each link once. That is every
-   class's link to its component; pairs of a run, which grow with its square, are not made.
+4. A block sorts its variants. All members of a run link to its first, checked bit by bit; pairs of a run, which grow with
+   its square, are not made. Of a block's links a forest stays: each class and the root that it reaches there. A class
+   that has several roots, from different blocks, keeps the smallest, to which the others are linked. So about one link
+   a class comes to the components, and whatever links connect stays connected.
 """
 
 from __future__ import annotations
@@ -119,14 +121,31 @@ def meetings(block: int, codes: np.ndarray, masks: np.ndarray, key: np.ndarray,
     return tuple(np.unique(np.concatenate(pairs), axis=0).T)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the same numbers, each to the smallest one that it reaches."""
+    every, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(every))
+    while True:
+        new, least = low.copy(), np.minimum(low[x], low[y])
+        for side in (x, y, low[x], low[y]):
+            np.minimum.at(new, side, least)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    child = np.flatnonzero(low != np.arange(len(every)))
+    return every[low[child]], every[child]
+
+
 def block_bits(n: int, variants: int, least: int, per_block: int = 400_000) -> int:
     """How many parities keep a block's variants near per_block and give `least` blocks."""
     return max(1, min(30, int(np.ceil(np.log2(max(n * variants / per_block, least))))))
 
 
 def near_links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: links between different numbers of column fp with at most `radius` (even) different bits, enough to connect
-    whatever such links connect; saved. Repeated and null numbers are met once or not at all."""
+    """a, b: pairs of different numbers of column fp that connect whatever numbers of at most `radius` (even) different bits
+    connect; saved. Repeated and null numbers are met once or not at all."""
     if radius % 2 or radius < 0:
         raise ValueError("the radius is an even number")
     spark = codes.sparkSession
@@ -143,11 +162,13 @@ def near_links(codes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def meet(keys: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
         (c,) = Blocks.unpack(tab, ["<i8"])
-        a, b = meetings(keys[0].as_py(), c.view(np.uint64), *changes(radius // 2, k), radius, k)
+        a, b = forest(*meetings(keys[0].as_py(), c.view(np.uint64), *changes(radius // 2, k), radius, k))
         give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return saved(codes.select("fp").mapInArrow(emit, Blocks.schema(1)).groupBy("block").applyInArrow(meet, "a long, b long").distinct())
+    met = codes.select("fp").mapInArrow(emit, Blocks.schema(1)).groupBy("block").applyInArrow(meet, "a long, b long")
+    roots = met.groupBy("b").agg(F.collect_set("a").alias("roots")).select("b", "roots", F.array_min("roots").alias("a"))  # one for each of its blocks at most
+    return saved(roots.select("a", F.explode(F.array_union("roots", F.array("b"))).alias("b")).where("a <> b").distinct())
 
 
 def near_copies(df: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -125,8 +125,10 @@ def test_no_link_is_lost_whatever_the_blocks(spark):
                 links |= {(x % 2**64, y % 2**64) for x, y in zip(a.tolist(), b.tolist())}
         assert all((a ^ b).bit_count() <= 4 and a != b for a, b in links)
         got = plain_groups(codes, lambda a, b: a == b or (a, b) in links or (b, a) in links)
+        thin = {(x % 2**64, y % 2**64) for x, y in zip(*(v.tolist() for v in simhash.forest(*(np.array([p[i] for p in sorted(links)], np.uint64).view(np.int64) for i in (0, 1)))))}
+        assert len(thin) == len(codes) - len(set(plain_groups(codes, lambda a, b: a == b or (a, b) in links or (b, a) in links))) - (len(codes) - len(set(codes)))
         same = lambda g: sorted(sorted(i for i in range(len(codes)) if g[i] == x) for x in set(g))
-        assert same(got) == same(want)
+        assert same(got) == same(want) == same(plain_groups(codes, lambda a, b: a == b or (a, b) in thin or (b, a) in thin))
 
 
 def plain_phrases(rows, least, top, share):
