@@ -1,7 +1,7 @@
 """Operator 5: personal data, by pattern and by information-theoretic disclosure.
 
-Patterns give the protected entities: e-mail addresses, IP addresses, card and phone numbers, and secrets (long strings of
-letters and digits with the entropy of random ones). The corpus then says which terms in the same texts reveal them: a
+Patterns give the protected entities: e-mail addresses, IP addresses, card and phone numbers, and secrets (strings with the
+entropy of random ones, values named as secret, cards within other digits). The corpus then says which terms in the same texts reveal them: a
 term t discloses an entity e if PMI(e; t) is at least `disclosure` times the entity's information content IC(e), that is
 if p(e|t) is at least p(e)^(1 - disclosure). For p(e|t) stands a lower bound of what has been counted, so a word that was
 seen once with an entity seen once says nothing. Such terms, wherever they stand in a text that holds the entity, become
@@ -35,6 +35,13 @@ _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _long = re.compile(r"[A-Za-z0-9]{20,}")
+_joined = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9]++(?:[_-][A-Za-z0-9]++)+")
+_social = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+# What names a secret, and how issued ones begin: fixed values.
+NAMES = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "access_key", "access-key", "private_key")
+BEGINNINGS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "sk-", "sk_live_", "sk_test_", "pk_live_", "rk_live_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")
+_named = re.compile(r"(?i:(?<![A-Za-z])(?:" + "|".join(NAMES) + r"))[\x22\x27]?[\x20\x09]*+[:=][\x20\x09]*+[\x22\x27]?([^\s\x22\x27,;]{6,})")
+_issued = re.compile(r"(?<![A-Za-z0-9_-])(?:" + "|".join(BEGINNINGS) + r")[A-Za-z0-9_-]{12,}")
 _word = re.compile(r"[^\W_]+")
 _digits = re.compile(r"[^0-9]+")
 
@@ -70,14 +77,62 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def cards_within(text: str, m: re.Match) -> Iterator[tuple[int, int]]:
+    """Cards in a match of digits that is none as a whole: from one border of its groups of digits to another, 13 to 19
+    digits that pass Luhn; the leftmost first, of those from one border the longest."""
+    groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer("[0-9]+", m[0])]
+    i = 0
+    while i < len(groups):
+        n, last = 0, None
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > 19:
+                break
+            if n >= 13 and _luhn(_digits.sub("", text[groups[i][0] : groups[j][1]])):
+                last = j
+        if last is not None:
+            yield groups[i][0], groups[last][1]
+            i = last
+        i += 1
+
+
+def random_looking(s: str, least_bits: float) -> bool:
+    """Whether s has 4 digits and 4 letters at least, and so much entropy a letter or digit."""
+    c = Counter(x for x in s if x.isalnum())
+    n, digits = c.total(), sum(v for k, v in c.items() if k <= "9")
+    return 4 <= digits <= n - 4 and -sum(v / n * math.log2(v / n) for v in c.values()) >= least_bits
+
+
 def secrets(text: str, base: list[tuple[str, int, int]], least_bits: float = 3.0) -> list[tuple[str, int, int]]:
-    """Strings of 20 or more letters and digits, at least 4 of each, with `least_bits` of entropy a character, outside base spans."""
-    out = []
-    for m in _long.finditer(text):
-        c, n = Counter(m[0]), m.end() - m.start()
-        digits = sum(v for k, v in c.items() if k <= "9")
-        if 4 <= digits <= n - 4 and -sum(v / n * math.log2(v / n) for v in c.values()) >= least_bits and not any(s < m.end() and m.start() < e for _, s, e in base):
-            out.append(("secret", *m.span()))
+    """What the patterns leave out, by start and apart from base spans and each other:
+
+    strings of 20 or more letters and digits that look random; such strings joined by - or _ with a piece of 8 that has
+    both; the value after the name of a secret and : or =; tokens by their beginnings; social security numbers; and cards
+    beside other numbers, which a whole match of digits hides.
+    """
+    found = [m.span() for m in _long.finditer(text) if random_looking(m[0], least_bits)]
+    if "_" in text or "-" in text:
+        for m in _joined.finditer(text):
+            if m.end() - m.start() >= 20 and random_looking(m[0], least_bits) and any(len(p) >= 8 and random_looking(p, 2.0) for p in re.split("[_-]", m[0])):
+                found.append(m.span())
+        found += [m.span() for m in _issued.finditer(text)]
+        found += [m.span() for m in _social.finditer(text)]
+    low = text.lower()
+    if any(x in low for x in NAMES):
+        found += [m.span(1) for m in _named.finditer(text)]
+    hold = {(s, e) for k, s, e in base if k == "card"}
+    for m in _card.finditer(text):
+        if m.end() - m.start() > 13 and m.span() not in hold:
+            found += cards_within(text, m)
+    out: list[tuple[str, int, int]] = []
+    taken = sorted((s, e) for _, s, e in base)
+    at = i = 0
+    for s, e in sorted(found, key=lambda x: (x[0], -x[1])):
+        while i < len(taken) and taken[i][1] <= s:
+            i += 1
+        if s >= at and not (i < len(taken) and taken[i][0] < e):
+            out.append(("secret", s, e))
+            at = e
     return out
 
 

@@ -99,6 +99,20 @@ def test_texts_with_any_personal_data_or_secret_are_found(spark):
     assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_secrets_of_all_forms_and_cards_beside_numbers():
+    card = "4111111111111111"
+    there = {
+        f"card {card} 12/27": card, f"{card} {card[:-1]}2 x": card, "4111 1111 1111 1111 2027 123": "4111 1111 1111 1111", "7 4111-1111-1111-1111": "4111-1111-1111-1111", f"1234567 {card} 12": card,
+        "ghp_abcdefghijklmnopqrst": "ghp_abcdefghijklmnopqrst", "Password: hunter-two": "hunter-two", 'api_key="correct,horse"': "correct", "my ssn 123-45-6789.": "123-45-6789",
+        "id AKx1-9aZ9qW8eR7tY_6uI5oP": "AKx1-9aZ9qW8eR7tY_6uI5oP", "k = x1y2z3a4b5c6d7e8f9g0": "x1y2z3a4b5c6d7e8f9g0",
+    }
+    for text, want in there.items():
+        base = pii.base_spans(text)
+        assert [text[s:e] for _, s, e in pii.secrets(text, base)] == [want], text
+    for text in ("4111111111111112 12", "1" * 60, "2024-01-02-2024-01-03-2024", "some-long-page-title-of-2024-05", "a token of love", "password is short: no", "123-45-67890", "000-12-3456", "4111111111111111", "tokens: 12"):
+        assert pii.secrets(text, pii.base_spans(text)) == [], text
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
