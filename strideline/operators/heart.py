@@ -78,3 +78,16 @@ def run_uptake(track: DataFrame, key: str, hr_max: float, hr_rest: float) -> Dat
     """key, vo2max (the upper quartile of its windows), windows: runs with LEAST_WINDOWS or more."""
     g = window_uptake(track, key, hr_max, hr_rest).groupBy(key).agg(F.percentile("vo2max", 0.75).alias("vo2max"), F.count("*").alias("windows"))
     return g.where(F.col("windows") >= LEAST_WINDOWS)
+
+
+def monthly_uptake(estimates: DataFrame, runs: DataFrame, key: str, owner: str | None = None) -> DataFrame:
+    """(owner,) month, vo2max, runs, windows, hr_runs: the best estimate of each month, of how many runs and windows, and how
+    many of all the months' runs have heart rates at all. Months without an estimate have no row.
+
+    estimates: key, vo2max, windows (run_uptake); runs: key, day, hr_pts (samples with a heart rate) and the owner.
+    """
+    by = [owner] if owner else []
+    r = runs.where("day is not null")
+    got = r.join(estimates, key).groupBy(*by, F.trunc("day", "month").alias("month")).agg(F.round(F.max("vo2max"), 1).alias("vo2max"), F.count("*").alias("runs"), F.sum("windows").alias("windows"))
+    beating = r.where("hr_pts > 0").groupBy(*by, F.trunc("day", "month").alias("month")).agg(F.count("*").alias("hr_runs"))
+    return got.join(beating, [*by, "month"], "left").select(*by, "month", "vo2max", "runs", "windows", F.coalesce("hr_runs", F.lit(0)).alias("hr_runs"))

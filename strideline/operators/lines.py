@@ -124,21 +124,23 @@ def bracket(probes: DataFrame, fixes: DataFrame, key: str, at: str, values: list
 
 
 def nearby(a: DataFrame, b: DataFrame, within_m: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Rows of a (struct l) and b (struct r) at most within_m apart, with their distance m.
+    """Rows of a (struct l) and b (struct r) at most within_m apart, with their distance m; equal rows each meet.
 
     Places meet in bands of latitude of that height and, in each, columns of longitude of that width at the band's far
-    side, so dense places only meet their neighbours; works to 80 degrees of latitude, also across 180 degrees of longitude.
+    side, so dense places only meet their neighbours; works to 80 degrees of latitude, also across 180 degrees of
+    longitude. A row of a asks in nine cells, or fewer where some are the same.
     """
     step = within_m / 6371000.0 * 180 / 3.141592653589793
-    band = lambda df, d: F.floor(F.col(lat) / step).cast("long") + d
+    band = lambda df: F.floor(F.col(lat) / step).cast("long")
     width = lambda row: step / F.cos(F.radians(F.least(F.lit(80.0), (F.abs(row.cast("double") + 0.5) + 0.5) * step)))  # noqa: E731  of a band's columns
     count = lambda row: F.floor(F.lit(360.0) / width(row)).cast("long")  # noqa: E731  whole columns around the globe
     place = lambda row: F.floor((F.col(lon) + 180) / 360 * count(row)).cast("long")
-    x = a.withColumn("_r", F.explode(F.array(*(band(a, d) for d in (-1, 0, 1)))))
-    x = x.withColumn("_c", F.explode(F.array(*(F.pmod(place(F.col("_r")) + d, count(F.col("_r"))) for d in (-1, 0, 1))))).select("_r", "_c", F.struct(*a.columns).alias("l")).distinct()
-    y = b.withColumn("_r", band(b, 0)).withColumn("_c", F.pmod(place(F.col("_r")), count(F.col("_r")))).select("_r", "_c", F.struct(*b.columns).alias("r"))
+    cell = lambda row, d: F.struct(row.alias("r"), F.pmod(place(row) + d, count(row)).alias("c"))
+    asked = F.array_distinct(F.array(*(cell(band(a) + dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1))))
+    x = a.select(F.struct(*a.columns).alias("l"), F.explode(asked).alias("_k"))
+    y = b.select(F.struct(*b.columns).alias("r"), cell(band(b), 0).alias("_k"))
     m = haversine_m(F.col(f"l.{lat}"), F.col(f"l.{lon}"), F.col(f"r.{lat}"), F.col(f"r.{lon}"))
-    return x.join(y, ["_r", "_c"]).select("l", "r", m.alias("m")).where(F.col("m") <= within_m)
+    return x.join(y, "_k").select("l", "r", m.alias("m")).where(F.col("m") <= within_m)
 
 
 def clusters(places: DataFrame, within_m: float, id_col: str = "id") -> DataFrame:
@@ -155,8 +157,9 @@ def nearest(probes: DataFrame, places: DataFrame, within_m: float, id_col: str,
 
 
 def coverage(line: DataFrame, by: DataFrame, key: str, within_m: float) -> DataFrame:
-    """key, share: how much of each line's points lies within a distance of any point of `by`."""
-    near = nearby(line, by, within_m).select("l").distinct().select("l.*").groupBy(key).agg(F.count("*").alias("_n"))
+    """key, share: how much of each line's points, equal ones each, lies within a distance of any point of `by`."""
+    some = line.select(key, "lat", "lon").withColumn("_p", F.monotonically_increasing_id())
+    near = nearby(some, by.select("lat", "lon"), within_m).groupBy(F.col(f"l.{key}").alias(key), F.col("l._p")).agg(F.lit(1).alias("_o")).groupBy(key).agg(F.count("*").alias("_n"))
     return line.groupBy(key).agg(F.count("*").alias("n")).join(near, key, "left").select(key, (F.coalesce("_n", F.lit(0)) / F.col("n")).alias("share"))
 
 
@@ -199,17 +202,26 @@ def traversals(cells: DataFrame, chain: DataFrame, run: str, order: str, length:
 
 def deviation(line: DataFrame, by: DataFrame, key: str, order: str, within_m: float = 100.0) -> DataFrame:
     """key, metres: the mean distance of each line's points from the nearest piece of the line `by` of the same key, in a flat
-    projection around the line's first point. A line's points meet the pieces of its own key only, cut by latitude."""
+    projection around the line's first point.
+
+    Pieces are listed in the squares of side within_m that their box with a margin of one touches, and points meet those of
+    their own square: a nearest piece that is no farther than within_m is among them. Only points that have none meet all
+    pieces of their key.
+    """
     first = line.groupBy(key).agg(F.min_by(F.struct("lat", "lon"), order).alias("o"))
     mx = DEGREE_M * F.cos(F.radians("o.lat"))
     flat = lambda df, lat, lon, x, y: df.withColumn(x, (F.col(lon) - F.col("o.lon")) * mx).withColumn(y, (F.col(lat) - F.col("o.lat")) * DEGREE_M)
-    pieces = by.withColumns(before(key, order, "lat", "lon")).where("p_lat is not null").select(key, "p_lat", "p_lon", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"))
-    j = line.select(key, order, "lat", "lon").join(pieces, key).join(first, key)
-    j = flat(flat(flat(j, "lat", "lon", "x", "y"), "p_lat", "p_lon", "ax", "ay"), "q_lat", "q_lon", "bx", "by")
+    pieces = by.withColumns(before(key, order, "lat", "lon")).where("p_lat is not null").select(key, "p_lat", "p_lon", "lat", "lon").join(first, key)
+    pieces = flat(flat(pieces, "p_lat", "p_lon", "ax", "ay"), "lat", "lon", "bx", "by").select(key, "ax", "ay", "bx", "by")
+    points = flat(line.select(key, order, "lat", "lon").join(first, key), "lat", "lon", "x", "y").select(key, order, "x", "y")
+    square = lambda v: F.floor(v / within_m).cast("long")
+    listed = pieces.withColumn("_c", F.explode(F.sequence(square(F.least("ax", "bx")) - 1, square(F.greatest("ax", "bx")) + 1))).withColumn("_r", F.explode(F.sequence(square(F.least("ay", "by")) - 1, square(F.greatest("ay", "by")) + 1)))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     t = F.when(dx * dx + dy * dy == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / (dx * dx + dy * dy))))
-    d = F.hypot(F.col("x") - F.col("ax") - t * dx, F.col("y") - F.col("ay") - t * dy)
-    return j.groupBy(key, order).agg(F.min(d).alias("d")).groupBy(key).agg(F.avg("d").alias("metres"))
+    least = F.min(F.hypot(F.col("x") - F.col("ax") - t * dx, F.col("y") - F.col("ay") - t * dy)).alias("d")
+    near = points.withColumn("_c", square(F.col("x"))).withColumn("_r", square(F.col("y"))).join(listed, [key, "_c", "_r"]).groupBy(key, order).agg(least).where(F.col("d") <= within_m)
+    far = points.join(near.select(key, order), [key, order], "left_anti").join(pieces, key).groupBy(key, order).agg(least)
+    return near.union(far).groupBy(key).agg(F.avg("d").alias("metres"))
 
 
 def best_effort_span(track: DataFrame, key: str, order: str, d: str, t: str, metres: int) -> DataFrame:

@@ -57,7 +57,7 @@ def long_rules(runs: DataFrame, kind: str = "run_type", km: str = "dist_km", key
     type, all others are never long."""
     group = [F.col(key)] if key else []
     q = runs.groupBy(*group).agg(F.percentile(km, 0.75).alias("_p75"), F.percentile(km, 0.5).alias("_p50"))  # percentile counts equal values before the shuffle
-    r = runs.join(F.broadcast(q), key) if key else runs.crossJoin(F.broadcast(q))  # a row a key
+    r = runs.join(q, key) if key else runs.crossJoin(F.broadcast(q))  # without a key one row
     far = (F.col("_p50") > 0) & (F.col(km) >= LONG_KM) & (F.col(km) >= F.col("_p75")) & (F.col(km) >= LONG_RATIO * F.col("_p50"))
     absorbed = far & F.col(kind).isin(*LONG_ABSORBS)
     r = r.withColumn("is_long", F.coalesce(absorbed | (far & F.col(kind).isin(*LONG_DOUBLES)), F.lit(False)))

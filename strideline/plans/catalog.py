@@ -45,13 +45,13 @@ thr AS (SELECT squad, ga_pace AS threshold_pace FROM (SELECT squad, ga_pace, row
 loads AS (SELECT activity_id, squad, day, ga_pace, dist_m / 1000.0e0 * 10 * pow(greatest(0.5e0, least(1.5e0, threshold_pace / ga_pace)), 2) AS load FROM paced JOIN thr USING (squad))"""
 DAILY = f"""{LOAD}, byday AS (SELECT squad, day, sum(load) AS load FROM loads GROUP BY 1, 2),
 spine AS (SELECT squad, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM byday GROUP BY squad),
-daily AS (SELECT squad, day, CAST(row_number() OVER (PARTITION BY squad ORDER BY day) - 1 AS INT) AS i, coalesce(load, 0) AS load FROM spine LEFT JOIN byday USING (squad, day))"""
+daily AS MATERIALIZED (SELECT squad, day, CAST(row_number() OVER (PARTITION BY squad ORDER BY day) - 1 AS INT) AS i, coalesce(load, 0) AS load FROM spine LEFT JOIN byday USING (squad, day))"""
 FORM = f"""{DAILY}, step AS (
   SELECT squad, day, i, load, load * (1 - exp(-1/42.0e0)) AS ctl, load * (1 - exp(-1/7.0e0)) AS atl, 0.0e0 AS tsb FROM daily WHERE i = 0
   UNION ALL SELECT d.squad, d.day, d.i, d.load, s.ctl + (1 - exp(-1/42.0e0)) * (d.load - s.ctl), s.atl + (1 - exp(-1/7.0e0)) * (d.load - s.atl), s.ctl - s.atl
   FROM step s JOIN daily d ON d.squad = s.squad AND d.i = s.i + 1)"""
 RATIO = f"""{FORM}, ratio AS (SELECT *, CASE WHEN chronic > 0 THEN acute / chronic ELSE 0 END AS acwr FROM (SELECT *, sum(load) OVER (PARTITION BY squad ORDER BY i ROWS 6 PRECEDING) AS acute, avg(load) OVER (PARTITION BY squad ORDER BY i ROWS 27 PRECEDING) * 7 AS chronic, max(i) OVER (PARTITION BY squad) AS l FROM step) x)"""
-STRAIN = f"""{DAILY}, strain AS (SELECT squad, day, i, monotony, monotony * w AS strain FROM (SELECT *, CASE WHEN n >= 2 AND sd > 1e-9 THEN m / sd ELSE 0 END AS monotony FROM (
+STRAIN = f"""{DAILY}, strain AS MATERIALIZED (SELECT squad, day, i, monotony, monotony * w AS strain FROM (SELECT *, CASE WHEN n >= 2 AND sd > 1e-9 THEN m / sd ELSE 0 END AS monotony FROM (
   SELECT *, avg(load) OVER v AS m, stddev_pop(load) OVER v AS sd, sum(load) OVER v AS w, count(*) OVER v AS n FROM daily WINDOW v AS (PARTITION BY squad ORDER BY i ROWS 6 PRECEDING)) x) y)"""
 
 
@@ -279,7 +279,7 @@ def contemporaneous_threshold(spark, sf):
 @query(f"""{ACT}, s AS (SELECT *, dist_m / CAST(nullif(moving_s, 0) AS DOUBLE) AS v FROM activity), e AS (SELECT squad, day, max(v) AS b FROM s WHERE dist_m >= 5000 GROUP BY 1, 2),
 n AS (SELECT activity_id, v, b, abs(date_diff('day', s.day, e.day)) AS gap FROM s LEFT JOIN e USING (squad)),
 w AS (SELECT activity_id, v, max(b) AS peak, max(b) FILTER (gap <= 60) AS b1, max(b) FILTER (gap <= 120) AS b2, max(b) FILTER (gap <= 240) AS b4, max(b) FILTER (gap <= 480) AS b8 FROM n GROUP BY 1, 2)
-SELECT activity_id, {r('coalesce(coalesce(b1, b2, b4, b8) / peak, 1)')} AS era, {r('v / coalesce(b1, b2, b4, b8, peak)')} AS ratio FROM w""")
+SELECT activity_id, {r('coalesce(coalesce(b1, b2, b4, b8) / peak, 1)', 9)} AS era, {r('v / coalesce(b1, b2, b4, b8, peak)', 9)} AS ratio FROM w""")
 def threshold_of_every_run(spark, sf):
     a = activities(spark, sf).withColumn("v", F.expr("try_divide(dist_m, moving_s)")).withColumn("n", F.unix_date("day"))
     days = a.groupBy(K, "n").agg(F.max(F.when(F.col("dist_m") >= 5000, F.col("v"))).alias("b"))  # a row a day goes through the windows
@@ -287,7 +287,7 @@ def threshold_of_every_run(spark, sf):
     spans = [F.max("b").over(w.orderBy("n").rangeBetween(-d, d)) for d in (60, 120, 240, 480)]
     days = days.select(K, "n", F.coalesce(*spans).alias("best"), F.max("b").over(w).alias("peak"))
     ratio = F.col("v") / F.coalesce("best", "peak")
-    return rounded(a.join(days, [K, "n"]).select("activity_id", F.coalesce(F.col("best") / F.col("peak"), F.lit(1.0)).alias("era"), ratio.alias("ratio")), "era", "ratio")
+    return rounded(a.join(days, [K, "n"]).select("activity_id", F.coalesce(F.col("best") / F.col("peak"), F.lit(1.0)).alias("era"), ratio.alias("ratio")), "era", "ratio", digits=9)
 
 
 @query(f"""{POINTS}, p AS (SELECT * FROM points WHERE band_m >= 1200) SELECT h.squad, h.label, {r('regr_slope(p.band_m, p.best_s)')} AS cs FROM p h JOIN p ON p.squad = h.squad AND p.label <> h.label GROUP BY 1, 2 HAVING count(*) >= 2""")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strideline.functions import physiology as ph
-from strideline.operators import lines
+from strideline.operators import lines, ranking
 from strideline.plans.catalog import ACT, HAV, REC, query, r, rounded
 from strideline.sources.archive import POINT, json_array
 from strideline.sources.views import activities, records, table
@@ -179,14 +179,13 @@ def centre_clusters(spark, sf):
     return lines.clusters(centres(spark, sf), 1200.0)
 
 
-@query(f"{CLUSTERS}, g AS (SELECT c, count(*) AS n, sum(km) AS km, avg(lat) AS lat, avg(lon) AS lon, min(lat) AS s, max(lat) AS n_lat FROM comp JOIN centre ON v = id GROUP BY 1) SELECT c, n, {r('km', 3)} AS km, {r('lat', 6)} AS lat, {r('lon', 6)} AS lon, {r('s', 6)} AS south, {r('n_lat', 6)} AS north, CAST(row_number() OVER (ORDER BY n DESC, round(km, 6) DESC, round(lat, 4), round(lon, 4), c) AS INT) AS place FROM g QUALIFY place <= 100")
+@query(f"{CLUSTERS}, g AS (SELECT c, count(*) AS n, sum(km) AS km, avg(lat) AS lat, avg(lon) AS lon, min(lat) AS s, max(lat) AS n_lat FROM comp JOIN centre ON v = id GROUP BY 1) SELECT c, n, {r('km', 3)} AS km, {r('lat', 6)} AS lat, {r('lon', 6)} AS lon, {r('s', 6)} AS south, {r('n_lat', 6)} AS north, CAST(row_number() OVER (ORDER BY n DESC, round(km, 6) DESC, round(lat, 4), round(lon, 4), c) AS INT) AS place FROM g")
 def hotspots(spark, sf):
     """Clusters by members, kilometres and place; the first is home."""
     s = centres(spark, sf)
     g = lines.clusters(s, 1200.0).join(s, "id").groupBy("c").agg(F.count("*").alias("n"), F.sum("km").alias("km"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.min("lat").alias("south"), F.max("lat").alias("north"))
     order = [F.desc("n"), F.desc(F.round("km", 6)), F.round("lat", 4), F.round("lon", 4), F.col("c")]
-    top = g.orderBy(*order).limit(100)
-    top = top.withColumn("place", F.row_number().over(W.orderBy(*order)))  # 100 rows
+    top = ranking.numbered(g, order, "place").withColumn("place", F.col("place").cast("int"))
     return rounded(rounded(top, "km", digits=3), "lat", "lon", "south", "north", digits=6)
 
 
@@ -231,12 +230,6 @@ def starred(spark, sf):
     return k.select("id").join(same.union(near).distinct().withColumn("s", F.lit(True)), "id", "left").select("id", F.coalesce("s", F.lit(False)).alias("starred"))
 
 
-@query(f"{TRACK}, n AS (SELECT * FROM track WHERE athlete_id % 8 < 4 AND i <= 40), m AS (SELECT * FROM track WHERE athlete_id % 8 >= 4 AND i <= 6) SELECT a.athlete_id, {r('count(*) FILTER (hit) / CAST(count(*) AS DOUBLE)')} AS share FROM (SELECT a.athlete_id, EXISTS (SELECT 1 FROM m b WHERE {_NEAR} <= 25) AS hit FROM n a) a GROUP BY 1")
-def line_coverage(spark, sf):
-    s = track(spark, sf).where("i <= 40").select(A, "i", "lat", "lon")
-    return rounded(lines.coverage(s.where("athlete_id % 8 < 4"), s.where("athlete_id % 8 >= 4 and i <= 6"), A, 25.0), "share")
-
-
 @query(f"{STEP}, x AS (SELECT athlete_id, i, lon - p_lon AS bx, lat - p_lat AS dy, lag(lon - p_lon) OVER w AS ax, lag(lat - p_lat) OVER w AS ay FROM step WINDOW w AS (PARTITION BY athlete_id ORDER BY i)) SELECT athlete_id, {r('count(*) FILTER (abs(degrees(atan2(CASE WHEN ax * dy - ay * bx = 0 THEN 0 ELSE ax * dy - ay * bx END, CASE WHEN ax * bx + ay * dy = 0 THEN 0 ELSE ax * bx + ay * dy END))) > 55) / CAST(count(*) AS DOUBLE)')} AS rate FROM x WHERE ax IS NOT NULL GROUP BY 1")
 def sharp_turns(spark, sf):
     """The share of turns sharper than 55 degrees."""
@@ -328,18 +321,12 @@ def told_apart_names(spark, sf):
     return n.join(often, "name").select("seg", F.when(F.col("n") > 1, F.concat("name", F.lit(" · "), F.col("length_m").cast("string"), F.lit(" m"))).otherwise(F.col("name")).alias("name"))
 
 
-@query(f"{SEG} SELECT run, array_to_string(list(seg || ':' || time_s ORDER BY seg), ' ') AS efforts FROM effort WHERE run % 10 = 0 GROUP BY 1")
+@query(f"{SEG} SELECT run, array_to_string(list(seg || ':' || time_s ORDER BY seg), ' ') AS efforts FROM effort GROUP BY 1")
 def efforts_of_runs(spark, sf):
-    e = efforts(spark, sf).where("run % 10 = 0")
+    e = efforts(spark, sf)
     return e.groupBy("run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg", "time_s"))), lambda x: F.concat_ws(":", x["seg"].cast("string"), x["time_s"].cast("string"))), " ").alias("efforts"))
 
 
-@query(f"{CELLS}, s AS (SELECT athlete_id, i, r, c, i % 4 AS lap FROM seq) SELECT athlete_id, CAST(i AS BIGINT) AS lo, CAST(i + 2 AS BIGINT) AS hi, t FROM (SELECT athlete_id, i, 10 + (r + c) % 17 AS t FROM seq WHERE i <= 3) x WHERE i = 1")
-def first_spans(spark, sf):
-    s = cells(spark, sf).where("i = 1")
-    return s.select(A, F.col("i").alias("lo"), (F.col("i") + 2).alias("hi"), (10 + (F.col("r") + F.col("c")) % 17).alias("t"))
-
-
 @query(f"{CELLS}, chain(n, r, c) AS (SELECT i, r, c FROM seq WHERE athlete_id = (SELECT min(athlete_id) FROM seq) AND i <= 6), ends AS (SELECT min_by(r, n) AS ar, min_by(c, n) AS ac, max_by(r, n) AS br, max_by(c, n) AS bc, count(DISTINCT (r, c)) AS size FROM chain), s AS (SELECT q.*, x.on FROM seq q LEFT JOIN (SELECT DISTINCT r, c, 1 AS on FROM chain) x USING (r, c)), p AS (SELECT a.athlete_id, a.i AS si, b.i AS ei, b.d - a.d AS dist, b.t - a.t AS tm, size FROM s a JOIN s b ON a.athlete_id = b.athlete_id AND b.i > a.i, ends WHERE abs(a.r - ar) <= 1 AND abs(a.c - ac) <= 1 AND abs(b.r - br) <= 1 AND abs(b.c - bc) <= 1 AND b.d - a.d BETWEEN 60 AND 400 AND b.t > a.t), v AS (SELECT p.athlete_id, si, ei, dist, tm, max(size) AS size, count(DISTINCT (s.r, s.c)) AS n FROM p JOIN s ON s.athlete_id = p.athlete_id AND s.i BETWEEN si AND ei AND s.on = 1 GROUP BY 1, 2, 3, 4, 5), w AS (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY tm, si, ei) AS q FROM v WHERE n >= 0.3e0 * size) SELECT athlete_id, si AS start_i, ei AS end_i, {r('dist')} AS dist_m, tm AS time_s FROM w WHERE q = 1")
 def chain_traversals(spark, sf):
     """Each track's fastest way along the first track's first cells."""
@@ -389,9 +376,9 @@ def best_effort_spans(spark, sf):
     return lines.best_effort_span(track(spark, sf), A, "i", "d", "t", 300)
 
 
-@query(f"{STEP}, a AS (SELECT athlete_id, i, lat, lon FROM track WHERE i <= 12 AND i % 2 = 0), b AS (SELECT athlete_id, p_lat, p_lon, lat, lon FROM (SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon FROM track WHERE i <= 12 AND i % 3 = 0 WINDOW w AS (PARTITION BY athlete_id ORDER BY i)) q WHERE p_lat IS NOT NULL), o AS (SELECT athlete_id, min_by(lat, i) AS olat, min_by(lon, i) AS olon FROM a GROUP BY 1), x AS (SELECT a.athlete_id, a.i, (a.lon - olon) * 111320.0e0 * cos(radians(olat)) AS x, (a.lat - olat) * 111320.0e0 AS y, (p_lon - olon) * 111320.0e0 * cos(radians(olat)) AS ax, (p_lat - olat) * 111320.0e0 AS ay, (b.lon - p_lon) * 111320.0e0 * cos(radians(olat)) AS dx, (b.lat - p_lat) * 111320.0e0 AS dy FROM a JOIN b USING (athlete_id) JOIN o USING (athlete_id)), t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM x), m AS (SELECT athlete_id, i, min(sqrt(pow(x - ax - t * dx, 2) + pow(y - ay - t * dy, 2))) AS d FROM t GROUP BY 1, 2) SELECT athlete_id, {r('avg(d)', 3)} AS metres FROM m GROUP BY 1")
+@query(f"{STEP}, a AS (SELECT athlete_id, i, lat, lon FROM track WHERE i % 2 = 0), b AS (SELECT athlete_id, p_lat, p_lon, lat, lon FROM (SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon FROM track WHERE i % 3 = 0 WINDOW w AS (PARTITION BY athlete_id ORDER BY i)) q WHERE p_lat IS NOT NULL), o AS (SELECT athlete_id, min_by(lat, i) AS olat, min_by(lon, i) AS olon FROM a GROUP BY 1), x AS (SELECT a.athlete_id, a.i, (a.lon - olon) * 111320.0e0 * cos(radians(olat)) AS x, (a.lat - olat) * 111320.0e0 AS y, (p_lon - olon) * 111320.0e0 * cos(radians(olat)) AS ax, (p_lat - olat) * 111320.0e0 AS ay, (b.lon - p_lon) * 111320.0e0 * cos(radians(olat)) AS dx, (b.lat - p_lat) * 111320.0e0 AS dy FROM a JOIN b USING (athlete_id) JOIN o USING (athlete_id)), t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM x), m AS (SELECT athlete_id, i, min(sqrt(pow(x - ax - t * dx, 2) + pow(y - ay - t * dy, 2))) AS d FROM t GROUP BY 1, 2) SELECT athlete_id, {r('avg(d)', 3)} AS metres FROM m GROUP BY 1")
 def line_deviation(spark, sf):
-    s = track(spark, sf).where("i <= 12").select(A, "i", "lat", "lon")
+    s = track(spark, sf).select(A, "i", "lat", "lon")
     return rounded(lines.deviation(s.where("i % 2 = 0"), s.where("i % 3 = 0"), A, "i"), "metres", digits=3)
 
 

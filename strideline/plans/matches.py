@@ -29,15 +29,6 @@ def era_threshold(spark, sf):
     return rounded(u.select("activity_id", "owner", "e").join(times, ["owner", "e"]).select("activity_id", "era"), "era")
 
 
-@query(f"{TRACK}, a AS (SELECT * FROM track WHERE athlete_id % 8 < 4 AND i <= 12), b AS (SELECT * FROM track WHERE athlete_id % 8 >= 4 AND i <= 40) SELECT a.athlete_id AS line, b.athlete_id AS run, count(DISTINCT a.i) AS vertices FROM a JOIN b ON {_NEAR} <= 25 GROUP BY 1, 2 HAVING count(DISTINCT a.i) >= 2")
-def line_vertex_matches(spark, sf):
-    """How many of a line's points a run comes within 25 m of, where it is two or more."""
-    s = track(spark, sf).select(A, "i", "lat", "lon")
-    near = lines.nearby(s.where(f"{A} % 8 < 4 and i <= 12"), s.where(f"{A} % 8 >= 4 and i <= 40"), 25.0)
-    once = near.select(F.col(f"l.{A}").alias("line"), F.col(f"r.{A}").alias("run"), F.col("l.i").alias("i")).distinct()
-    return once.groupBy("line", "run").agg(F.count("*").alias("vertices")).where("vertices >= 2")
-
-
 LAPS = f"{TRACK}, lap AS (SELECT athlete_id, i // 20 AS lap, avg(lat) AS lat, avg(lon) AS lon, max(d) - min(d) + athlete_id % 7 * 60 AS len FROM track GROUP BY 1, 2), loop AS (SELECT athlete_id AS id, avg(lat) AS lat, avg(lon) AS lon, 600.0e0 AS len FROM track WHERE athlete_id % 5 = 0 GROUP BY 1)"
 
 

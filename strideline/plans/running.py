@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strideline.operators import graph, load, ordered, runs
+from strideline.operators import graph, load, ordered, ranking, runs
 from strideline.operators import summaries as sm
 from strideline.plans.catalog import ACT, K, RATIO, REC, STRAIN, _daily, query, r, rounded
 from strideline.sources.archive import typed
@@ -139,13 +139,12 @@ def chip_filter(spark, sf):
     return t.crossJoin(F.broadcast(last)).where("dup_of is null and (run_type = 'easy' or is_long) and run_type not in ('misc') and day >= date_sub(last, 365)").select("activity_id", "day", "run_type", "is_long")  # last is one row
 
 
-@query(f"{RECORDS} SELECT activity_id, CAST(row_number() OVER (ORDER BY day DESC, activity_id) AS INT) AS place FROM run WHERE contains(lower(name), 'run 1') OR contains(lower(strftime(day, '%A, %-d %B %Y')), 'run 1') QUALIFY place <= 50")
+@query(f"{RECORDS} SELECT activity_id, CAST(row_number() OVER (ORDER BY day DESC, activity_id) AS INT) AS place FROM run WHERE contains(lower(name), 'run 1') OR contains(lower(strftime(day, '%A, %-d %B %Y')), 'run 1')")
 def text_search_sorted(spark, sf):
     """Runs whose name or long date holds a text, newest first, with their places."""
     long_date = F.date_format("day", "EEEE, d MMMM yyyy")
     found = run_table(spark, sf).where(F.lower("name").contains("run 1") | F.lower(long_date).contains("run 1"))
-    top = found.orderBy(F.desc("day"), "activity_id").limit(50)
-    return top.select("activity_id", F.row_number().over(W.orderBy(F.desc("day"), "activity_id")).alias("place"))  # 50 rows
+    return ranking.numbered(found.select("activity_id", "day"), [F.desc("day"), F.col("activity_id")], "place").select("activity_id", F.col("place").cast("int").alias("place"))
 
 
 METRICS = "('distance', dist_m / 1000), ('pace', moving_s / 60 / (dist_m / 1000)), ('elevation', gain_m), ('elevation_km', gain_m / (dist_m / 1000)), ('minutes', moving_s / 60), ('hr', hr)"
@@ -295,4 +294,4 @@ def strain_classes(spark, sf):
     b = load.strain_baseline(d, K)
     m = F.when(F.col("monotony") < 1.5, "green").when(F.col("monotony") < 2.0, "amber").otherwise("red")
     s = F.when(F.coalesce("safe", F.lit(0.0)) <= 0, "").when(F.col("strain") < F.col("safe"), "green").when(F.col("strain") < F.col("high"), "amber").otherwise("red")
-    return d.join(F.broadcast(b), K, "left").select(K, "day", m.alias("monotony_class"), s.alias("strain_class"))  # b is a row a squad
+    return d.join(b, K, "left").select(K, "day", m.alias("monotony_class"), s.alias("strain_class"))

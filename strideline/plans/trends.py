@@ -123,9 +123,9 @@ def next_week_volume(spark, sf):
     d = _daily(spark, sf)
     plan = load.plan_targets(d, K).select(K, "target")
     last = d.groupBy(K).agg(F.max("day").alias("last"))  # a row a squad
-    a = activities(spark, sf).join(F.broadcast(last), K).where("day >= date_sub(last, 27)")
+    a = activities(spark, sf).join(last, K).where("day >= date_sub(last, 27)")
     v = a.groupBy(K).agg((F.sum("dist_m") / 1000).alias("km28"), F.sum("gain_m").alias("gain28"), (F.coalesce(F.sum(F.when(F.col("day") >= F.date_sub("last", 6), F.col("dist_m"))), F.lit(0)) / 1000).alias("km7"))
-    l28 = d.join(F.broadcast(last), K).where("day >= date_sub(last, 27)").groupBy(K).agg(F.sum("load").alias("load28"))
+    l28 = d.join(last, K).where("day >= date_sub(last, 27)").groupBy(K).agg(F.sum("load").alias("load28"))
     w = plan.join(v, K).join(l28, K)
     has = F.col("km28") > 0
     km = F.bround(F.col("target") / F.when(has, F.col("load28") / F.col("km28")).otherwise(10.0))
@@ -151,7 +151,7 @@ def critical_speed_zone_time(spark, sf):
     """Time by the zone of each run's average grade-adjusted pace; paces outside all bands count for the nearest."""
     c = sm.critical_speed(_points(spark, sf), K).where("cs > 0").select(K, "cs")
     km = F.col("dist_m") / 1000
-    a = activities(spark, sf).where("dist_m > 0 and moving_s > 0").join(F.broadcast(c), K)  # a row a squad
+    a = activities(spark, sf).where("dist_m > 0 and moving_s > 0").join(c, K)  # a row a squad
     x = ph.ga_seconds(F.col("moving_s"), F.col("gain_m"), km) / km / (1000 / F.col("cs"))
     zone = F.when(x >= 1.155, 0).when(x >= 1.08, 1).when(x >= 1.02, 2).when(x >= 0.97, 3).otherwise(4)
     return a.groupBy(K, zone.alias("zone")).agg(F.sum("moving_s").alias("seconds"))
@@ -248,7 +248,7 @@ def trailing_ranges(spark, sf):
     """Runs of each range up to the newest day, whose first day counts too."""
     a = activities(spark, sf)
     last = a.groupBy(K).agg(F.max("day").alias("last"))  # a row a squad
-    return a.join(F.broadcast(last), K).withColumn("n", F.explode(F.array(*map(F.lit, (30, 90, 180, 365))))).where("day >= date_sub(last, n)").groupBy(K, "n").agg(F.count("*").alias("runs"))
+    return a.join(last, K).withColumn("n", F.explode(F.array(*map(F.lit, (30, 90, 180, 365))))).where("day >= date_sub(last, n)").groupBy(K, "n").agg(F.count("*").alias("runs"))
 
 
 @query(f"{ACT}, m AS (SELECT squad, CAST(date_trunc('month', day) AS DATE) AS month, count(*) AS runs FROM activity GROUP BY 1, 2) SELECT squad, month, runs FROM (SELECT *, row_number() OVER (PARTITION BY squad ORDER BY month DESC) AS q FROM m) x WHERE q <= 12")
@@ -278,17 +278,6 @@ def race_cards(spark, sf):
     return rounded(c.select(K, "name", "pred", F.when(F.col("target").isNull() | over, "amber").otherwise("green").alias("status"), gap.alias("gap"), bar.alias("bar")), "pred")
 
 
-@query(f"""WITH race(n, name, d) AS (SELECT row_number() OVER (), name, d FROM (VALUES {RACES}) v(name, d, t)), std(label, d) AS (VALUES {STANDARD}) SELECT label, std.d, (SELECT min_by(name, n) FROM race WHERE abs(race.d - std.d) / std.d <= 0.02e0) AS race FROM std
-UNION ALL SELECT name, d, name FROM race WHERE NOT EXISTS (SELECT 1 FROM std WHERE abs(race.d - std.d) / std.d <= 0.02e0)""")
-def prediction_distances(spark, sf):
-    """Standard distances with the first configured race within 2 %, and the races that are near none."""
-    race = spark.createDataFrame([(0, "Five", 5000.0), (1, "Local ten", 10150.0), (2, "Half", 21097.5), (3, "Odd", 12345.0)], "n int, name string, rd double")
-    std = spark.createDataFrame([("5 km", 5000.0), ("10 km", 10000.0), ("15 km", 15000.0), ("Half", 21097.5)], "label string, d double")
-    near = F.abs(F.col("rd") - F.col("d")) / F.col("d") <= 0.02
-    a = std.join(F.broadcast(race), near, "left").groupBy("label", "d").agg(F.min_by("name", "n").alias("race"))  # a few configured rows
-    return a.union(race.join(F.broadcast(std), near, "left_anti").select("name", "rd", "name"))
-
-
 @query(f"{CURVE}, p AS (SELECT p.squad, p.label, best_s / (p.band_m / 1000) AS cur, a * pow(p.band_m, b) / (p.band_m / 1000) * 0.97e0 AS lo, a * pow(p.band_m, b) / (p.band_m / 1000) * 1.003e0 AS hi FROM points p JOIN curve USING (squad)), q AS (SELECT *, CAST(CASE WHEN cur > hi THEN floor(cur - hi) ELSE floor(abs(lo - cur)) END AS BIGINT) AS g FROM p) SELECT squad, label, CASE WHEN cur <= lo THEN 'exceeds' WHEN cur <= hi THEN 'on target' ELSE 'below target' END AS status, CASE WHEN cur <= hi THEN '-' ELSE '+' END || CASE WHEN g >= 60 THEN (g // 60) || ':' || lpad(CAST(g % 60 AS VARCHAR), 2, '0') ELSE CAST(g AS VARCHAR) END || 's/km' AS gap FROM q")
 def speed_status(spark, sf):
     """How each best pace stands against its target range."""
@@ -318,7 +307,7 @@ def rest_preview_all(spark, sf):
     """The load figures as they will stand after 0 to 7 days of rest; only the last 28 days decide them."""
     d = _daily(spark, sf)
     last = d.groupBy(K).agg(F.max("i").alias("l"))  # a row a squad
-    near = d.join(F.broadcast(last), K).where("i > l - 28").select(K, "i", "load", "l")
+    near = d.join(last, K).where("i > l - 28").select(K, "i", "load", "l")
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long")))
     rest = last.withColumn("k", k).where("k > 0").withColumn("i", F.explode(F.expr("sequence(l + 1, l + cast(k as int))"))).select(K, "k", "i", F.lit(0.0).alias("load"), "l")
     ext = near.withColumn("k", k).select(K, "k", "i", "load", "l").union(rest).withColumn("at", F.col("l") + F.col("k"))

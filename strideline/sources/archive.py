@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import zipfile
 from dataclasses import dataclass, field
@@ -79,12 +80,18 @@ def recordings(files: DataFrame, path_col: str = "path") -> DataFrame:
     return f.groupBy("recording").agg(F.max_by("path", F.struct(F.col("path").endswith(".gz"), F.col("path"))).alias("path"))
 
 
-def parsed_before(snapshot: DataFrame, id_col: str = "fit_file") -> DataFrame:
-    """Of an earlier result the first row of each recording in which anything was parsed, so that failed ones are read again."""
+def parsed_before(snapshot: DataFrame, id_col: str = "fit_file", order: list[str] | None = None) -> DataFrame:
+    """Of an earlier result the first row of each recording in which anything was parsed, so that failed ones are read again.
+
+    First is by the columns in `order`, then by all columns, so that it doesn't depend on how files are split: rows of one
+    recording were parsed from the same bytes and differ in the export's columns only.
+    """
     parsed = [c for c in snapshot.columns if c.startswith("fit_") and c != id_col]
     some = F.greatest(*(F.coalesce(F.col(f"`{c}`").cast("string") != "", F.lit(False)) for c in parsed), F.lit(False))
-    numbered = snapshot.where(F.coalesce(F.col(id_col), F.lit("")) != "").where(some).withColumn("_row", F.monotonically_increasing_id())
-    return numbered.withColumn("_first", F.row_number().over(W.partitionBy(id_col).orderBy("_row"))).where("_first = 1").drop("_row", "_first")
+    rows = snapshot.where(F.coalesce(F.col(id_col), F.lit("")) != "").where(some)
+    key = F.struct(*(F.col(f"`{c}`") for c in order or []), F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(snapshot.columns)))))
+    first = rows.groupBy(id_col).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in snapshot.columns)), key).alias("_r"))
+    return first.select("_r.*")
 
 
 def still_to_parse(files: DataFrame, done: DataFrame) -> DataFrame:
@@ -131,41 +138,63 @@ class Settings:
 
 
 def _whole(v, lo: int, hi: int) -> int | None:
-    return int(v) if isinstance(v, int | float) and not isinstance(v, bool) and lo <= v <= hi else None
+    """A whole number, also one that is written as text, within bounds."""
+    try:
+        n = int(v)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    return n if not isinstance(v, bool) and lo <= n <= hi else None
 
 
-def _race(x) -> Race | None:
+def _real(v) -> float | None:
     try:
-        name, dist = str(x["name"]), float(x["distance_m"])
-    except (KeyError, TypeError, ValueError):
+        x = float(v)
+    except (TypeError, ValueError):
         return None
-    if not name or dist <= 0:
+    return x if not isinstance(v, bool) and math.isfinite(x) else None
+
+
+def _text(v) -> str:
+    return "" if v is None else str(v).strip()
+
+
+def _race(x: dict) -> Race | None:
+    name, dist = _text(x.get("name")), _real(x.get("distance_m"))
+    wave, target = x.get("target_wave_s"), x.get("target_time_s")
+    times = [None if target is None else _whole(target, 1, 10**7), *([_whole(w, 0, 10**7) for w in wave[:2]] if isinstance(wave, list) and len(wave) > 1 else [])]
+    if not name or not dist or dist <= 0 or (target is not None and times[0] is None) or (wave and (len(times) < 3 or None in times[1:])):
         return None
-    date = x.get("date")
-    date = date if isinstance(date, str) and re.fullmatch(r"\d{4}-\d{2}(-\d{2})?", date) else None
-    wave = x.get("target_wave_s")
-    wave = (int(wave[0]), int(wave[1])) if isinstance(wave, list) and len(wave) == 2 and all(isinstance(w, int | float) for w in wave) else None
-    return Race(name, dist, date, _whole(x.get("target_time_s"), 1, 10**7), wave, str(x.get("notes") or ""), str(x["activity_id"]) if x.get("activity_id") else None)
+    date = _text(x.get("date"))
+    return Race(name, dist, date if re.fullmatch(r"\d{4}-\d{2}(-\d{2})?", date) else None, times[0], tuple(times[1:]) or None, str(x.get("notes") or ""), _text(x.get("activity_id")) or None)
+
+
+def _anchor(x: dict) -> dict | None:
+    at = [_real(v) for v in x["center"][:2]] if isinstance(x.get("center"), list) else []
+    length = _real(x.get("len_m"))
+    return {"name": str(x["name"]), "center": at, "len_m": length} if x.get("name") is not None and len(at) == 2 and None not in at and length is not None and length > 0 else None
+
+
+#: How each sex may be written.
+SEXES = {"m": "M", "male": "M", "f": "F", "female": "F"}
 
 
 def settings(path: str) -> Settings:
     """The settings file. It never fails: a missing or corrupt file gives defaults, and a malformed entry is left out by
-    itself."""
+    itself. Numbers may be text, ids lose the blanks around them; blank ids and pairs of one id are left out."""
     try:
-        raw = json.loads(Path(path).read_text())
+        raw = json.loads(Path(path).read_text(encoding="utf-8"))
     except (OSError, ValueError):
         return Settings()
     if not isinstance(raw, dict):
         return Settings()
-    part = lambda k, kind: raw[k] if isinstance(raw.get(k), kind) else kind()
-    dup, body = part("duplicates", dict), part("physiology", dict)
-    pairs = tuple((str(p[0]), str(p[1])) for p in dup.get("not_duplicates") or [] if isinstance(p, list) and len(p) == 2)
-    forced = {str(a): str(b) for a, b in (dup.get("force_duplicate") or {}).items() if b} if isinstance(dup.get("force_duplicate"), dict) else {}
-    anchors = tuple(a for a in part("segment_anchors", list) if isinstance(a, dict) and isinstance(a.get("center"), list) and len(a["center"]) == 2 and _whole(a.get("len_m"), 1, 10**6))
-    sex = body.get("sex") if body.get("sex") in ("male", "female") else None
+    part = lambda of, k, kind: of[k] if isinstance(of.get(k), kind) else kind()
+    dup, body = part(raw, "duplicates", dict), part(raw, "physiology", dict)
+    named = lambda rows: [(a, b) for a, b in ((_text(a), _text(b)) for a, b in rows) if a and b and a != b]
+    pairs = named(p[:2] for p in part(dup, "not_duplicates", list) if isinstance(p, list) and len(p) > 1)
     return Settings(
-        tuple(r for r in map(_race, part("races", list)) if r), anchors, pairs, forced, tuple(map(str, dup.get("force_primary") or [])),
-        _whole(body.get("hr_max"), 120, 230), _whole(body.get("hr_rest"), 30, 100), _whole(body.get("age"), 5, 100), sex,
+        tuple(r for x in part(raw, "races", list) if isinstance(x, dict) and (r := _race(x))), tuple(a for x in part(raw, "segment_anchors", list) if isinstance(x, dict) and (a := _anchor(x))),
+        tuple(pairs), dict(named(part(dup, "force_duplicate", dict).items())), tuple(a for x in part(dup, "force_primary", list) if (a := _text(x))),
+        _whole(body.get("hr_max"), 120, 230), _whole(body.get("hr_rest"), 25, 100), _whole(body.get("age"), 5, 100), SEXES.get(_text(body.get("sex")).lower()),
     )
 
 
@@ -210,19 +239,19 @@ def kept_or_made(spark: SparkSession, folder: str, signature: str, make, force:
 
 
 def read_age_factors(spark: SparkSession, path: str) -> DataFrame:
-    """sex, label, age, factor, open_s of a published table in JSON ({sex: {label: {age_min, open_s, factors}}}); what isn't
-    there or isn't well-formed gives no rows."""
-    rows = []
+    """sex, label, age, factor, open_s of a published table in JSON ({sex: {label: {age_min, open_s, factors}}}); other
+    entries, as its source, and what isn't there or isn't well-formed give no rows."""
     try:
-        raw = json.loads(Path(path).read_text())
-        for sex, by_label in raw.items():
-            for label, e in by_label.items():
-                try:
-                    rows += [(sex, label, int(e["age_min"]) + i, float(f), float(e["open_s"])) for i, f in enumerate(e["factors"])]
-                except (KeyError, TypeError, ValueError):
-                    continue
-    except (OSError, ValueError, AttributeError):
-        rows = []
+        raw = json.loads(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError):
+        raw = {}
+    rows = []
+    for sex, by_label in raw.items() if isinstance(raw, dict) else []:
+        for label, e in by_label.items() if isinstance(by_label, dict) else []:
+            try:
+                rows += [(sex, label, int(e["age_min"]) + i, float(f), float(e["open_s"])) for i, f in enumerate(e["factors"])]
+            except (KeyError, TypeError, ValueError):
+                continue
     return spark.createDataFrame(rows, "sex string, label string, age long, factor double, open_s double")
 
 

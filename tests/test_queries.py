@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from strideline.plans import catalog, geometry, matches, places, running, trends  # noqa: F401  the others add to the catalog
+from strideline.plans import catalog, geometry, matches, mining, places, running, trends  # noqa: F401  the others add to the catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -60,5 +60,5 @@ def test_every_run_has_a_threshold_of_its_era(spark, monkeypatch):
     df = spark.createDataFrame(runs, "activity_id long, squad long, n int, dist_m long, moving_s long").withColumn("day", F.expr("date_add(date'2000-01-01', n)")).drop("n")
     monkeypatch.setattr(catalog, "activities", lambda *_: df)
     got = {r.activity_id: (r.era, r.ratio) for r in catalog.threshold_of_every_run(spark, "").collect()}
-    near, far = (round(5 / 6, 4), 0.8), (1.0, round(4 / 6, 4))
+    near, far = (round(5 / 6, 9), 0.8), (1.0, round(4 / 6, 9))
     assert got == {1: (near[0], 1.0), 2: near, 3: near, 4: near, 5: near, 6: far, 7: (1.0, 1.0), 8: (1.0, None)}

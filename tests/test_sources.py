@@ -257,3 +257,34 @@ def test_compiling_an_export_twice_reads_it_once(spark, folder, tmp_path):
     assert [r.activity_id for r in one.collect()] == ["1"]
     archive.compile_export(spark, str(folder / "export_1"), out, fit, sport="running")
     assert len([p for p in os.listdir(out) if not p.startswith(".")]) == 1
+
+
+def test_settings_as_they_are_documented(tmp_path):
+    """Numbers in text, both ways to write a sex, ids with blanks, blank and equal ids, help entries."""
+    (tmp_path / "c.json").write_text(json.dumps({
+        "_races_help": ["x"], "races": [{"name": "14 km", "distance_m": "14000", "date": "2026-08", "target_time_s": "4200", "activity_id": " 12 "}, {"name": "Half", "distance_m": 21097.5, "target_wave_s": ["6000", 7200]}, {"name": "bad", "distance_m": "x"}, {"name": "bad", "distance_m": 5, "target_time_s": "soon"}, 7],
+        "segment_anchors": [{"name": "H", "center": ["52.1", 5], "len_m": "300"}, {"center": [1, 2], "len_m": 3}, {"name": "H", "center": [1], "len_m": 3}, {"name": "H", "center": [1, 2], "len_m": "x"}],
+        "physiology": {"hr_max": "190", "hr_rest": 25, "age": "35", "sex": "F"},
+        "duplicates": {"not_duplicates": [[" 1 ", 2], ["3", "3"], ["", "4"], ["5"], 6], "force_duplicate": {" 7": "8 ", "1": "1", "2": ""}, "force_primary": [" 9 ", "", 10]},
+    }))
+    s = archive.settings(str(tmp_path / "c.json"))
+    assert [(r.name, r.distance_m, r.date, r.target_time_s, r.target_wave_s, r.activity_id) for r in s.races] == [("14 km", 14000.0, "2026-08", 4200, None, "12"), ("Half", 21097.5, None, None, (6000, 7200), None)]
+    assert [(a["center"], a["len_m"]) for a in s.segment_anchors] == [([52.1, 5.0], 300.0)]
+    assert (s.hr_max, s.hr_rest, s.age, s.sex) == (190, 25, 35, "F") and s.not_duplicates == (("1", "2"),) and s.force_duplicate == {"7": "8"} and s.force_primary == ("9", "10")
+    for sex, want in (("m", "M"), (" Male ", "M"), ("female", "F"), ("x", None), (None, None)):
+        (tmp_path / "c.json").write_text(json.dumps({"physiology": {"sex": sex, "hr_rest": 24, "hr_max": "many", "age": True}}))
+        s = archive.settings(str(tmp_path / "c.json"))
+        assert (s.sex, s.hr_rest, s.hr_max, s.age) == (want, None, None, None)
+
+
+def test_published_age_factors_with_a_source_entry(spark, tmp_path):
+    (tmp_path / "f.json").write_text(json.dumps({"source": "standards of a year", "M": {"best_1mi_s": {"dist_m": 1609.344, "open_s": 227.0, "age_min": 5, "factors": [0.6, 0.65]}, "note": "x"}, "F": {"best_5k_s": {"open_s": 850, "age_min": "6", "factors": [0.7]}}}))
+    got = sorted(tuple(r) for r in archive.read_age_factors(spark, str(tmp_path / "f.json")).collect())
+    assert got == [("F", "best_5k_s", 6, 0.7, 850.0), ("M", "best_1mi_s", 5, 0.6, 227.0), ("M", "best_1mi_s", 6, 0.65, 227.0)]
+
+
+def test_the_first_parsed_row_does_not_depend_on_files(spark):
+    rows = [("a", "x", "z"), ("a", None, "b"), ("a", "x", "y"), ("b", None, "q"), (None, "x", "r")]
+    for n in (1, 4):
+        got = archive.parsed_before(spark.createDataFrame(rows, "fit_file string, fit_sport string, name string").repartition(n)).collect()
+        assert [tuple(r) for r in got] == [("a", "x", "y")]
