@@ -6,7 +6,8 @@ text's table is as large as its own digests need: it starts near 1.3 cells a dig
 all of them, so its size depends on the text alone. Two tables are compared by themselves: the larger is folded to the
 smaller's size (sizes are powers of two), one is subtracted from the other, and peeling recovers the differing digests: a
 cell with one digest gives it away, and taking it out of its other cells frees more. Where that gets stuck, because too
-much differs for the size, both tables are peeled by themselves and the digests compared.
+much differs for the size, both texts are sketched again twice as large and subtracted again, until peeling ends. Where
+only the written fingerprints are at hand (`likeness`), each of them is peeled by itself instead.
 """
 
 from __future__ import annotations
@@ -154,13 +155,13 @@ def _split(owner: np.ndarray, key: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 class Fingerprints:
-    """The tables of some texts, of a size each, and the digests that peeling recovers from them."""
+    """The tables of some texts, of a size each; the digests stay for larger tables, which a comparison may ask for."""
 
     def __init__(self, lists: list[np.ndarray]):
         self.size = [max(1, int(np.ceil(np.log2(max(1.3 * len(d), 6) / 3)))) for d in lists]
         self.place: list[tuple[int, int]] = [(0, 0)] * len(lists)
         self.tables: list[Sketches] = []
-        self.recovered = lists
+        self.lists = lists
         todo = list(range(len(lists)))
         while todo:
             k = min(self.size[i] for i in todo)
@@ -182,29 +183,42 @@ class Fingerprints:
         return [done.setdefault(t, self.tables[t].texts())[row] if t not in done else done[t][row] for t, row in self.place]
 
 
-def differing(a: Fingerprints, rows_a: list[int], b: Fingerprints, rows_b: list[int]) -> np.ndarray:
-    """How many digests only one of each two tables holds, found from the tables."""
-    out = np.full(len(rows_a), -1, np.int64)
+def differing(a: Fingerprints, rows_a: list[int], b: Fingerprints, rows_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """How many digests only one of each two texts has, by subtracting and peeling tables alone, and how often these had to
+    be made larger for that."""
+    apart, retries = np.zeros(len(rows_a), np.int64), np.zeros(len(rows_a), np.int64)
+    stuck: dict[int, list[int]] = {}
+
+    def settle(some: list[int], x: Sketches, y: Sketches) -> None:
+        owner, _, done = x.minus(y).peel()
+        apart[some] = np.bincount(owner, minlength=len(some))
+        if again := [i for i, ok in zip(some, done.tolist(), strict=True) if not ok]:
+            retries[again] += 1
+            stuck.setdefault(x.k + 1, []).extend(again)
+
     groups: dict[tuple[int, int], list[int]] = {}
     for i, (x, y) in enumerate(zip(rows_a, rows_b, strict=True)):
         groups.setdefault((a.place[x][0], b.place[y][0]), []).append(i)
     for (s, t), some in groups.items():
         k = min(a.tables[s].k, b.tables[t].k)
-        x, y = (p.tables[u].some(np.array([p.place[rows[i]][1] for i in some]), k) for p, u, rows in ((a, s, rows_a), (b, t, rows_b)))
-        owner, _, done = x.minus(y).peel()
-        n = np.bincount(owner, minlength=len(some))
-        for i, found, ok in zip(some, n.tolist(), done.tolist(), strict=True):
-            out[i] = found if ok else len(np.setxor1d(a.recovered[rows_a[i]], b.recovered[rows_b[i]], assume_unique=True))
-    return out
-
-
-def likenesses(a: Fingerprints, rows_a: list[int], b: Fingerprints, rows_b: list[int]) -> list[float]:
-    """Shared digests over all digests; 1 for two empty texts."""
+        settle(some, *(p.tables[u].some(np.array([p.place[rows[i]][1] for i in some]), k) for p, u, rows in ((a, s, rows_a), (b, t, rows_b))))
+    while stuck:
+        k = min(stuck)
+        some = stuck.pop(k)
+        for at in range(0, len(some), step := max(1, MOST_CELLS // (3 << k))):
+            now = some[at : at + step]
+            settle(now, Sketches.of([a.lists[rows_a[i]] for i in now], k), Sketches.of([b.lists[rows_b[i]] for i in now], k))
+    return apart, retries
+
+
+def likenesses(a: Fingerprints, rows_a: list[int], b: Fingerprints, rows_b: list[int]) -> tuple[list[float], list[int]]:
+    """Shared digests over all digests (1 for two empty texts), and the retries."""
     out = []
-    for i, j, apart in zip(rows_a, rows_b, differing(a, rows_a, b, rows_b).tolist(), strict=True):
-        shared = (len(a.recovered[i]) + len(b.recovered[j]) - apart) / 2
-        out.append(shared / (shared + apart) if shared + apart else 1.0)
-    return out
+    apart, retries = differing(a, rows_a, b, rows_b)
+    for i, j, n in zip(rows_a, rows_b, apart.tolist(), strict=True):
+        shared = (len(a.lists[i]) + len(b.lists[j]) - n) / 2
+        out.append(shared / (shared + n) if shared + n else 1.0)
+    return out, retries.tolist()
 
 
 def likeness(x: str, y: str) -> float:
@@ -218,7 +232,7 @@ def likeness(x: str, y: str) -> float:
     return shared / (shared + apart) if shared + apart else 1.0
 
 
-FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_retries int, next_retries int"
 _LEAST = -(1 << 63)
 
 
@@ -315,9 +329,10 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             own, new = Fingerprints([d[5] for d in docs]), Fingerprints(digests(edited))
             at, then = [i for i, *_ in pairs], [j for _, j, _ in pairs]
             marks = own.texts()
+            near, tries = zip(likenesses(own, at, new, list(range(len(pairs)))), likenesses(own, at, own, then), strict=True)
             cols = (
                 [docs[i][3] for i in at], [len(docs[i][4].decode()) for i in at], [hashlib.sha256(x).hexdigest() for x in edited],
-                [marks[i] for i in at], new.texts(), likenesses(own, at, new, list(range(len(pairs)))), likenesses(own, at, own, then),
+                [marks[i] for i in at], new.texts(), *near, *tries,
             )
             times = [n for *_, n in pairs]
             cols = [[v for v, n in zip(c, times, strict=True) for _ in range(n)] for c in cols] if max(times) > 1 else cols
