@@ -79,14 +79,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def cards_within(text: str, m: re.Match) -> Iterator[tuple[int, int]]:
     """Cards in a match of digits that is none as a whole: from one border of its groups of digits to another, 13 to 19
-    digits that pass Luhn; the leftmost first, of those from one border the longest."""
+    digits that pass Luhn, in groups of three or more (so no dates); the leftmost first, of those from one border the longest."""
     groups = [(m.start() + g.start(), m.start() + g.end()) for g in re.finditer("[0-9]+", m[0])]
     i = 0
     while i < len(groups):
         n, last = 0, None
         for j in range(i, len(groups)):
-            n += groups[j][1] - groups[j][0]
-            if n > 19:
+            size = groups[j][1] - groups[j][0]
+            n += size
+            if n > 19 or size < 3:
                 break
             if n >= 13 and _luhn(_digits.sub("", text[groups[i][0] : groups[j][1]])):
                 last = j

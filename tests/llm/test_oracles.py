@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got = con.execute(queries.ORACLE_SQL[name])
     cols = sorted(c[0] for c in got.description)
