@@ -2,12 +2,13 @@
 
 1. Words are counted per language. A word is known by a 64-bit hash from there on; a second seed is tried should two words
    share one.
-2. A bit table of fixed size says which words reach the least count, a counter table of fixed size which pairs can. Where
-   a word or pair can't, no phrase that is asked for crosses, so the windows of four words end there.
-3. Each shard keeps its windows as a count trie of depth four: sorted rows of four hashes, those after the end zero. A
-   node is a run of rows with one prefix, its count the run's sum.
-4. The shards' sorted rows are merged by ranges of prefixes, and a walk over a range closes node after node, holding one
-   open node a depth. The first and the last node of a range may go on in another one and are summed once more.
+2. A bit table of fixed size says which words reach the least count, a counter table of fixed size which pairs of such words
+   can. No phrase that is asked for crosses what can't, so the windows of four words end there.
+3. Each shard keeps its windows as a count trie of depth four: sorted rows of four hashes, those after the end zero, and how
+   often each is there. A node is a run of rows with one prefix, its count the run's sum.
+4. A trie leaves its shard serialised, cut into ranges of prefixes of two words (by a hash of these, so a common word's
+   phrases are in all ranges). A range's sorted pieces from all shards are merged, and a walk over the merged rows gives
+   its nodes; only those that are frequent enough come out.
 5. A node's parent is what is left without its last word, its suffix link leads to what is left without its first. The
    counts along the parents are the left parts of its cuts, those along the links the right parts. A phrase inside a
    longer one that is nearly as frequent goes; it suffices to look at phrases one word longer, as these hold the others.
@@ -24,19 +25,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, destroyed, dropped, saved, slices, spread, summed_counts, word_lists
+from .common import Blocks, arrow_schema, destroyed, dropped, give_back, grid, kept, saved, slices, spread, summed_counts, word_lists
 from .components import salted
 from .jaccard import mixed
 
 DEPTH, LEAST, TOP, SHARE = 4, 30, 2000, 80
 #: Bits of the table of frequent words (1 MB) and counters of the table of pairs (64 MB in a task).
-WORD_BITS, PAIR_COUNTERS = 1 << 23, 1 << 24
+WORD_BITS, COUNTERS = 1 << 23, 1 << 24
+#: Words whose codes a task remembers.
+REMEMBERED = 300_000
 #: A mark that no word can hold stands for each place where a text is split; line ends of all kinds are such places.
 BREAK = b"."
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
 #: Windows that a task keeps before it writes its trie.
 HELD = 2_000_000
-NODE = "lang string, depth int, " + ", ".join(f"c{i} long" for i in range(DEPTH)) + ", f long, whole boolean"
+NODE = "lang string, depth int, g array<bigint>, f long"
+#: Words of the corpus for a range: the windows of a range are far fewer.
+RANGE_WORDS = 4_000_000
 
 
 def marked_words(texts: list[str]) -> Iterator[list[bytes]]:
@@ -70,10 +75,49 @@ def word_slots(c: np.ndarray, lang: str) -> np.ndarray:
     return (mixed(c ^ salt_of(lang)) % np.uint64(WORD_BITS)).astype(np.int64)
 
 
-def pair_slots(c: np.ndarray, lang: str) -> np.ndarray:
-    """The counter of each pair of neighbours."""
+def slots(h: np.ndarray, lang: str) -> np.ndarray:
+    """The counter of each two neighbours."""
     with np.errstate(over="ignore"):
-        return (mixed(c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:] ^ salt_of(lang)) % np.uint64(PAIR_COUNTERS)).astype(np.int64)
+        return (mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] ^ salt_of(lang)) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def set_bits(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of these bits of a packed table are set."""
+    return bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
+
+
+class Coder(dict):
+    """Words of a language to codes, 0 for breaks and for words whose bit isn't set; remembers REMEMBERED of them, or a list's."""
+
+    def __init__(self, lang: str, seed: int, bits: np.ndarray):
+        self.lang, self.seed, self.bits = lang, seed, bits
+
+    def learn(self, words: list[bytes]) -> None:
+        new = [w for w in set(words) if w not in self]
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = list(set(words))
+        if new:
+            c = codes(new, self.seed)
+            c[~set_bits(self.bits, word_slots(c, self.lang))] = 0
+            self.update(zip(new, c.tolist(), strict=True))
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        parts = []
+        for words in marked_words(texts):
+            self.learn(words)
+            parts.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
+        return np.concatenate(parts)
+
+
+def coder(lang: str, seed: int, bits: np.ndarray) -> Coder:
+    """This task's coder; `slices` clears what tasks before it kept."""
+    held = kept("codes")
+    if sum(map(len, held.values())) > REMEMBERED:
+        held.clear()
+    if lang not in held:
+        held[lang] = Coder(lang, seed, bits)
+    return held[lang]
 
 
 def count_words(texts: DataFrame, seed: int) -> DataFrame:
@@ -114,28 +158,16 @@ def bits_of(frequent: DataFrame) -> np.ndarray:
     return np.packbits(summed_counts(frequent.select("lang", "code"), mark, WORD_BITS) > 0)
 
 
-def frequent_codes(texts: list[str], lang: str, seed: int, bits: np.ndarray) -> np.ndarray:
-    """The codes of all words in order; 0 for breaks and words whose bit isn't set."""
-    parts = []
-    for words in marked_words(texts):
-        c = codes(words, seed)
-        at = word_slots(c, lang)
-        c[(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1) == 0] = 0
-        parts.append(c)
-    return np.concatenate(parts)
-
-
-def pair_counts(texts: DataFrame, seed: int, bits: np.ndarray, least: int) -> np.ndarray:
+def pair_bits(texts: DataFrame, seed: int, bits: np.ndarray, least: int) -> np.ndarray:
     """A bit for each counter of pairs that reaches least, packed: 2 MB. Pairs share counters, so none that reaches it is lost."""
     sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def count(c: np.ndarray, b: pa.RecordBatch) -> None:
         for lang, some in by_language(b):
-            h = frequent_codes(some, lang, seed, sent.value)
-            at = pair_slots(h, lang)[(h[:-1] != 0) & (h[1:] != 0)]
-            np.add.at(c, at, 1)
+            h = coder(lang, seed, sent.value).of(some)
+            np.add.at(c, slots(h, lang)[(h[:-1] != 0) & (h[1:] != 0)], 1)
 
-    out = np.packbits(summed_counts(texts, count, PAIR_COUNTERS) >= least)
+    out = np.packbits(summed_counts(texts, count, COUNTERS) >= least)
     destroyed(sent)
     return out
 
@@ -153,105 +185,75 @@ def windows(h: np.ndarray, go_on: np.ndarray) -> np.ndarray:
     return out
 
 
-def trie_rows(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct windows in order, as signed numbers, and how often each is there."""
-    w = np.concatenate(parts).view(np.int64)
-    w = w[np.lexsort(w.T[::-1])]
-    first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]).any(axis=1)))
-    return w[first], np.diff(np.append(first, len(w)))
+def trie_rows(w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows in order and their counts, of rows that may be sorted in pieces; the sort goes through such
+    pieces as runs."""
+    order = np.arange(len(w))
+    for d in reversed(range(DEPTH)):
+        order = order[np.argsort(w[order, d], kind="stable")]
+    w, n = w[order], n[order]
+    first = np.flatnonzero(np.append(True, (w[1:] != w[:-1]).any(axis=1))) if len(w) else np.zeros(0, np.int64)
+    return w[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def shard_tries(texts: DataFrame, seed: int, bits: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """lang, c0 to c3, n: the sorted tries of all shards, saved."""
-    schema = "lang string, " + ", ".join(f"c{i} long" for i in range(DEPTH)) + ", n long"
-    out = arrow_schema(schema)
+_TYPES = ["<u8"] * DEPTH + ["<i8"]
+
+
+def shard_tries(texts: DataFrame, seed: int, bits: np.ndarray, pairs: np.ndarray, n_ranges: int) -> DataFrame:
+    """lang, block and the packed pieces of all shards' sorted tries."""
     sent = texts.sparkSession.sparkContext.broadcast((bits, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
-        word_bits, pair_bits = sent.value
+        word_bits, pair_bits_ = sent.value
 
         def emptied() -> Iterator[pa.RecordBatch]:
-            for lang in sorted(x for x in held if any(map(len, held[x]))):
-                w, n = trie_rows(held[lang])
-                for i in range(0, len(n), 50_000):
-                    m = len(n[i : i + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), *(pa.array(w[i : i + m, d]) for d in range(DEPTH)), pa.array(n[i : i + m])], schema=out)
+            for lang in sorted(held):
+                w = np.concatenate(held[lang])
+                w, n = trie_rows(w, np.ones(len(w), np.int64))
+                with np.errstate(over="ignore"):
+                    block = (mixed(w[:, 0] * np.uint64(0xC2B2AE3D27D4EB4F) + w[:, 1]) % np.uint64(n_ranges)).astype(np.int64)
+                for b in Blocks.pack((block, list(zip([*w.T, n], _TYPES, strict=True)))) if len(n) else ():
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * b.num_rows, pa.string()), *b.columns], ["lang", *b.schema.names])
             held.clear()
 
         for b in slices(batches):
             for lang, some in by_language(b):
-                h = frequent_codes(some, lang, seed, word_bits)
-                at = pair_slots(h, lang)
-                go_on = (h[:-1] != 0) & (h[1:] != 0) & (pair_bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0)
+                h = coder(lang, seed, word_bits).of(some)
+                go_on = (h[:-1] != 0) & (h[1:] != 0)
+                go_on[go_on] = set_bits(pair_bits_, slots(h, lang)[go_on])
                 held.setdefault(lang, []).append(windows(h, go_on))
             if sum(len(w) for x in held.values() for w in x) > HELD:
                 yield from emptied()
         yield from emptied()
 
-    tries = saved(texts.mapInArrow(run, schema))
-    destroyed(sent)
-    return tries
-
-
-def walk(batches: Iterator[pa.RecordBatch], least: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The nodes of depth 2 and more of a range of sorted rows; those that begin or end the range are not whole, of the others
-    only what reaches least comes out."""
-    still: dict[int, list] = {}  # for each depth the open node: language, codes, count, whole so far
-
-    def rows(nodes: list[tuple], depth: int) -> pa.RecordBatch:
-        cols = list(zip(*nodes, strict=True))
-        keys = np.concatenate(cols[1]).reshape(len(nodes), depth)
-        pad = np.zeros(len(nodes), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array([depth] * len(nodes), pa.int32()), *(pa.array(keys[:, d] if d < depth else pad) for d in range(DEPTH)), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_())], schema=out)
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        langs = b.column(0).dictionary_encode()
-        names, lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()
-        c, n = np.stack([b.column(1 + d).to_numpy() for d in range(DEPTH)], axis=1), b.column(1 + DEPTH).to_numpy()
-        changed = np.append(True, lang[1:] != lang[:-1])
-        changed[1:] |= c[1:, 0] != c[:-1, 0]
-        for depth in range(2, DEPTH + 1):
-            changed[1:] |= c[1:, depth - 1] != c[:-1, depth - 1]
-            starts = np.flatnonzero(changed)
-            sums = np.add.reduceat(n, starts)
-            got = []
-            head = (names[lang[0]], c[0, :depth])
-            if depth not in still:
-                still[depth] = [*head, 0, False]
-            elif still[depth][0] != head[0] or (still[depth][1] != head[1]).any():
-                got.append(tuple(still[depth]))
-                still[depth] = [*head, 0, True]
-            still[depth][2] += int(sums[0])
-            if len(starts) > 1:
-                got.append(tuple(still[depth]))
-                inner = np.arange(1, len(starts) - 1)
-                inner = inner[sums[inner] >= least]
-                got += [(names[lang[s]], c[s, :depth], int(k), True) for s, k in zip(starts[inner].tolist(), sums[inner].tolist(), strict=True)]
-                s = starts[-1]
-                still[depth] = [names[lang[s]], c[s, :depth], int(sums[-1]), True]
-            got = [x for x in got if x[1][-1] != 0 and (not x[3] or x[2] >= least)]
-            if got:
-                yield rows(got, depth)
-    for depth, x in still.items():
-        if x[1][-1] != 0:
-            yield rows([(*x[:3], False)], depth)
-
-
-def frequent_nodes(tries: DataFrame, least: int, per_range: int = 1_000_000) -> DataFrame:
-    """lang, depth, g (codes), f: the nodes of depth 2 and more that reach least, saved."""
-    keys = ["lang", *(f"c{i}" for i in range(DEPTH))]
-    n_ranges = max(-(-tries.count() // per_range), int(tries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    merged = tries.repartitionByRange(n_ranges, *keys).sortWithinPartitions(*keys)
+    return texts.mapInArrow(run, "lang string, " + Blocks.schema(len(_TYPES)))
+
+
+def walk(w: np.ndarray, n: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Depth, keys and counts of the nodes of depth 2 and more of sorted rows that reach least."""
+    changed = np.append(True, w[1:, 0] != w[:-1, 0]) if len(w) else np.zeros(0, bool)
+    for depth in range(2, DEPTH + 1):
+        changed[1:] |= w[1:, depth - 1] != w[:-1, depth - 1]
+        starts = np.flatnonzero(changed)
+        f = np.add.reduceat(n, starts) if len(starts) else n
+        some = (f >= least) & (w[starts, depth - 1] != 0)
+        yield depth, w[starts[some], :depth], f[some]
+
+
+def frequent_nodes(tries: DataFrame, least: int) -> DataFrame:
+    """NODE rows: the nodes of depth 2 and more that reach least, saved."""
     out = arrow_schema(NODE)
-    nodes = saved(merged.mapInArrow(lambda batches: walk(batches, least, out), NODE))
-    ends = nodes.where("not whole").groupBy("depth", *keys).agg(F.sum("f").alias("f"))
-    named = [*keys, "depth", "f"]
-    out = saved(nodes.where("whole").select(*named).union(ends.select(*named)).where(F.col("f") >= least).select("lang", "depth", F.slice(F.array(*keys[1:]), F.lit(1), F.col("depth")).alias("g"), "f"))
-    dropped(nodes)
-    return out
+
+    def merge(keys: tuple[pa.Scalar, ...], tab: pa.Table) -> pa.Table:
+        *c, n = Blocks.unpack(tab, _TYPES)
+        found = list(walk(*trie_rows(np.stack(c, axis=1), n), least))
+        g = pa.chunked_array([pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(k).view(np.int64).ravel()), d).cast(pa.list_(pa.int64())) for d, k, _ in found])
+        f, depth = np.concatenate([x for *_, x in found]), np.concatenate([np.full(len(x), d, np.int32) for d, _, x in found])
+        give_back()
+        return pa.table({"lang": pa.array([keys[0].as_py()] * len(f), pa.string()), "depth": pa.array(depth), "g": g, "f": pa.array(f)}).cast(out)
+
+    return saved(tries.groupBy("lang", "block").applyInArrow(merge, NODE))
 
 
 def score(a: Column, parts: Column) -> Column:
@@ -294,16 +296,16 @@ def top_phrases(df: DataFrame, least: int = LEAST, top: int = TOP, share: int =
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.where(F.col("f") >= least)
     bits = bits_of(frequent)
-    tries = shard_tries(texts, seed, bits, pair_counts(texts, seed, bits, least))
-    nodes = frequent_nodes(tries, least)
+    n_ranges = grid(texts, totals.agg(F.sum("n").alias("n")).first()["n"] or 0, RANGE_WORDS)
+    nodes = frequent_nodes(shard_tries(texts, seed, bits, pair_bits(texts, seed, bits, least), n_ranges), least)
     found = phrases(frequent, nodes)
     longer = nodes.where("depth > 2").select("lang", F.explode(F.array(F.expr("slice(g, 1, depth - 1)"), F.expr("slice(g, 2, depth - 1)"))).alias("g"), "f").groupBy("lang", "g").agg(F.max("f").alias("longer"))
-    kept = found.join(longer, ["lang", "g"], "left").where(F.col("longer").isNull() | (100 * F.col("longer").cast("decimal(19,0)") < share * F.col("f").cast("decimal(19,0)")))
+    left = found.join(longer, ["lang", "g"], "left").where(F.col("longer").isNull() | (100 * F.col("longer").cast("decimal(19,0)") < share * F.col("f").cast("decimal(19,0)")))
     cuts = F.zip_with("lefts", "rights", lambda x, y: F.struct(x.alias("l"), y.alias("r")))
     cuts = F.transform(cuts, lambda x, k: F.struct(score(F.col("f"), x["l"].cast("decimal(19,0)") + x["r"].cast("decimal(19,0)")).alias("score"), k.alias("k"), x["l"].alias("l"), x["r"].alias("r")))
-    scored = kept.withColumn("cut", F.array_min(cuts)).select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
+    scored = left.withColumn("cut", F.array_min(cuts)).select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
     first = scored.withColumn("rank", rank).where(F.col("rank") <= top)  # Spark keeps the first of each task before it shuffles
     out = saved(first.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
-    dropped(words, tries, nodes)
+    dropped(words, nodes)
     return out

@@ -162,7 +162,7 @@ def test_phrases_equal_counting_all(spark, monkeypatch):
     monkeypatch.setattr(common, "BATCH_CHARS", 20_000)
     for least, top, share, held, ranges in ((3, 40, 80, 2_000_000, 1_000_000), (2, 5000, 60, 300, 150)):
         monkeypatch.setattr(collocations, "HELD", held)
-        monkeypatch.setattr(collocations.frequent_nodes, "__defaults__", (ranges,))
+        monkeypatch.setattr(collocations, "RANGE_WORDS", ranges)
         got = collocations.top_phrases(df, least=least, top=top, share=share)
         assert sorted(tuple(r[c] for c in cells) for r in got.collect()) == plain_phrases(rows, least, top, share)
     assert collocations.top_phrases(df.limit(0)).count() == 0
