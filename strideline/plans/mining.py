@@ -105,6 +105,17 @@ def loops_at_all_scales(spark, sf):
     return rounded(g, "lat", "lon", digits=6)
 
 
+@query(f"""{WALK_CELLS}, v AS (SELECT a.athlete_id, max(b.i) AS i, a.i AS j, arg_max(b.d, b.i) AS di, a.d AS dj FROM cell a JOIN cell b ON a.athlete_id = b.athlete_id AND b.i < a.i AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.athlete_id, a.i, a.d, b.r, b.c),
+f AS (SELECT athlete_id, arg_min(i, (j, i)) AS lo, min(j) AS hi FROM v WHERE j - i >= 8 AND dj - di BETWEEN 300 AND 12000 GROUP BY 1)
+SELECT f.athlete_id, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, CAST(b.t - a.t AS BIGINT) AS t FROM f JOIN cell a ON a.athlete_id = f.athlete_id AND a.i = lo JOIN cell b ON b.athlete_id = f.athlete_id AND b.i = hi""")
+def first_spans(spark, sf):
+    """Where each walk comes back to itself for the first time, and how long that took."""
+    c = walk_cells(spark, sf)
+    first = segments.self_crossings(c, A, "i").groupBy(A).agg(F.min_by(F.struct("i", "j"), F.struct("j", "i")).alias("s")).select(A, F.col("s.i").alias("lo"), F.col("s.j").alias("hi"))
+    at = lambda name: c.select(A, F.col("i").alias(name), F.col("t").alias(f"t_{name}"))
+    return first.join(at("lo"), [A, "lo"]).join(at("hi"), [A, "hi"]).select(A, "lo", "hi", (F.col("t_hi") - F.col("t_lo")).cast("long").alias("t"))
+
+
 @query()
 def run_laps(spark, sf):
     """The laps that each walk repeats."""
