@@ -124,11 +124,11 @@ def run_laps(spark, sf):
 
 @query()
 def typical_laps(spark, sf):
-    """Of the laps around each block the one that is nearest to all others."""
+    """Of the laps around each block of each town the one that is nearest to all others."""
     c = walk_cells(spark, sf)
     laps = segments.closed_laps(c, A, "i").withColumn("lap", F.concat_ws(":", A, F.lpad(F.col("i").cast("string"), 7, "0")))
     points = laps.select(A, "lap", "i", "j").withColumnsRenamed({"i": "lo", "j": "hi"}).join(c.select(A, "i", "lat", "lon"), A).where("i between lo and hi")
-    aligned = segments.aligned_laps(points.withColumn("block", F.col(A) % 4), "block", "lap", "i")
+    aligned = segments.aligned_laps(points.withColumn("block", F.concat_ws("-", F.floor(F.col(A) / 12), F.col(A) % 4)), "block", "lap", "i")
     return rounded(segments.medoids(aligned, "block", "lap"), "cost", digits=3)
 
 
@@ -210,10 +210,10 @@ def anchored_segments(spark, sf):
 
 
 def mined(spark, sf):
-    """Segments of the walks' legs: id, kind, lengths, efforts and places, with who took them."""
+    """Segments of the walks' legs in each town: id, kind, lengths, efforts and places, with who took them."""
     w = walks(spark, sf).withColumn("leg", F.floor(F.col("d") / 150))
     e = w.groupBy(A, "leg").agg(F.max("d").alias("hi"), F.min("d").alias("lo"), F.min_by(F.struct("lat", "lon"), "i").alias("s"), F.max_by(F.struct("lat", "lon"), "i").alias("e"), F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon"))
-    e = e.withColumn("id", F.concat_ws("-", F.col(A) % 12, "leg"))
+    e = e.withColumn("id", F.concat_ws("-", F.floor(F.col(A) / 12), F.col(A) % 3, "leg"))  # three groups of each town go over the same ground
     first = e.groupBy("id").agg(F.min_by(F.struct("s", "e", "c_lat", "c_lon"), A).alias("p"), F.max(F.col("hi") - F.col("lo")).cast("double").alias("length_m"), F.count_distinct(A).alias("n_efforts"), (F.min("leg") % 5 == 4).alias("is_loop"))
     s = first.select(
         "id", F.when(F.col("is_loop"), "loop").otherwise("segment").alias("kind"), "length_m", "n_efforts", (F.col("n_efforts") % 3 == 0).alias("auto"), F.lit(False).alias("curated"),
