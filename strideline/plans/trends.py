@@ -36,8 +36,8 @@ def _efforts(spark, sf):
     a = activities(spark, sf).where("moving_s > 0").withColumn("b", bands).where("dist_m >= b.band_m")
     ga = ph.ga_seconds(F.col("moving_s"), F.col("gain_m"), F.col("dist_m") / 1000)
     rest = F.coalesce((F.col("elapsed_s") > 0) & ((F.col("elapsed_s") - F.col("moving_s")) / F.col("elapsed_s") >= 0.2), F.lit(False))
-    share = F.col("b.band_m") / F.col("dist_m")
-    return a.select("activity_id", "athlete_id", K, "day", "b.label", "b.band_m", (ga * share).alias("ga_s"), (F.col("moving_s") * share).alias("s"), rest.alias("rest"))
+    part = lambda t: t * F.col("b.band_m") / F.col("dist_m")  # noqa: E731  first times, then over, as the SQL does: equal efforts stay equal to the last bit
+    return a.select("activity_id", "athlete_id", K, "day", "b.label", "b.band_m", part(ga).alias("ga_s"), part(F.col("moving_s")).alias("s"), rest.alias("rest"))
 
 
 @query(f"{EFFORTS} SELECT squad, label, min_by(activity_id, (round(ga_s, 6), activity_id)) AS holder, {r('min(ga_s)')} AS ga_s FROM effort GROUP BY 1, 2")
