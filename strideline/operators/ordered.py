@@ -7,20 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def around(key: str, *order: str) -> list[tuple[str, W]]:
+    """("lo", "hi") with the rows of a key up to each one, and from it on: both begin at an end, as a frame that reaches to the
+    last row is gone through again for each row."""
+    return [(name, W.partitionBy(key).orderBy(*map(way, order)).rowsBetween(W.unboundedPreceding, 0)) for name, way in (("lo", F.asc), ("hi", F.desc))]
+
+
 def asof_nearest(probes: DataFrame, readings: DataFrame, key: str, at: str, value: str, tolerance: float) -> DataFrame:
     """probes with the nearest reading's value, the earlier one on ties, null beyond the tolerance.
 
-    Both sides go through one sort by key and time; the last reading before and the first after each probe are taken
-    from it, so there is one shuffle and no range join. Of readings at one time the largest value counts.
+    Both sides go through one shuffle by key and a sort by time each way; the last reading before each probe is taken from
+    one, the first after it from the other, in one pass each and without a range join. Of readings at one time the largest
+    value counts.
     """
     r = readings.groupBy(key, at).agg(F.max(value).alias(value))
     cols = [c for c in probes.columns if c not in (key, at)]
     both = probes.withColumn("_side", F.lit(0)).withColumn("_v", F.lit(None).cast(r.schema[value].dataType)).withColumn("_t", F.lit(None).cast(r.schema[at].dataType))
     both = both.unionByName(r.select(key, at, F.lit(1).alias("_side"), F.col(value).alias("_v"), F.col(at).alias("_t")), allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy(at, "_side")
-    up, down = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    for name, over, pick in (("lo", up, F.last), ("hi", down, F.first)):
-        both = both.withColumn(f"_{name}", pick(F.when(F.col("_side") == 1, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v"))), ignorenulls=True).over(over))
+    for name, over in around(key, at, "_side"):
+        both = both.withColumn(f"_{name}", F.last(F.when(F.col("_side") == 1, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v"))), ignorenulls=True).over(over))
     gap_lo, gap_hi = F.col(at) - F.col("_lo.t"), F.col("_hi.t") - F.col(at)
     near = F.when(gap_hi.isNull() | (gap_lo <= gap_hi), F.when(gap_lo <= tolerance, F.col("_lo.v"))).when(gap_hi <= tolerance, F.col("_hi.v"))
     return both.where("_side = 0").select(key, at, *cols, near.alias(value))
@@ -31,9 +36,8 @@ def asof_linear(probes: DataFrame, readings: DataFrame, key: str, at: str, value
     r = readings.groupBy(key, at).agg(F.max(value).alias(value))
     cols = [c for c in probes.columns if c not in (key, at)]
     both = probes.withColumn("_side", F.lit(0)).unionByName(r.select(key, at, F.lit(1).alias("_side"), F.col(value).cast("double").alias("_v")), allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy(at, "_side")
-    for name, over, pick in (("lo", w.rowsBetween(W.unboundedPreceding, 0), F.last), ("hi", w.rowsBetween(0, W.unboundedFollowing), F.first)):
-        both = both.withColumn(f"_{name}", pick(F.when(F.col("_side") == 1, F.struct(F.col(at).alias("t"), F.col("_v").alias("v"))), ignorenulls=True).over(over))
+    for name, over in around(key, at, "_side"):
+        both = both.withColumn(f"_{name}", F.last(F.when(F.col("_side") == 1, F.struct(F.col(at).alias("t"), F.col("_v").alias("v"))), ignorenulls=True).over(over))
     share = (F.col(at) - F.col("_lo.t")) / (F.col("_hi.t") - F.col("_lo.t"))
     between = F.col("_lo.v") + share * (F.col("_hi.v") - F.col("_lo.v"))
     return both.where("_side = 0").select(key, at, *cols, F.when(F.col("_hi.t") == F.col(at), F.col("_hi.v")).when(F.col("_lo").isNull(), F.col("_hi.v")).when(F.col("_hi").isNull(), F.col("_lo.v")).otherwise(between).alias(value))
@@ -45,6 +49,40 @@ def best_effort(samples: DataFrame, key: str, target: float, d: str = "d", t: st
     return samples.withColumn("_e", ahead - F.col(t)).groupBy(key).agg(F.min("_e").alias("best_s")).where("best_s is not null")
 
 
+def best_around(times: DataFrame, key: str, at: str, value: str, reaches: tuple[int, ...]) -> DataFrame:
+    """key, at, best: for each row (one for a key and time, in seconds; value may be null) the largest value from so many days
+    before it to just under one day more after it, by the first of the reaches (ascending) that has any.
+
+    Such a span holds whole days but for the rest of its first and the beginning of its last one. Largest values of whole
+    days come from a table of days, in which a frame is never longer than a span has days. A first or last day is only
+    asked where its own largest value would change the result; the day's rows and those who ask go through one sort each
+    way.
+    """
+    day, second = F.floor(F.col(at) / 86400).cast("long"), F.pmod(F.col(at), F.lit(86400)).cast("long")
+    t = times.select(key, at, value, day.alias("_d"), second.alias("_s"))
+    w = W.partitionBy(key).orderBy("_d")
+    span = lambda lo, hi: F.max("_m").over(w.rangeBetween(lo, hi))
+    reach = lambda n: F.struct(F.lit(n).cast("long").alias("n"), span(1 - n, n).alias("whole"), span(-n, -n).alias("first"), span(n + 1, n + 1).alias("last"))
+    days = t.groupBy(key, "_d").agg(F.max(value).alias("_m")).select(key, "_d", F.array(*map(reach, reaches)).alias("_r"))
+    # where whole days have a value, no wider reach is asked
+    some = F.transform("_r", lambda x: x["whole"].isNotNull())
+    until = F.when(F.array_contains(some, True), F.array_position(some, True)).otherwise(len(reaches)).cast("int")
+    days = days.select(key, "_d", F.slice("_r", F.lit(1), until).alias("_r"))
+    r = t.select(key, at, "_d", "_s").join(days, [key, "_d"])
+    better = lambda x, side: x[side] > F.coalesce(x["whole"], F.lit(float("-inf")))
+    ask = lambda side, on: F.transform(F.filter("_r", lambda x: better(x, side)), lambda x: F.struct(x["n"].alias("n"), F.lit(side).alias("side"), on(x["n"]).alias("on")))
+    asked = r.select(key, at, "_s", F.explode(F.concat(ask("first", lambda n: F.col("_d") - n), ask("last", lambda n: F.col("_d") + n + 1))).alias("q")).select(key, F.col("q.on").alias("_d"), "_s", F.col(at).alias("_at"), "q.n", "q.side", F.lit(None).cast("double").alias("_v"))
+    rows = t.where(F.col(value).isNotNull()).select(key, "_d", "_s", F.lit(None).cast(t.schema[at].dataType).alias("_at"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("string").alias("side"), F.col(value).cast("double").alias("_v"))
+    both = asked.unionByName(rows)
+    before = F.max("_v").over(W.partitionBy(key, "_d").orderBy("_s").rangeBetween(W.unboundedPreceding, -1))
+    since = F.max("_v").over(W.partitionBy(key, "_d").orderBy(F.desc("_s")).rangeBetween(W.unboundedPreceding, 0))
+    edge = both.withColumn("_b", F.when(F.col("side") == "last", before)).withColumn("_f", F.when(F.col("side") == "first", since)).where("side is not null")
+    edge = edge.groupBy(key, F.col("_at").alias(at), "n").agg(F.max(F.coalesce("_b", "_f")).alias("_e")).where("_e is not null").groupBy(key, at).agg(F.collect_list(F.struct("n", "_e")).alias("_edges"))
+    r = r.join(edge, [key, at], "left").withColumn("_edges", F.coalesce("_edges", F.array().cast("array<struct<n:bigint,_e:double>>")))
+    of = F.transform("_r", lambda x: F.array_max(F.array_append(F.transform(F.filter("_edges", lambda e: e["n"] == x["n"]), lambda e: e["_e"]), x["whole"])))
+    return r.select(key, at, F.try_element_at(F.filter(of, lambda v: v.isNotNull()), F.lit(1)).alias("best"))
+
+
 def crossings(samples: DataFrame, key: str, step: float, d: str = "d", t: str = "epoch") -> DataFrame:
     """key, n, at_s: when each multiple of step is passed, by linear interpolation; the first sample starts at 0."""
     w = W.partitionBy(key).orderBy("i")

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strideline.operators import lines
+from strideline.operators import lines, ordered
 from strideline.operators import summaries as sm
 from strideline.plans.catalog import CURVE, K, _points, query, r, rounded
 from strideline.plans.geometry import _NEAR, SEG, TRACK, A, efforts, track
 from strideline.plans.running import TYPED, _usable
 from strideline.sources.views import table
 
-DAY = 86400
-
 
 @query(f"""{TYPED}, u AS (SELECT activity_id, CAST(activity_id AS BIGINT) % 25 AS owner, epoch(start)::BIGINT AS e, dist_m / moving_s AS v, dist_m FROM usable WHERE moving_s > 0),
 g AS (SELECT a.activity_id, floor((b.e - a.e) / 86400.0e0) AS off, b.v FROM u a JOIN u b ON a.owner = b.owner AND b.dist_m >= 5000), w AS (SELECT activity_id, max(v) AS peak, max(v) FILTER (abs(off) <= 60) AS w1, max(v) FILTER (abs(off) <= 120) AS w2, max(v) FILTER (abs(off) <= 240) AS w4, max(v) FILTER (abs(off) <= 480) AS w8 FROM g GROUP BY 1)
@@ -23,10 +21,10 @@ def era_threshold(spark, sf):
     down, so a window of n days reaches from n days before to just under n + 1 days after."""
     u = _usable(spark, sf).where("moving_s > 0").select("activity_id", (F.col("activity_id").cast("long") % 25).alias("owner"), F.col("epoch").alias("e"), F.when(F.col("dist_m") >= 5000, F.col("dist_m") / F.col("moving_s")).alias("v"))
     times = u.groupBy("owner", "e").agg(F.max("v").alias("v"))  # a row a start goes through the windows
-    w = W.partitionBy("owner")
-    near = [F.max("v").over(w.orderBy("e").rangeBetween(-n * DAY, (n + 1) * DAY - 1)) for n in (60, 120, 240, 480)]
-    times = times.select("owner", "e", (F.coalesce(*near) / F.max("v").over(w)).alias("era"))
-    return rounded(u.select("activity_id", "owner", "e").join(times, ["owner", "e"]).select("activity_id", "era"), "era")
+    near = ordered.best_around(times, "owner", "e", "v", (60, 120, 240, 480))
+    peak = times.groupBy("owner").agg(F.max("v").alias("peak"))
+    era = near.join(peak, "owner").select("owner", "e", (F.col("best") / F.col("peak")).alias("era"))
+    return rounded(u.select("activity_id", "owner", "e").join(era, ["owner", "e"]).select("activity_id", "era"), "era")
 
 
 LAPS = f"{TRACK}, lap AS (SELECT athlete_id, i // 20 AS lap, avg(lat) AS lat, avg(lon) AS lon, max(d) - min(d) + athlete_id % 7 * 60 AS len FROM track GROUP BY 1, 2), loop AS (SELECT athlete_id AS id, avg(lat) AS lat, avg(lon) AS lon, 600.0e0 AS len FROM track WHERE athlete_id % 5 = 0 GROUP BY 1)"
