@@ -36,8 +36,11 @@ def laps_of_loops(spark, sf):
     s = track(spark, sf)
     lap = s.groupBy(A, F.floor(F.col("i") / 20).alias("lap")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), (F.max("d") - F.min("d")).alias("len")).withColumn("len", F.col("len") + F.col(A) % 7 * 60)
     loop = s.where(f"{A} % 5 = 0").groupBy(F.col(A).alias("id")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")).withColumn("len", F.lit(600.0))
-    near = lines.nearby(lap.where("len > 0"), loop, 120.0).where(F.greatest("l.len", "r.len") / F.least("l.len", "r.len") <= 1.35)
-    return near.groupBy(F.col(f"l.{A}").alias(A), F.col("l.lap").alias("lap")).agg(F.min_by("r.id", F.struct(F.round("m", 6), F.col("r.id"))).alias("loop"))
+    alike = lambda p, q: F.greatest(p["len"], q["len"]) / F.least(p["len"], q["len"]) <= 1.35
+    range_ = loop.agg((F.min("len") / 1.351).alias("lo"), (F.max("len") * 1.351).alias("hi"))  # one row; laps that no loop can be alike don't ask
+    lap = lap.where("len > 0").crossJoin(F.broadcast(range_)).where("len between lo and hi").select(F.struct(A, "lap").alias("id"), "lat", "lon", "len")
+    near = lines.nearest(lap, loop.withColumn("first", -F.col("id")), 120.0, "id", "first", alike, ("len",))
+    return near.select(f"id.{A}", "id.lap", F.col("r.id").alias("loop"))
 
 
 @query(f"{TRACK} SELECT athlete_id, min_by(i, (abs(d - 555), i)) AS by_x, min_by(i, (round(pow(d - 555, 2) + pow(hr - 100, 2), 6), i)) AS by_xy FROM track GROUP BY 1 HAVING min(pow(d - 555, 2) + pow(hr - 100, 2)) <= 1000000")

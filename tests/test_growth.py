@@ -1,10 +1,11 @@
 """Steps whose work must grow no faster than their input: their results against plain folds, and what their plans mustn't hold."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from strideline.operators import graph, ordered
+from strideline.operators import graph, lines, ordered
 from strideline.plans import running
 
 
@@ -67,3 +68,35 @@ def test_recordings_of_one_run_in_dense_copies(spark, monkeypatch):
     want = components([r[0] for r in rows], lambda i, j: (min(i, j), max(i, j)) in pairs)
     assert {r.id: r.dup_of or r.id for r in running.duplicate_of(spark, "").collect()} == want
     assert 23 < len(set(want.values())) < len(want)
+
+
+def metres(a, b):
+    p, q = math.radians(a[0]), math.radians(b[0])
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6371000.0 * math.asin(min(1.0, math.sqrt(h)))
+
+
+def dense_places(spark, rng, n):
+    at = lambda: (52 + rng.choice((0, 0.0007, 0.004)) + rng.random() * rng.choice((1e-6, 1e-3)), 5 + rng.random() * rng.choice((1e-6, 3e-3)))
+    rows = {i: at() for i in range(n)} | {n + i: (52.0, 5.0) for i in range(40)} | {n + 50: (53.0, 5.0)}
+    return rows, spark.createDataFrame([(i, *p) for i, p in rows.items()], "id long, lat double, lon double")
+
+
+def test_clusters_of_dense_places(spark):
+    rows, df = dense_places(spark, random.Random(4), 120)
+    got = {r.id: r.c for r in lines.clusters(df, 60.0).collect()}
+    assert got == components(rows, lambda i, j: metres(rows[i], rows[j]) <= 60.0) and 2 < len(set(got.values())) < 120
+
+
+def test_nearest_of_dense_places_begins_narrow(spark, monkeypatch):
+    rows, df = dense_places(spark, random.Random(5), 300)
+    asked = []
+    nearby = lines.nearby
+    monkeypatch.setattr(lines, "nearby", lambda a, b, m: asked.append(m) or nearby(a, b, m))
+    got = {r.id: (r.r.id, r.m) for r in lines.nearest(df.where("id % 3 <> 0"), df.where("id % 3 = 0"), 300.0, "id", "id").collect()}
+    want = {}
+    for i, p in rows.items():
+        near = [(round(metres(p, q), 6), -j) for j, q in rows.items() if j % 3 == 0 and metres(p, q) <= 300.0]
+        if i % 3 and near:
+            want[i] = -min(near)[1]
+    assert {i: x[0] for i, x in got.items()} == want and len(asked) > 1 and asked[0] < 300.0
