@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strideline.operators import graph, lines, ordered
+from strideline.operators import graph, lines, ordered, segments
 from strideline.plans import running
 
 
@@ -100,3 +100,18 @@ def test_nearest_of_dense_places_begins_narrow(spark, monkeypatch):
         if i % 3 and near:
             want[i] = -min(near)[1]
     assert {i: x[0] for i, x in got.items()} == want and len(asked) > 1 and asked[0] < 300.0
+
+
+def test_crossings_send_no_row_for_each_cell_around(spark):
+    df = spark.createDataFrame([(1, i, (i % 20) // 5, i % 5, 40.0 * i) for i in range(60)], "run long, i long, r long, c long, d double")
+    got = segments.self_crossings(df, "run", "i")
+    assert "generate" not in plan(got) and (0, 20) in {(r.i, r.j) for r in got.collect()}
+
+
+def test_shared_cells_of_equal_sets(spark):
+    rng = random.Random(6)
+    sets = {k: {(x, 0) for x in rng.choice(((1, 2, 3), (1, 2), (3, 4, 5, 6), (7,), tuple(rng.sample(range(9), 3))))} for k in range(40)}
+    df = spark.createDataFrame([(k, r, c) for k, s in sets.items() for r, c in s], "k long, r long, c long")
+    got = {(r.a, r.b): r.share for r in lines.shared(df.union(df.limit(9)), "k", 0.5, block=3).collect()}
+    want = {(a, b): len(s & t) / min(len(s), len(t)) for a, s in sets.items() for b, t in sets.items() if a < b and len(s & t) >= 0.5 * min(len(s), len(t))}
+    assert got == want
