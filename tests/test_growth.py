@@ -115,3 +115,17 @@ def test_shared_cells_of_equal_sets(spark):
     got = {(r.a, r.b): r.share for r in lines.shared(df.union(df.limit(9)), "k", 0.5, block=3).collect()}
     want = {(a, b): len(s & t) / min(len(s), len(t)) for a, s in sets.items() for b, t in sets.items() if a < b and len(s & t) >= 0.5 * min(len(s), len(t))}
     assert got == want
+
+
+def test_typical_laps_from_spans_and_cells(spark):
+    rng = random.Random(7)
+    at = lambda k: (52 + 0.002 * math.sin(k / 3) + rng.random() * 1e-4, 5 + 0.003 * math.cos(k / 3) + rng.random() * 1e-4)
+    cells = spark.createDataFrame([(run, 2 * k, *at(k)) for run in range(9) for k in range(60)], "run long, i long, lat double, lon double")
+    laps = [(g, f"{run}:{lo:03d}", run, lo, lo + rng.randrange(2, 40)) for g in ("p", "q") for run in range(9) for lo in sorted(rng.sample(range(80), 4))]
+    laps += [("p", "0:200", 0, 2, 20), ("p", "0:200", 0, 50, 70), ("r", "1:000", 1, 0, 2), ("s", "2:000", 2, 0, 30), ("s", "3:000", 2, 0, 30)]
+    laps = spark.createDataFrame(laps, "g string, lap string, run long, lo long, hi long")
+    points = laps.join(cells, "run").where("i between lo and hi")
+    want = {r.g: (r.lap, round(r.cost, 5)) for r in segments.medoids(segments.aligned_laps(points, "g", "lap", "i"), "g", "lap").collect()}
+    assert set(want) == {"p", "q", "s"}
+    for block in (1024, 7):
+        assert {r.g: (r.lap, round(r.cost, 5)) for r in segments.typical(laps, cells, "g", "lap", "run", block).collect()} == want
