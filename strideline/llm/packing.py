@@ -10,22 +10,96 @@ place when it is read, without a look at later ones; that a group is read longes
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo
 from .common import arrow_schema, kept, saved, slices, spread, two_columns
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+#: A bound on the chunks that a worker keeps in each of two generations, and on the bytes of one.
+MEMO, MOST_BYTES = 150_000, 64
+#: Bytes that no character of white space begins with; ASCII letters and digits; ASCII signs.
+_SOLID = np.array([c > 0x20 and c not in (0x7F, 0x85, 0xA0, 0xC2, 0xE1, 0xE2, 0xE3) for c in range(256)])
+_WORD = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+_SIGN = np.array([0x20 < c < 0x7F and not chr(c).isalnum() for c in range(256)])
+#: A chunk that is one piece of the tokenizer's: letters up to U+00FF, digits or signs.
+_PIECE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-/:-@\[-`{-~]+)")
+
+
+def _cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where chunks of texts (their bytes, the first of which are at `at`, and the end) begin.
+
+    Pieces begin at a space that a non-space follows, at a sign after a letter or digit, at a line end after one of these and,
+    where just one line end stands there, after it; coded by itself, what lies between gives the same ids. Places that
+    aren't sure are no cuts.
+    """
+    begins = np.zeros(len(data), bool)
+    begins[:-1] = (data[:-1] == 0x20) & _SOLID[data[1:]]
+    begins[at[1:][at[1:] > 0] - 1] = False  # a text's last space has nothing after it
+    word, sign = _WORD[data], _SIGN[data]
+    word[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    begins[1:] |= word[:-1] & sign[1:]
+    line = (data[1:] == 0x0A) & (word[:-1] | sign[:-1])
+    begins[1:] |= line
+    begins[2:] |= line[:-1] & _SOLID[data[2:]]
+    begins[at[:-1][at[:-1] < at[1:]]] = True
+    return np.flatnonzero(begins)
+
+
+class Chunks:
+    """Ids of whole texts, many at once, from chunks that are coded once: Arrow numbers the distinct chunks of a batch, only
+    these are looked up, and numpy lays their ids out."""
+
+    def __init__(self, missing: Callable[[list[bytes]], list[bytes]], size: int = MEMO):
+        self.missing, self.size, self.known, self.older = missing, size, {}, {}
+
+    def ids_of(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of distinct chunks; what was used in this generation or the one before is known."""
+        get, older = self.known.get, self.older.get
+        got = [get(c) for c in chunks]
+        open_ = [i for i, ids in enumerate(got) if ids is None]
+        for i in open_:
+            got[i] = older(chunks[i])
+        new = [i for i in open_ if got[i] is None]
+        for i, ids in zip(new, self.missing([chunks[i] for i in new]), strict=True):
+            got[i] = ids
+        for i in open_:
+            if len(chunks[i]) <= MOST_BYTES:
+                if len(self.known) >= self.size:
+                    self.older, self.known = self.known, {}
+                self.known[chunks[i]] = got[i]
+        return got
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit bytes."""
+        texts = texts.cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or ends[0] == ends[-1]:
+            return [b""] * len(texts)
+        data, at = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+        first = _cuts(data, at)
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.append(first, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        of = chunks.indices.to_numpy()
+        ids = self.ids_of(chunks.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, each = np.cumsum(size) - size, size[of]
+        laid = np.append(0, np.cumsum(each))
+        out = np.frombuffer(b"".join(ids), "<u4")[np.arange(laid[-1]) + np.repeat(start[of] - laid[:-1], each)].tobytes()
+        cuts = (4 * laid[np.searchsorted(first, at)]).tolist()
+        return [out[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _tokenizer(path: str):
     made = kept("packing")
     if path not in made:
@@ -33,21 +107,29 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        special = [a.content for a in tok.get_added_tokens_decoder().values()]
+        special = [a.content.encode() for a in tok.get_added_tokens_decoder().values()]
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # the vocabulary's characters for bytes
+        chars = {b: chr(0x100 + k) for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        piece = tok.model.tokenize
+
+        def whole(texts: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-        def encode(texts: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        def missing(chunks: list[bytes]) -> list[bytes]:
+            one = [_PIECE.fullmatch(c) is not None for c in chunks]
+            others = iter(whole([c.decode() for c, o in zip(chunks, one, strict=True) if not o]))
+            return [array("I", [k.id for k in piece(c.decode("latin-1").translate(chars))]).tobytes() if o else next(others) for c, o in zip(chunks, one, strict=True)]
 
-        made[path] = encode, Memo(encode), special
+        made[path] = whole, Chunks(missing), special
     return made[path]
 
 
-def document_ids(texts: list[str], path: str) -> list[bytes]:
+def document_ids(texts: pa.Array, path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit bytes; texts with a special token's string go in whole."""
-    whole, memo, special = _tokenizer(path)
-    odd = [i for i, t in enumerate(texts) if any(s in t for s in special)]
-    got = memo.encode([t if i not in set(odd) else "" for i, t in enumerate(texts)] if odd else texts)
-    for i, ids in zip(odd, whole([texts[i] for i in odd]), strict=True):
+    whole, chunks, special = _tokenizer(path)
+    got = chunks.encode(texts)
+    odd = [i for i, t in enumerate(texts.cast(pa.large_binary()).to_pylist()) if any(s in t for s in special)]
+    for i, ids in zip(odd, whole([texts[i].as_py() for i in odd]), strict=True):
         got[i] = ids
     return got
 
@@ -60,7 +142,7 @@ def cut_pieces(df: DataFrame, path: str, end_id: int = 2, window: int = 1024, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "packing"):
             rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), document_ids(b.column(1).to_pylist(), path), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), document_ids(b.column(1), path), strict=True):
                 ids += tail
                 n = len(ids) // 4
                 first = n % window or window

@@ -125,3 +125,22 @@ def test_edits_encode_only_what_they_touch(spark, reference):
     assert all(r.n_tokens_edited == len(reference.encode_ordinary(r.text)) and sum(r.leaf_chars) == len(r.text) for r in twice.collect())
     assert token_counts.count_edits(df.limit(0), RANKS, P.PATTERN).count() == 0
     assert got[2].n_tokens == 0
+
+
+def test_chunks_give_the_ids_of_whole_texts():
+    import random
+
+    import pyarrow as pa
+
+    path = P.path("byte_bpe_50k.json")
+    parts = [" ", "  ", "\n", "\n\n", "\r\n", "\t", "\x1c", "\x85", "\u3000", "\xa0", "a", " x", "b c", "'s", "1", ".", ",", "%%%", "é", "ß.", "×", "÷", "²", "\u0301", "中", "😀", "<|endoftext|>", ""]
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    whole, chunks, _ = packing._tokenizer(path)
+    want, coded = whole(texts), []
+    missing, chunks.missing = chunks.missing, lambda new: coded.extend(new) or missing(new)
+    assert packing.document_ids(pa.array(texts).slice(5), path) == want[5:]
+    chunks.missing = missing
+    assert b" x" in coded and all(not c.endswith((b"a.", b"1,")) for c in coded)  # signs are chunks of their own
+    small = packing.Chunks(missing, size=9)
+    assert [small.encode(pa.array([t]))[0] for t in texts if "<|" not in t] == [w for t, w in zip(texts, want, strict=True) if "<|" not in t]
