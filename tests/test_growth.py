@@ -129,3 +129,35 @@ def test_typical_laps_from_spans_and_cells(spark):
     assert set(want) == {"p", "q", "s"}
     for block in (1024, 7):
         assert {r.g: (r.lap, round(r.cost, 5)) for r in segments.typical(laps, cells, "g", "lap", "run", block).collect()} == want
+
+
+def test_chains_grow_from_rows_in_the_order_of_their_seeds(spark):
+    rng = random.Random(9)
+    runs = {k: [rng.randrange(3)] for k in range(12)}
+    for way in runs.values():
+        for _ in range(40):
+            way.append((way[-1] + rng.choice((1, 1, 1, 2, 3))) % 50)
+    moves = {(k, a, b) for k, way in runs.items() for a, b in zip(way, way[1:])}
+    hot = spark.createDataFrame(sorted(moves), "run long, a long, b long")
+    seeds = hot.select(F.col("a").alias("sa"), F.col("b").alias("sb")).distinct()
+    got = segments.grown(seeds, hot, 2, 30)
+    assert "flatmapgroups" not in plan(got)  # a task takes many seeds, not one call each
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        have = {(r.sa, r.sb): r.chain for r in segments.grown(seeds, hot, 2, 30).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        for (sa, sb), chain in have.items():
+            on, back = {}, {}
+            near = {k for k, a, b in moves if (a, b) == (sa, sb)}
+            n = {}
+            for k, a, b in moves:
+                n[a, b] = n.get((a, b), 0) + (k in near)
+            for (a, b), c in sorted(n.items(), key=lambda x: (x[1], -x[0][1], -x[0][0])):
+                if c >= 2:
+                    on[a] = b
+            for (a, b), c in sorted(n.items(), key=lambda x: (x[1], -x[0][0])):
+                if c >= 2:
+                    back[b] = a
+            want = segments._walk(on, sa, sb, 30)
+            assert chain == (want if want[0] == want[-1] else segments._walk(back, sb, sa, 30)[:1:-1] + want)
+        assert set(have) == {s for s in {(a, b) for _, a, b in moves} if len({k for k, a, b in moves if (a, b) == s}) >= 2}
