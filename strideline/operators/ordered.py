@@ -148,25 +148,25 @@ def band_join(a: DataFrame, at: str, width: int, residual, left: str = "l", righ
     return x.join(y, on).where((key(left) < key(right)) & (F.col(f"{right}.{at}") - F.col(f"{left}.{at}") <= width) & residual(left, right)).drop(*on)
 
 
-def band_keys(a: DataFrame, key: str, at: str, width: int, near, block: int = 64, deal: int = 4096) -> DataFrame:
+def band_keys(a: DataFrame, key: str, at: str, width: int, near, block: int = 64, deal: int = 4096, parts: int = 4) -> DataFrame:
     """p, q: the keys of all pairs of rows of a whose `at` differ by at most width and for which near(l, r), which is
     symmetric, holds; each pair once, none of a key with itself.
 
     Rows that are equal but for their key are one set, in blocks of about so many keys. Only blocks meet, in buckets as in
-    band_join, and are held against one another; a bucket of more than `deal` blocks is dealt over several tasks by both
-    sides. Keys are paired last, within the task, so a pair costs no test and no shuffle.
+    band_join, but of a part of the width, and are held against one another; a bucket of more than `deal` blocks is dealt
+    over several tasks by both sides. Keys are paired last, within the task, so a pair costs no test and no shuffle.
     """
-    cols = [c for c in a.columns if c != key]
+    cols, part = [c for c in a.columns if c != key], -(-width // parts)
     rows = a.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.struct(*cols).alias("_set"), key)
     sets = rows.groupBy("_set").agg(F.ceil(F.count("*") / block).alias("_blocks"))
     dealt = rows.join(sets, "_set").groupBy("_set", F.pmod(F.xxhash64(key), F.col("_blocks"))).agg(F.collect_list(key).alias("keys"))
-    b = graph.checkpointed(dealt.select(F.floor(F.col("_set")[at] / width).alias("_bucket"), "_set.*", F.array_min("keys").alias("least"), "keys"))
-    twice = b.withColumn("_bucket", F.explode(F.array(F.col("_bucket"), F.col("_bucket") - 1)))
-    tasks = twice.groupBy("_bucket").agg(F.ceil(F.count("*") / deal).alias("_tasks"))
+    b = graph.checkpointed(dealt.select(F.floor(F.col("_set")[at] / part).alias("_bucket"), "_set.*", F.array_min("keys").alias("least"), "keys"))
+    copied = b.withColumn("_bucket", F.explode(F.array(*(F.col("_bucket") - k for k in range(-(-width // part) + 1)))))
+    tasks = copied.groupBy("_bucket").agg(F.ceil(F.count("*") / deal).alias("_tasks"))
     mine, each = F.pmod(F.xxhash64("least", *cols), F.col("_tasks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tasks") - 1))
     side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in (*cols, "least", "keys")]
     x = b.join(tasks, "_bucket").select("_bucket", mine.alias("_i"), each.alias("_j"), *side("l"))
-    y = twice.join(tasks, "_bucket").select("_bucket", each.alias("_i"), mine.alias("_j"), *side("r"))
+    y = copied.join(tasks, "_bucket").select("_bucket", each.alias("_i"), mine.alias("_j"), *side("r"))
     n = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * a.sparkSession.sparkContext.defaultParallelism)
     on = ["_bucket", "_i", "_j"]  # in a fixed number of partitions, as few bytes make many pairs
     l, r = ({c: F.col(f"{s}_{c}") for c in (*cols, "least")} for s in "lr")
