@@ -110,11 +110,11 @@ def pauses(samples: DataFrame, key: str, floor_s: float = 20.0, factor: float =
 
 
 def merge_intervals(spans: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
-    """key and the union of its closed intervals, as disjoint ones. Equal intervals are numbered together, in whatever order
-    they come."""
-    w = W.partitionBy(key).orderBy(lo, hi)
+    """key and the union of its closed intervals, as disjoint ones, nulls last. Both windows go through one sort, so that equal
+    intervals keep their places and each is numbered by what came before it."""
+    w = W.partitionBy(key).orderBy(F.asc_nulls_last(lo), F.asc_nulls_last(hi))
     s = spans.withColumn("_e", F.max(hi).over(w.rowsBetween(W.unboundedPreceding, -1)))
-    s = s.withColumn("_g", F.sum(F.when(F.col("_e").isNull() | (F.col(lo) > F.col("_e")), 1).otherwise(0)).over(w.rangeBetween(W.unboundedPreceding, 0)))
+    s = s.withColumn("_g", F.sum(F.when(F.col("_e").isNull() | (F.col(lo) > F.col("_e")), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
     return s.groupBy(key, "_g").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_g")
 
 
