@@ -271,7 +271,7 @@ def phrases(frequent_words: DataFrame, nodes: DataFrame) -> DataFrame:
         linked = level.select(F.col("node").alias("link"), "last", F.array_prepend("rights", F.col("f")).alias("rights"))
         some = nodes.where(F.col("depth") == depth).select(F.struct("lang", "g").alias("node"), "f")
         some = some.withColumn("parent", F.struct("node.lang", F.slice("node.g", 1, depth - 1).alias("g"))).withColumn("link", F.struct("node.lang", F.slice("node.g", 2, depth - 1).alias("g")))
-        level = salted(salted(some, above, "parent", "link"), linked, "link", "parent")
+        level = salted(salted(some, above, "parent", "link", merged=True), linked, "link", "parent", merged=True)  # no level goes through the driver
         level = saved(level.select("node", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", "f", "lefts", "rights"))
         levels.append(level)
     out = levels[0]
@@ -300,7 +300,7 @@ def top_phrases(df: DataFrame, least: int = LEAST, top: int = TOP, share: int =
     nodes = frequent_nodes(shard_tries(texts, seed, bits, pair_bits(texts, seed, bits, least), n_ranges), least)
     found = phrases(frequent, nodes)
     longer = nodes.where("depth > 2").select("lang", F.explode(F.array(F.expr("slice(g, 1, depth - 1)"), F.expr("slice(g, 2, depth - 1)"))).alias("g"), "f").groupBy("lang", "g").agg(F.max("f").alias("longer"))
-    left = found.join(longer, ["lang", "g"], "left").where(F.col("longer").isNull() | (100 * F.col("longer").cast("decimal(19,0)") < share * F.col("f").cast("decimal(19,0)")))
+    left = found.join(longer.hint("merge"), ["lang", "g"], "left").where(F.col("longer").isNull() | (100 * F.col("longer").cast("decimal(19,0)") < share * F.col("f").cast("decimal(19,0)")))
     cuts = F.zip_with("lefts", "rights", lambda x, y: F.struct(x.alias("l"), y.alias("r")))
     cuts = F.transform(cuts, lambda x, k: F.struct(score(F.col("f"), x["l"].cast("decimal(19,0)") + x["r"].cast("decimal(19,0)")).alias("score"), k.alias("k"), x["l"].alias("l"), x["r"].alias("r")))
     scored = left.withColumn("cut", F.array_min(cuts)).select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score")

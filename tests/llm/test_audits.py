@@ -176,6 +176,18 @@ def test_scores_beyond_64_bits_are_exact(spark):
     assert got.s == 2_000_000 * a // (l + r) and (got.phrase, got.lefts, got.rights) == ("p q", [l], [r])
 
 
+def test_no_level_of_phrases_is_broadcast(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choices("abcdefgh", k=40)), "x") for _ in range(60)]
+    plans = []
+    keep = collocations.saved
+    monkeypatch.setattr(collocations, "saved", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    top = collocations.top_phrases(spark.createDataFrame(rows, "text string, lang string"), least=3, top=9)
+    levels = [p for p in plans if "link" in p]
+    assert len(levels) == collocations.DEPTH - 1 and not any("BroadcastHashJoin" in p for p in levels)
+    assert sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in top.collect()) == plain_phrases(rows, 3, 9, collocations.SHARE)
+
+
 def test_two_words_with_one_code_are_told_apart(spark, monkeypatch):
     whole = collocations.codes
     monkeypatch.setattr(collocations, "codes", lambda words, seed: whole([b"same" if seed == 0 and w in (b"p", b"q") else w for w in words], seed))

@@ -60,6 +60,16 @@ def test_linked_rows_are_connected_without_all_pairs(spark):
     assert len(set(got.values())) > 3
 
 
+def test_copies_that_spark_sizes_too_low_are_not_broadcast(spark, tmp_path):
+    few = spark.range(200_000).select(F.xxhash64("id").alias("k"), F.col("id").alias("root"))
+    for rows, fits in ((few, False), (few.limit(20), True)):
+        rows.coalesce(1).write.parquet(where := str(tmp_path / str(fits)))
+        some = spark.read.parquet(where)  # 2.4 MB, and 16 times that as copies
+        got = graph.salted(spark.range(50).select(F.xxhash64("id").alias("k"), "id"), some, "k", "id")
+        assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == fits
+        assert {(r.id, r.root) for r in got.collect()} == {(i, i) for i in range(20 if fits else 50)}
+
+
 def test_recordings_of_one_run_in_dense_copies(spark, monkeypatch):
     rows = [(i, (i * 137 % 900) + 86400 * (i % 23), 1000 + i % 60 if i % 11 else 400, 900 + i % 90, 5000 + i * 97 % 3000, i % 3 != 0, (i % 5 // 4) * 0.001) for i in range(1, 170)]
     df = spark.createDataFrame(rows, "id long, s long, el long, mv long, d long, gps boolean, lat double")
