@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strideline.operators import graph
-
 
 def around(key: str, *order: str) -> list[tuple[str, W]]:
     """("lo", "hi") with the rows of a key up to each one, and from it on: both begin at an end, as a frame that reaches to the
@@ -148,32 +146,39 @@ def band_join(a: DataFrame, at: str, width: int, residual, left: str = "l", righ
     return x.join(y, on).where((key(left) < key(right)) & (F.col(f"{right}.{at}") - F.col(f"{left}.{at}") <= width) & residual(left, right)).drop(*on)
 
 
-def band_keys(a: DataFrame, key: str, at: str, width: int, near, block: int = 64, deal: int = 4096, parts: int = 4) -> DataFrame:
+def band_keys(a: DataFrame, key: str, at: str, width: int, near, block: int = 64, deal: int = 32_768, wide: int = 4) -> DataFrame:
     """p, q: the keys of all pairs of rows of a whose `at` differ by at most width and for which near(l, r), which is
     symmetric, holds; each pair once, none of a key with itself.
 
-    Rows that are equal but for their key are one set, in blocks of about so many keys. Only blocks meet, in buckets as in
-    band_join, but of a part of the width, and are held against one another; a bucket of more than `deal` blocks is dealt
-    over several tasks by both sides. Keys are paired last, within the task, so a pair costs no test and no shuffle.
+    Rows meet in buckets of `wide` widths, whose borders lie between the full hours at which many begin. Only rows up to a
+    width behind a border are copied, into the bucket before, and both sides of the join read one shuffle. A bucket of more
+    than `deal` rows is dealt over several tasks by both sides. Within a task, rows that are equal but for their key are one
+    set, in blocks of so many keys; only blocks are held against one another. Keys are paired last, so a pair costs no test
+    and no shuffle.
     """
-    cols, part = [c for c in a.columns if c != key], -(-width // parts)
-    rows = a.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.struct(*cols).alias("_set"), key)
-    sets = rows.groupBy("_set").agg(F.ceil(F.count("*") / block).alias("_blocks"))
-    dealt = rows.join(sets, "_set").groupBy("_set", F.pmod(F.xxhash64(key), F.col("_blocks"))).agg(F.collect_list(key).alias("keys"))
-    b = graph.checkpointed(dealt.select(F.floor(F.col("_set")[at] / part).alias("_bucket"), "_set.*", F.array_min("keys").alias("least"), "keys"))
-    copied = b.withColumn("_bucket", F.explode(F.array(*(F.col("_bucket") - k for k in range(-(-width // part) + 1)))))
-    tasks = copied.groupBy("_bucket").agg(F.ceil(F.count("*") / deal).alias("_tasks"))
-    mine, each = F.pmod(F.xxhash64("least", *cols), F.col("_tasks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tasks") - 1))
-    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in (*cols, "least", "keys")]
-    x = b.join(tasks, "_bucket").select("_bucket", mine.alias("_i"), each.alias("_j"), *side("l"))
-    y = copied.join(tasks, "_bucket").select("_bucket", each.alias("_i"), mine.alias("_j"), *side("r"))
+    cols, span = [c for c in a.columns if c != key], wide * width
+    into, bucket = F.pmod(F.col(at) + span // 2, F.lit(span)), F.floor((F.col(at) + span // 2) / span)
+    own, late = F.struct(bucket.alias("b"), F.lit(False).alias("late")), F.struct((bucket - 1).alias("b"), F.lit(True).alias("late"))
+    rows = a.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("_to", F.explode(F.when(into <= width, F.array(own, late)).otherwise(F.array(own))))
+    rows = rows.select(F.col("_to.b").alias("_b"), F.col("_to.late").alias("_late"), *a.columns)
+    hot = rows.groupBy("_b").agg(F.ceil(F.count("*") / deal).alias("_tasks")).where("_tasks > 1")  # one of `deal` rows at most
+    mine = F.pmod(F.xxhash64(key), F.col("_tasks"))
+    rows = rows.join(F.broadcast(hot), "_b", "left").withColumn("_tasks", F.coalesce("_tasks", F.lit(1).cast("long")))
+    rows = rows.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tasks") - 1)))
+    task = (F.least("_mine", "_other") * F.col("_tasks") + F.greatest("_mine", "_other")).alias("_task")
+    side = F.when(F.col("_mine") == F.col("_other"), 0).when(F.col("_mine") < F.col("_other"), 1).otherwise(2).alias("_side")
     n = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * a.sparkSession.sparkContext.defaultParallelism)
-    on = ["_bucket", "_i", "_j"]  # in a fixed number of partitions, as few bytes make many pairs
-    l, r = ({c: F.col(f"{s}_{c}") for c in (*cols, "least")} for s in "lr")
+    on = ["_b", "_task"]  # in a fixed number of partitions, as few bytes make many pairs
+    sets = rows.select("_b", task, side, "_late", *a.columns).repartition(n, *on).groupBy(*on, "_side", "_late", *cols).agg(F.collect_list(key).alias("keys"))
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(keys) - 1) div {block} as int)")), lambda k: F.slice("keys", k * block + 1, F.lit(block)))
+    blocks = sets.withColumn("keys", F.explode(cut)).withColumn("least", F.array_min("keys"))
+    x, y = (blocks.select(*on, *(F.col(c).alias(f"{s}_{c}") for c in ("_side", "_late", *cols, "least", "keys"))) for s in "lr")
+    l, r = ({c: F.col(f"{s}_{c}") for c in ("_side", "_late", *cols, "least")} for s in "lr")
     row = lambda s: F.struct(*(s[c] for c in cols))  # noqa: E731  only asked where both times and least keys are equal
     tie = l["least"] == r["least"]
     first = (l[at] < r[at]) | ((l[at] == r[at]) & ((l["least"] < r["least"]) | (tie & (row(l) <= row(r)))))
-    met = x.repartition(n, *on).join(y.repartition(n, *on), on).where(first & (r[at] - l[at] <= width) & near(l, r))
+    here = ~(l["_late"] & r["_late"]) & ((l["_side"] == 0) & (r["_side"] == 0) | (l["_side"] != r["_side"]))  # others meet in their own bucket or task
+    met = x.join(y, on).where((r[at] - l[at] <= width) & first & here & near(l, r))
     # coalesce ends the join's step: else the keys of all blocks that one block meets would be paired before the first pair is let go
     met = met.select((tie & (row(l) == row(r))).alias("own"), "l_keys", "r_keys").coalesce(n)
     pairs = met.select("own", F.explode("l_keys").alias("p"), "r_keys").select("own", "p", F.explode("r_keys").alias("q"))

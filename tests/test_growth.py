@@ -105,6 +105,17 @@ def test_pairs_of_copies_are_made_after_the_join(spark, monkeypatch):
     assert above.count("generate explode") == 2  # what meets are sets of equal recordings
 
 
+def test_bands_are_shuffled_once_for_both_sides(spark):
+    # half of the rows lie up to a width behind a border of buckets (1200 wide, at 600), a quarter just beyond it, and one bucket is hot
+    rows = [(i, 600 + 1200 * (i % 5) + (i * 7 % 40) * 10) for i in range(60)] + [(100 + i, 1790 + i // 3) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, t long").repartition(3)
+    got = ordered.band_keys(df, "id", "t", 300, lambda x, y: F.lit(True), deal=20)
+    want = sorted((min(p[0], q[0]), max(p[0], q[0])) for i, p in enumerate(rows) for q in rows[:i] if abs(p[1] - q[1]) <= 300)
+    assert sorted((min(r), max(r)) for r in got.collect()) == want
+    done = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    assert len([x for x in done if "Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" in x and "Reused" not in x]) == 1
+
+
 def metres(a, b):
     p, q = math.radians(a[0]), math.radians(b[0])
     h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
