@@ -163,6 +163,14 @@ def test_shared_cells_of_equal_sets(spark):
     assert got == want
 
 
+def test_pairs_of_one_set_are_dealt_over_tasks(spark):
+    df = spark.range(400).select(F.col("id").alias("k"), F.explode(F.array(F.lit(1), F.lit(2))).alias("r")).withColumn("c", F.when(F.col("k") < 30, 1).otherwise(0))
+    rows = lines.shared(df, "k", 0.5, block=16).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.a, r.b, r.share) for r in rows) == [(a, b, 1.0) for a in range(400) for b in range(a + 1, 400) if (a < 30) == (b < 30)]
+    tasks = [r.task for r in rows]
+    assert max(map(tasks.count, set(tasks))) < len(rows) / 4
+
+
 def test_typical_laps_from_spans_and_cells(spark):
     rng = random.Random(7)
     at = lambda k: (52 + 0.002 * math.sin(k / 3) + rng.random() * 1e-4, 5 + 0.003 * math.cos(k / 3) + rng.random() * 1e-4)
