@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strideline.operators import graph, lines, ordered, segments
+from strideline.operators import benchmarks, graph, lines, ordered, segments
 from strideline.plans import running
 
 
@@ -215,3 +215,24 @@ def test_chains_grow_from_rows_in_the_order_of_their_seeds(spark):
             want = segments._walk(on, sa, sb, 30)
             assert chain == (want if want[0] == want[-1] else segments._walk(back, sb, sa, 30)[:1:-1] + want)
         assert set(have) == {s for s in {(a, b) for _, a, b in moves} if len({k for k, a, b in moves if (a, b) == s}) >= 2}
+
+
+def test_efforts_of_many_runs_come_from_rows_in_the_order_of_chain_and_run(spark):
+    rng = random.Random(12)
+    code = lambda r, c: r * (1 << 32) + c + (1 << 31)
+    chains = [(f"c{k}", [code(4 * k, c) for c in range(6)], 125.0) for k in range(3)]
+    cells = []
+    for run in range(9):
+        way = [(4 * k, c) for k in rng.sample(range(3), 3) for c in range(-2, 9)]
+        cells += [(run, i, code(*x), 25.0 * i, float(i * (1 + run % 4))) for i, x in enumerate(way)]
+    cells, chains = spark.createDataFrame(cells, "run long, i long, cell long, d double, t double"), spark.createDataFrame(chains, "id string, chain array<long>, length_m double")
+    got = benchmarks.chain_efforts(cells, chains, "run")
+    assert "flatmapgroups" not in plan(got)  # a task takes many runs, not one call each
+    rows = {}
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        rows[size] = sorted(map(tuple, benchmarks.chain_efforts(cells, chains, "run").collect()))
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows["7"] == rows["10000"] and [r[:2] for r in rows["7"]] == [(f"c{k}", run) for k in range(3) for run in range(9)]
+    # in beside the first cell, out beside the last but the way must hold 80 % of the cells: the fastest has four steps
+    assert all((r[3] - r[2], r[4], r[5]) == (4, 100.0, 4.0 * (1 + r[1] % 4)) for r in rows["7"])
